@@ -46,4 +46,4 @@ def is_quota(message: Column) -> Column:
 
 def wait_seconds(attempt: Column) -> Column:
     """Back-off after the attempt with this zero-based number: 2, 4, 8, ..."""
-    return F.shiftleft(F.lit(2), attempt)
+    return (F.lit(2) * F.pow(F.lit(2), attempt)).cast("int")

@@ -24,7 +24,10 @@ from adlumen.operators.joins import lookup_join
 
 MAX_REFERENCE_VALUES = 16 * 1024 * 1024  # floats sent to each executor: 64 MB
 BLOCK_VECTORS = 1024
-SCORES_TYPE = "array<struct<brand_id:string,brand_ord:int,similarity:double>>"
+BRAND_SIMILARITY = T.StructType().add("brand_id", T.StringType()).add("similarity", T.DoubleType())
+ORDERED_SIMILARITY = (
+    T.StructType().add("brand_id", T.StringType()).add("brand_ord", T.IntegerType()).add("similarity", T.DoubleType())
+)
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -102,7 +105,7 @@ def with_brand_similarities(
         return _blocked_all(texts, refs, text_id, vector)
     matrix = texts.sparkSession.sparkContext.broadcast(reference_matrix(refs))
 
-    @F.arrow_udf(SCORES_TYPE)
+    @F.arrow_udf(T.ArrayType(ORDERED_SIMILARITY))
     def similarities(vectors: pa.Array) -> pa.Array:
         refs = matrix.value
         units, present = batch_matrix(vectors)
@@ -165,7 +168,7 @@ def _block_of(n_blocks: Column) -> Column:
     return F.pmod(F.xxhash64("brand_id", "ref_ord"), n_blocks.cast("bigint")).cast("int")
 
 
-@F.arrow_udf("array<struct<brand_id:string,similarity:double>>")
+@F.arrow_udf(T.ArrayType(BRAND_SIMILARITY))
 def _block_maxima(vectors: pa.Array, brands: pa.Array, blocks: pa.Array) -> pa.Array:
     """Best cosine per brand of one text with one block."""
     units, present = batch_matrix(vectors)

@@ -108,9 +108,8 @@ def cross_validated(
 
     One cross validator runs all specs: the fold tables are cached once and fits run side by side.
     """
-    pipeline = Pipeline()
+    pipeline = Pipeline(stages=[])
     grid = [{pipeline.stages: spec.getStages()} for spec in specs.values()]
-    # The refit on all rows that follows the folds is not used; a grid of one would repeat the only fit.
     validator = CrossValidator(
         estimator=pipeline, estimatorParamMaps=grid, evaluator=evaluator, numFolds=sizes.folds, foldCol="fold",
         parallelism=sizes.parallelism,
