@@ -1,36 +1,49 @@
-"""Language routing, sentiment and toxicity as column expressions.
+"""Language routing, sentiment and toxicity.
 
-Both lexicon scorers are means of +1/-1 word hits with negation. Instead of folding over token arrays
-they count regex matches: a mean only needs the number of positive and negative hits and how many of
-each are flipped.
+Both lexicon scorers are means of +1/-1 word hits with negation. Instead of folding over token arrays,
+a text is reduced to its few relevant words by one regex pass, and the mean is taken from match counts
+on that short string: hits of either sign and how many of each are flipped.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from adlumen.functions import fixed_values as fixed
-from adlumen.functions.text import any_term, clean_string, count_matches, flag, split_words, whole_words
+from adlumen.functions.text import any_term, clean_string, count_matches, flag, is_ascii, split_words, whole_words
+
+
+def grouped_terms(words: Sequence[str]) -> str:
+    """Alternation of the words with common first letters factored out, so that fewer are tried."""
+    groups: dict[str, list[str]] = {}
+    for word in words:
+        groups.setdefault(word[0], []).append(word[1:])
+    if not groups:
+        return any_term([])
+    return "(?:" + "|".join(first + any_term(rests) for first, rests in groups.items()) + ")"
 
 
 @dataclass(frozen=True)
 class SentimentLexicon:
-    """Word lists and the characters a token is made of (texts are lower-cased first)."""
+    """Word lists and how negators act; texts are lower-cased first.
+
+    A token is a run of ``letters``. With ``negator_follows`` a negator as the very next token flips a
+    hit; otherwise a negator flips the next hit, however far away it is.
+    """
 
     positive: Sequence[str]
     negative: Sequence[str]
     negators: Sequence[str]
     letters: str = "a-z'"
-    _parts: tuple = field(init=False, repr=False, default=())
+    negator_follows: bool = False
 
     def scored(self) -> tuple[list[str], list[str], list[str]]:
         """Positive, negative and negating words that a single token can equal, without overlap."""
-        import re
-
         token = re.compile(f"[{self.letters}]+")
         negators = [w for w in self.negators if token.fullmatch(w)]
         positive = [w for w in self.positive if token.fullmatch(w) and w not in negators]
@@ -38,117 +51,61 @@ class SentimentLexicon:
                     if token.fullmatch(w) and w not in negators and w not in positive]
         return positive, negative, negators
 
-    def tokens(self, words: Sequence[str]) -> str:
-        """Regex for tokens equal to one of the words."""
-        return f"(?<![{self.letters}]){any_term(words)}(?![{self.letters}])"
-
-
-ENGLISH = SentimentLexicon(fixed.POSITIVE_EN, fixed.NEGATIVE_EN, fixed.NEGATORS_EN)
-TURKISH = SentimentLexicon(
-    fixed.POSITIVE_TR, fixed.NEGATIVE_TR, fixed.NEGATORS_TR, letters="a-z" + fixed.TURKISH_LETTERS + "'"
-)
-
-
-def _mean(positive: Column, negative: Column, flipped_positive: Column, flipped_negative: Column) -> Column:
-    hits = positive + negative
-    total = positive - negative - flipped_positive * 2 + flipped_negative * 2
-    return F.when(hits > 0, total / hits).otherwise(F.lit(0.0))
-
-
-def is_turkish(text: Column) -> Column:
-    """A Turkish letter anywhere, or one of the function words as a whole word."""
-    return text.rlike(f"[{fixed.TURKISH_LETTERS}]") | F.lower(text).rlike(
-        whole_words(fixed.TURKISH_FUNCTION_WORDS).replace("(?iu)", "")
-    )
-
-
-def turkish_compound(text: Column, lexicon: SentimentLexicon = TURKISH) -> Column:
-    """Mean of word hits; a negator as the very next token flips a hit."""
-    positive, negative, negators = lexicon.scored()
-    lowered = F.lower(text)
-    then_negated = rf"(?=[^{lexicon.letters}]+{any_term(negators)}(?![{lexicon.letters}]))"
-
-    def hits(words: Sequence[str], suffix: str = "") -> Column:
-        return count_matches(lowered, lexicon.tokens(words) + suffix)
-
-    return _mean(hits(positive), hits(negative), hits(positive, then_negated), hits(negative, then_negated))
-
+    def tokens(self, words: Sequence[str], after: str = "") -> str:
+        """Regex for tokens equal to one of the words (directly after the regex ``after``)."""
+        return f"(?<![{self.letters}]){after}{grouped_terms(words)}(?![{self.letters}])"
 
-def english_compound(text: Column, lexicon: SentimentLexicon = ENGLISH) -> Column:
-    """Mean of word hits; a negator flips the next hit, however far away it is.
+    def _then_negator(self) -> str:
+        return f"[^{self.letters}]+{grouped_terms(self.scored()[2])}(?![{self.letters}])"
 
-    The relevant words alone, in order, decide: a hit is flipped when the relevant word just before it
-    is a negator. So the text is reduced to those words first and the pairs are counted there.
-    """
-    positive, negative, negators = lexicon.scored()
-    relevant = F.array_join(
-        F.regexp_extract_all(F.lower(text), F.lit(lexicon.tokens([*positive, *negative, *negators])), 0), " "
-    )
+    def relevant(self, lowered: Column) -> Column:
+        """The words of the text that decide, in order, joined by blanks."""
+        positive, negative, negators = self.scored()
+        if self.negator_follows:
+            pattern = self.tokens([*positive, *negative]) + f"(?:{self._then_negator()})?"
+        else:
+            pattern = self.tokens([*positive, *negative, *negators])
+        return F.array_join(F.regexp_extract_all(lowered, F.lit(pattern), 0), " ")
 
-    def hits(words: Sequence[str]) -> Column:
-        return count_matches(relevant, lexicon.tokens(words))
+    def compound(self, relevant: Column) -> Column:
+        """Mean of the hits in a reduced text; 0 without hits."""
+        positive, negative, negators = self.scored()
 
-    def negated(words: Sequence[str]) -> Column:
-        return count_matches(relevant, f"(?<![{lexicon.letters}]){any_term(negators)} {any_term(words)}(?![{lexicon.letters}])")
+        def hits(words: Sequence[str]) -> Column:
+            return count_matches(relevant, self.tokens(words))
 
-    return _mean(hits(positive), hits(negative), negated(positive), negated(negative))
+        def flipped(words: Sequence[str]) -> Column:
+            if self.negator_follows:
+                return count_matches(relevant, self.tokens(words) + f"(?={self._then_negator()})")
+            return count_matches(relevant, self.tokens(words, after=grouped_terms(negators) + " "))
 
+        n = hits(positive) + hits(negative)
+        total = hits(positive) - hits(negative) - flipped(positive) * 2 + flipped(negative) * 2
+        return F.when(relevant == "", F.lit(0.0)).when(n > 0, total / n).otherwise(F.lit(0.0))
 
-def _clamped(score: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score))
+    def any_word(self, relevant: Column) -> Column:
+        """Whether a word of either list occurs, negators that are listed included."""
+        return relevant.rlike(self.tokens([*self.positive, *self.negative]))
 
 
-def is_blank(text: Column) -> Column:
-    return F.size(split_words(text)) == 0
+ENGLISH = SentimentLexicon(fixed.POSITIVE_EN, fixed.NEGATIVE_EN, fixed.NEGATORS_EN)
+TURKISH = SentimentLexicon(
+    fixed.POSITIVE_TR, fixed.NEGATIVE_TR, fixed.NEGATORS_TR,
+    letters="a-z" + fixed.TURKISH_LETTERS + "'", negator_follows=True,
+)
 
 
-def sentiment(
-    text: Column,
-    english: SentimentLexicon = ENGLISH,
-    turkish: SentimentLexicon = TURKISH,
-    english_score: Column | None = None,
-) -> Column:
-    """Sentiment in [-1, 1]: Turkish lexicon for Turkish texts, English otherwise, with a ``!`` bonus.
+def is_turkish(text: Column, lowered: Column | None = None) -> Column:
+    """A Turkish letter anywhere, or one of the function words as a whole word."""
+    lowered = F.lower(text) if lowered is None else lowered
+    letter = F.when(is_ascii(text), F.lit(False)).otherwise(text.rlike(f"[{fixed.TURKISH_LETTERS}]"))
+    return letter | lowered.rlike(whole_words(fixed.TURKISH_FUNCTION_WORDS, any_case=False))
 
-    ``english_score`` replaces the English lexicon and its bonus where it is not null.
-    """
-    text = clean_string(text)
-    shouted = F.contains(text, F.lit("!"))
-    bonus = F.lit(fixed.EXCLAMATION_BONUS)
-
-    turkish_score = turkish_compound(text, turkish)
-    turkish_score = turkish_score + F.when(shouted, bonus).otherwise(0.0)
-    any_word = F.lower(text).rlike(english.tokens([*english.positive, *english.negative]))
-    lexicon_score = english_compound(text, english)
-    lexicon_score = lexicon_score + F.when(shouted & any_word, bonus).otherwise(0.0)
-    if english_score is not None:
-        lexicon_score = F.coalesce(english_score, lexicon_score)
-    return (
-        F.when(is_blank(text), F.lit(0.0))
-        .when(is_turkish(text), _clamped(turkish_score))
-        .otherwise(_clamped(lexicon_score))
-    )
-
-
-def toxicity(
-    text: Column,
-    terms: Sequence[str] = tuple(fixed.TOXIC_EN),
-    turkish_terms: Sequence[str] = tuple(fixed.TOXIC_TR),
-) -> Column:
-    """Toxicity in [0, 1]: distinct terms found as substrings, per word of a text of up to ten words."""
-    text = clean_string(text)
-    lowered = F.lower(text)
-
-    def found(words: Sequence[str]) -> Column:
-        total = F.lit(0)
-        for word in words:
-            total = total + flag(F.contains(lowered, F.lit(word)))
-        return total
 
-    turkish_only = [t for t in turkish_terms if t not in terms]
-    hits = found(list(dict.fromkeys(terms))) + F.when(is_turkish(text), found(turkish_only)).otherwise(0)
-    words = F.least(F.greatest(F.size(split_words(text)), F.lit(1)), F.lit(10))
-    return F.when(is_blank(text), F.lit(0.0)).otherwise(F.least(F.lit(1.0), hits / words * F.lit(3.0)))
+def with_compound(df: DataFrame, lexicon: SentimentLexicon, text_col: str = "text_content", name: str = "compound") -> DataFrame:
+    """``df`` plus the lexicon mean of every text, whatever its language."""
+    reduced = df.withColumn("_relevant", lexicon.relevant(F.lower(clean_string(F.col(text_col)))))
+    return reduced.withColumn(name, lexicon.compound(F.col("_relevant"))).drop("_relevant")
 
 
 def vader_score(text: Column) -> Column | None:
@@ -169,11 +126,54 @@ def vader_score(text: Column) -> Column | None:
     return score(text)
 
 
-def with_affect(df, text_col: str = "text_content", use_vader: bool = False):
-    """``df`` plus ``sentiment_score`` and ``toxicity_score`` computed from the text."""
-    text = F.col(text_col)
-    english_score = vader_score(text) if use_vader else None
-    return df.withColumns({
-        "sentiment_score": sentiment(text, english_score=english_score),
-        "toxicity_score": toxicity(text),
+def with_affect(
+    df: DataFrame,
+    text_col: str = "text_content",
+    words: str | None = None,
+    english: SentimentLexicon = ENGLISH,
+    turkish: SentimentLexicon = TURKISH,
+    toxic_terms: Sequence[str] = tuple(fixed.TOXIC_EN),
+    turkish_toxic_terms: Sequence[str] = tuple(fixed.TOXIC_TR),
+    use_vader: bool = False,
+) -> DataFrame:
+    """``df`` plus ``sentiment_score`` in [-1, 1] and ``toxicity_score`` in [0, 1] of the text.
+
+    Sentiment: Turkish lexicon for Turkish texts, otherwise VADER if wanted and installed, otherwise the
+    English lexicon; an exclamation mark adds a bonus (in English only next to a lexicon word).
+    Toxicity: distinct terms found as substrings, per word of a text of up to ten words.
+    ``words`` names a column that already holds the word count.
+    """
+    text, lowered, relevant, n_words = F.col("_text"), F.col("_lowered"), F.col("_relevant"), F.col("_n_words")
+    blank, in_turkish = n_words == 0, F.col("_turkish")
+
+    # Lower-casing, language and reduction are steps of their own: each is used many times below.
+    base = df.withColumn("_text", clean_string(F.col(text_col))).withColumn("_lowered", F.lower(text))
+    base = base.withColumns({
+        "_n_words": F.col(words) if words else F.size(split_words(text)),
+        "_turkish": is_turkish(text, lowered),
+    })
+    base = base.withColumn("_relevant", F.when(in_turkish, turkish.relevant(lowered)).otherwise(english.relevant(lowered)))
+
+    shouted = F.contains(text, F.lit("!"))
+    turkish_score = turkish.compound(relevant) + F.when(shouted, F.lit(fixed.EXCLAMATION_BONUS)).otherwise(0.0)
+    english_score = english.compound(relevant) + F.when(
+        shouted & english.any_word(relevant), F.lit(fixed.EXCLAMATION_BONUS)
+    ).otherwise(0.0)
+    vader = vader_score(text) if use_vader else None
+    score = F.when(in_turkish, turkish_score).otherwise(english_score if vader is None else F.coalesce(vader, english_score))
+
+    def found(terms: Sequence[str]) -> Column:
+        total = F.lit(0)
+        for term in terms:
+            total = total + flag(F.contains(lowered, F.lit(term)))
+        return total
+
+    extra = [t for t in turkish_toxic_terms if t not in toxic_terms]
+    hits = found(list(dict.fromkeys(toxic_terms))) + F.when(in_turkish, found(extra)).otherwise(0)
+    per_word = hits / F.least(F.greatest(n_words, F.lit(1)), F.lit(10)) * F.lit(3.0)
+    scored = base.withColumns({
+        "sentiment_score": F.when(blank, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score))),
+        "toxicity_score": F.when(blank, F.lit(0.0)).otherwise(F.least(F.lit(1.0), per_word)),
     })
+    kept = [c for c in df.columns if c not in ("sentiment_score", "toxicity_score")]
+    return scored.select(*kept, "sentiment_score", "toxicity_score")

@@ -16,12 +16,13 @@ from adlumen.functions.rounding import round_binary
 
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\x1C-\x1F]"
-# Characters that count as a digit, decimal digits plus superscripts, circled ones etc.
+# Characters beyond ASCII that count as a digit, decimal digits plus superscripts, circled
+# ones etc. ASCII is tested first, as nearly all characters are ASCII.
 DIGIT = (
-    r"[\p{Nd}\x{B2}\x{B3}\x{B9}\x{1369}-\x{1371}\x{19DA}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}"
-    r"\x{2460}-\x{2468}\x{2474}-\x{247C}\x{2488}-\x{2490}\x{24EA}\x{24F5}-\x{24FD}\x{24FF}"
+    r"[0-9[\x{80}-\x{10FFFF}&&[\p{Nd}\x{B2}\x{B3}\x{B9}\x{1369}-\x{1371}\x{19DA}\x{2070}\x{2074}-\x{2079}"
+    r"\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247C}\x{2488}-\x{2490}\x{24EA}\x{24F5}-\x{24FD}\x{24FF}"
     r"\x{2776}-\x{277E}\x{2780}-\x{2788}\x{278A}-\x{2792}\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}"
-    r"\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}]"
+    r"\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}]]]"
 )
 
 TEXT_FEATURES = [
@@ -43,15 +44,20 @@ def any_term(terms: Sequence[str]) -> str:
     return "(?:" + "|".join(r"\Q" + t + r"\E" for t in terms) + ")"
 
 
-def whole_words(terms: Sequence[str]) -> str:
-    """Case-insensitive regex for whole-word occurrences of the terms."""
-    return f"(?iu)(?<!{WORD}){any_term(terms)}(?!{WORD})"
+def whole_words(terms: Sequence[str], any_case: bool = True) -> str:
+    """Regex for whole-word occurrences of the terms, by default case-insensitive."""
+    return ("(?iu)" if any_case else "") + f"(?<!{WORD}){any_term(terms)}(?!{WORD})"
 
 
 def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def is_ascii(text: Column) -> Column:
+    """Whether the text has ASCII characters only (as many bytes as characters)."""
+    return F.octet_length(text) == F.length(text)
+
+
 def flag(condition: Column) -> Column:
     return condition.cast("int")
 
@@ -87,13 +93,13 @@ def with_text_features(
         "has_question": flag(F.contains(text, F.lit("?"))),
         "has_exclamation": flag(F.contains(text, F.lit("!"))),
         "urgency_count": urgency_count(text, urgency_terms),
-        "emoji_count": count_matches(text, EMOJI_CLASS),
+        "emoji_count": F.when(is_ascii(text), F.lit(0)).otherwise(count_matches(text, EMOJI_CLASS)),
         "hashtag_count": count_matches(text, f"#{WORD}+"),
         "has_mention": flag(text.rlike(f"@{WORD}")),
         "has_cta": has_phrase(text, cta_phrases),
         "_distinct": F.size(F.array_distinct(lowered)),
         # A word counts when its first character is upper-case / when it holds a digit.
-        "_caps": count_matches(text, rf"(?U)(?<![^\s\x1C-\x1F])\p{{IsUppercase}}"),
+        "_caps": count_matches(text, rf"(?U)\p{{IsUppercase}}(?<![^\s\x1C-\x1F]\p{{IsUppercase}})"),
         "_digits": count_matches(text, rf"(?U){DIGIT}[^\s\x1C-\x1F]*"),
     })
     total = F.greatest(F.col("word_count"), F.lit(1))

@@ -106,14 +106,19 @@ def rewrite_rounds(
 
 def correction_results(
     variants: DataFrame, state: DataFrame, threshold: float = fixed.ALIGNMENT_THRESHOLD,
-    with_final_ctr: Callable[[DataFrame, str, str], DataFrame] | None = None,
+    with_ctr: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Gated variants with the outcome of the rounds.
 
-    ``with_final_ctr(df, text_column, name)`` predicts the click rate of the final texts; without it
-    the given rate is kept. Variants that were not candidates pass unchanged.
+    ``with_ctr(df, text_column)`` adds ``ctr_score``, the click rate predicted for a text; only texts that
+    went through the rounds are predicted again. Without it the given rate is kept. Variants that were
+    not candidates pass unchanged.
     """
     rounds = state.select("variant_id", "best_text", "best_score", F.col("attempts").alias("_attempts"))
+    if with_ctr is not None:
+        rounds = with_ctr(rounds, "best_text").withColumnRenamed("ctr_score", "_final_ctr")
+    else:
+        rounds = rounds.withColumn("_final_ctr", F.lit(None).cast("double"))
     joined = variants.join(rounds, "variant_id", "left").withColumns({
         "corrected": F.col("_attempts").isNotNull(),
         "attempts": F.coalesce("_attempts", F.lit(0)),
@@ -123,9 +128,7 @@ def correction_results(
         "final_brand_score": F.coalesce("best_score", "brand_score"),
         "original_ctr": F.col("ctr_score"),
     })
-    if with_final_ctr is not None:
-        joined = with_final_ctr(joined, "final_text", "_final_ctr")
-        joined = joined.withColumn("ctr_score", F.when(F.col("corrected"), F.col("_final_ctr")).otherwise(F.col("ctr_score")))
+    joined = joined.withColumn("ctr_score", F.coalesce("_final_ctr", "ctr_score"))
     outcome = joined.withColumns({
         "needs_human_review": F.col("corrected") & (F.col("final_brand_score") < F.lit(float(threshold))),
         "alignment_uplift": F.col("final_brand_score") - F.col("original_brand_score"),

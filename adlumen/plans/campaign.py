@@ -58,12 +58,8 @@ def run_campaign(
 
     def corrections() -> DataFrame:
         state = correct.rewrite_rounds(gated.where("is_candidate"), rewriter, threshold, max_attempts)
-
-        def final_ctr(df: DataFrame, text: str, name: str) -> DataFrame:
-            kept = df.withColumnRenamed("ctr_score", "_given_ctr")
-            return with_ctr(kept, text).withColumnRenamed("ctr_score", name).withColumnRenamed("_given_ctr", "ctr_score")
-
-        return correct.correction_results(gated, state, threshold, final_ctr)
+        # The ranking reads the results twice, for the counts and for the rows.
+        return correct.correction_results(gated, state, threshold, with_ctr).persist()
 
     corrected = timed("correction", corrections)
 

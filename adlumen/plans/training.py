@@ -27,7 +27,7 @@ def featured_posts(posts: DataFrame, languages=("en",), affect_source: str = "co
     """Cleaned posts with features; ``affect_source="text"`` recomputes sentiment and toxicity from the
     text, as is done for new texts, instead of keeping the columns that came with the posts."""
     featured = with_text_features(clean_posts(posts, languages))
-    return with_affect(featured) if affect_source == "text" else featured
+    return with_affect(featured, words="word_count") if affect_source == "text" else featured
 
 
 def train(

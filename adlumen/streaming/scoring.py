@@ -18,7 +18,7 @@ from adlumen.operators.rank import rank_variants
 
 def scored_stream(texts: DataFrame, text: str = "text_content") -> DataFrame:
     """Text features, sentiment and toxicity of every row."""
-    return with_affect(with_text_features(texts, text), text)
+    return with_affect(with_text_features(texts, text), text, words="word_count")
 
 
 def ranked_batches(variants: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

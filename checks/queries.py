@@ -22,7 +22,7 @@ TEXT_LIMIT = 400
 FALLBACK_PRIMARIES = [fixed.FALLBACK_MODELS[2], fixed.FALLBACK_MODELS[0], "other-model"]
 AUC_SCORE = "ctr_proxy"
 EN_WORDS = affect.SentimentLexicon(["the", "de"], ["of", "der"], ["is", "la"])
-TR_WORDS = affect.SentimentLexicon(["der", "le"], ["die"], ["und", "la"], letters=affect.TURKISH.letters)
+TR_WORDS = affect.SentimentLexicon(["der", "le"], ["die"], ["und", "la"], letters=affect.TURKISH.letters, negator_follows=True)
 # Learners small enough for a laptop; the published sizes are the defaults of ModelSizes.
 SMALL = model.ModelSizes(boosting_rounds=5, step=0.3, depth=3, forest_trees=5, parallelism=4)
 
@@ -84,30 +84,38 @@ def is_turkish(i: Inputs) -> DataFrame:
     return i.posts.select("post_id", affect.is_turkish(F.col("text_content")).alias("is_turkish"))
 
 
+def _compound(i: Inputs, lexicon: affect.SentimentLexicon) -> DataFrame:
+    return affect.with_compound(i.posts.select("post_id", "text_content"), lexicon).select("post_id", r("compound"))
+
+
 def sentiment_en(i: Inputs) -> DataFrame:
-    return i.posts.select("post_id", r(affect.english_compound(F.col("text_content")), name="compound"))
+    return _compound(i, affect.ENGLISH)
 
 
 def sentiment_tr(i: Inputs) -> DataFrame:
-    return i.posts.select("post_id", r(affect.turkish_compound(F.col("text_content")), name="compound"))
+    return _compound(i, affect.TURKISH)
 
 
 def sentiment_custom(i: Inputs) -> DataFrame:
-    return i.documents.select(
-        "doc_id", r(affect.english_compound(F.col("text"), EN_WORDS), name="english"),
-        r(affect.turkish_compound(F.col("text"), TR_WORDS), name="turkish"))
+    english = affect.with_compound(i.documents.select("doc_id", "text"), EN_WORDS, "text", "english")
+    both = affect.with_compound(english, TR_WORDS, "text", "turkish")
+    return both.select("doc_id", r("english"), r("turkish"))
+
+
+def _affect(i: Inputs, use_vader: bool = False) -> DataFrame:
+    return affect.with_affect(i.posts.select("post_id", "text_content"), use_vader=use_vader)
 
 
 def sentiment_score(i: Inputs) -> DataFrame:
-    return i.posts.select("post_id", r(affect.sentiment(F.col("text_content")), name="sentiment_score"))
+    return _affect(i).select("post_id", r("sentiment_score"))
 
 
 def sentiment_vader(i: Inputs) -> DataFrame:
-    return affect.with_affect(i.posts.select("post_id", "text_content"), use_vader=True).select("post_id", r("sentiment_score"))
+    return _affect(i, use_vader=True).select("post_id", r("sentiment_score"))
 
 
 def toxicity_score(i: Inputs) -> DataFrame:
-    return i.posts.select("post_id", r(affect.toxicity(F.col("text_content")), name="toxicity_score"))
+    return _affect(i).select("post_id", r("toxicity_score"))
 
 
 # --- engagement statistics ----------------------------------------------------------------------
@@ -221,7 +229,7 @@ def rule_check(i: Inputs) -> DataFrame:
 
 def with_rule_rate(df: DataFrame, text: str = "text") -> DataFrame:
     """Click rate of the known rule for a text column, as ``ctr_score``."""
-    featured_rows = affect.with_affect(tx.with_text_features(df, text), text)
+    featured_rows = affect.with_affect(tx.with_text_features(df, text), text, words="word_count")
     return featured_rows.withColumn("_rate", scoring.rule_ctr()).select(
         *[c for c in df.columns if c != "ctr_score"], F.col("_rate").alias("ctr_score"))
 

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from adlumen.sources.files import read_parquet
+
 # A hook per text, because the corpus itself holds no urgency terms, calls to action, tags or emoji.
 HOOKS = [
     "",
@@ -157,6 +159,7 @@ VIEWS = {
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
+TEXT_TABLES = ["documents", "pages", "conversations"]
 _NAME = re.compile(r"\{(" + "|".join([*VIEWS, *TABLES]) + r")\}")
 
 
@@ -169,7 +172,8 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self._made:
             if name in TABLES:
-                self._made[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+                path = f"{self._folder}/{name}.parquet"
+                self._made[name] = read_parquet(self._spark, path) if name in TEXT_TABLES else self._spark.read.parquet(path)
             else:
                 parts = {part: getattr(self, part) for part in _NAME.findall(VIEWS[name])}
                 self._made[name] = self._spark.sql(VIEWS[name], **parts)
