@@ -326,3 +326,11 @@ def offbrand_baseline(refs: DataFrame) -> DataFrame:
     )
     rows = with_brand_similarities(keyed, refs, "ref_key", "ref_vec").select("own_brand", F.inline("similarities"))
     return rows.where(F.col("brand_id") != F.col("own_brand")).agg(F.avg("similarity").alias("baseline"))
+
+
+def scores_from_columns(brands: Sequence[str]) -> Column:
+    """``scores`` from one ``score_<brand>`` column per brand, as the evaluation files hold them."""
+    return F.array(*[
+        F.struct(F.lit(b).alias("brand_id"), F.lit(i).alias("brand_ord"), F.col(f"score_{b}").alias("score"))
+        for i, b in enumerate(brands)
+    ])

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from adlumen.functions import fixed_values as fixed
 from adlumen.functions.rounding import round_binary
 from adlumen.operators.catalog import bullets, reference_bullets
-from adlumen.operators.generate import filled
+from adlumen.operators.generate import TextProvider, filled, generate_texts, rewrite_models
 from adlumen.operators.joins import lookup_join
 from adlumen.operators.rank import with_request_median
 from adlumen.operators.rules import violations
+from adlumen.sources.cache import GenerationCache
 
 CORRECTION_INFO = ["corrected", "attempts", "alignment_uplift", "ctr_delta", "original_brand_score", "original_text"]
 
@@ -93,6 +94,27 @@ def table_rewriter(rewrites: DataFrame) -> Rewriter:
     return answers
 
 
+def provider_rewriter(
+    catalog: DataFrame, refs: DataFrame, provider: TextProvider, cache: GenerationCache, models: Sequence[str],
+    with_brand: Callable[[DataFrame, str], DataFrame], threshold: float = fixed.ALIGNMENT_THRESHOLD,
+    concurrency: int | None = None,
+) -> Rewriter:
+    """Answers of a text provider; ``with_brand(df, text_column)`` scores them as ``brand_score``.
+
+    The answers are checkpointed as they come, so later steps never ask again.
+    """
+
+    def answers(pending: DataFrame, attempt: int) -> DataFrame:
+        prompts = build_rewrite_prompts(pending, catalog, refs, threshold)
+        made = generate_texts(prompts, provider, cache, models, policy=rewrite_models, concurrency=concurrency)
+        scored = with_brand(made.withColumnRenamed("generated", "new_text"), "new_text")
+        return scored.select(
+            "variant_id", "new_text", F.col("brand_score").alias("new_score"), F.col("error").alias("new_error")
+        )
+
+    return answers
+
+
 def rewrite_rounds(
     candidates: DataFrame, rewriter: Rewriter, threshold: float = fixed.ALIGNMENT_THRESHOLD,
     max_attempts: int = fixed.MAX_REWRITES,

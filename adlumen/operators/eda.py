@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from adlumen.functions.fixed_values import CORRELATION_COLUMNS
+from adlumen.functions.statistics import pearson
 from adlumen.operators.quantile import exact_quantile
 
 
@@ -63,15 +64,12 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] = CORRELATION_COLUMNS) ->
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     pairs = list(combinations(columns, 2))
     one_row = numbers.agg(
-        *[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs],
+        *[pearson(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs],
         *[F.when(F.stddev_pop(c) > 0, F.lit(1.0)).alias(f"{c}|{c}") for c in columns],
     )
     known = {(a, b): f"{a}|{b}" for a, b in pairs} | {(c, c): f"{c}|{c}" for c in columns}
     cells = [
-        F.struct(
-            F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-            F.when(~F.isnan(F.col(f"`{cell}`")), F.col(f"`{cell}`")).alias("r"),
-        )
+        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"`{cell}`").alias("r"))
         for a in columns for b in columns
         for cell in [known.get((a, b)) or known[(b, a)]]
     ]

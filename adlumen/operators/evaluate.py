@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adlumen.functions.hashing import hash_number
+from adlumen.functions.statistics import pearson
 from adlumen.functions.text import stripped
 from adlumen.operators.brand import predicted_brand, score_of
 from adlumen.operators.quantile import with_running_sums
@@ -47,7 +48,7 @@ def human_eval_metrics(outcome: DataFrame) -> DataFrame:
     return outcome.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.col("is_correct").cast("double")).alias("accuracy"),
-        F.corr("own_score", F.col("is_correct").cast("double")).alias("correlation"),
+        pearson(F.col("own_score"), F.col("is_correct")).alias("correlation"),
         F.avg(F.when(right, F.col("own_score"))).alias("mean_correct"),
         F.avg(F.when(~right, F.col("own_score"))).alias("mean_wrong"),
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from adlumen.functions import fixed_values as fixed
 from adlumen.operators import correct, generate
 from adlumen.operators.rank import ranked, score_batch
+from adlumen.sources.cache import GenerationCache
 
 Scorer = Callable[[DataFrame, str], DataFrame]
 
@@ -27,6 +28,23 @@ class CampaignResult:
     timings: dict[str, float] = field(default_factory=dict)
 
 
+def generate_variants(
+    requests: DataFrame, catalog: DataFrame, refs: DataFrame, provider: generate.TextProvider,
+    cache: GenerationCache, models: Sequence[str], styles: Sequence[str] = tuple(fixed.STYLES),
+    concurrency: int | None = None,
+) -> DataFrame:
+    """One variant per request and style from a text provider, with the text or the error.
+
+    ``requests`` holds request_id, brand_id, product, audience; requests of unknown brands make none.
+    """
+    prompts = generate.build_prompts(generate.expand_styles(requests, styles), catalog, refs)
+    made = generate.generate_texts(prompts, provider, cache, models, concurrency=concurrency)
+    return made.select(
+        (F.col("request_id") * len(styles) + F.col("style_ord")).alias("variant_id"), "request_id",
+        F.col("style_ord").alias("variant_ord"), "brand_id", "style", F.col("generated").alias("text"), "error",
+    )
+
+
 def run_campaign(
     variants: DataFrame,
     with_ctr: Scorer,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever they were started (like ``--py-files``)."""
+    package = Path(__file__).resolve().parent
+    if any(package.name in Path(f).name for f in spark.sparkContext.listFiles):
+        return
+    target = Path(tempfile.mkdtemp(prefix=f"{package.name}-ship-")) / package.name
+    spark.sparkContext.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))

@@ -12,7 +12,7 @@ from adlumen.operators import (
     brand, catalog, clean, correct, eda, embed, evaluate, generate, model, rank, rules,
 )
 from adlumen.plans import campaign, reports, training
-from adlumen.session import shared_dir
+from adlumen.session import shared_dir, ship_package
 from adlumen.sources import cache
 from checks.views import Inputs
 
@@ -518,6 +518,24 @@ def campaign_run(i: Inputs) -> DataFrame:
         r(F.col("correction_info.ctr_delta"), name="ctr_delta"), "rank")
 
 
+def campaign_provider(i: Inputs) -> DataFrame:
+    """From requests to ranked variants with texts and rewrites of a provider and n-gram vectors."""
+    spark = i.requests.sparkSession
+    store = cache.GenerationCache(spark, f"{shared_dir(spark)}/campaign/{spark.sparkContext.applicationId}")
+    brands, models = accepted_catalog(i), fixed.FALLBACK_MODELS
+    encoder = embed.fit_embedder(i.ref_texts, "ref_text")
+    refs = embed.embed_text(i.ref_texts, encoder, "ref_text", "ref_vec")
+
+    def with_brand(df: DataFrame, text: str) -> DataFrame:
+        vectors = embed.embed_text(df, encoder, text)
+        return brand.with_brand_score(vectors, refs, "variant_id", baseline=0.0).drop("text_vec")
+
+    variants = campaign.generate_variants(i.requests, brands, i.ref_texts, generate.TemplateProvider(), store, models)
+    rewriter = correct.provider_rewriter(brands, i.ref_texts, generate.TemplateProvider(), store, models, with_brand)
+    made = campaign.run_campaign(variants, with_rule_rate, with_brand, rewriter)
+    return made.ranked.select("request_id", "variant_id", "style", "text", "composite_score", "needs_human_review", "rank")
+
+
 # --- models -------------------------------------------------------------------------------------
 
 
@@ -615,7 +633,7 @@ QUERIES: list[Callable[[Inputs], DataFrame]] = [
     brand_catalog, brand_refs_topn, brand_lookup, unknown_brands, upsert_brands, rejected_brands, fallback_chain, label_lookup,
     expand_styles, build_prompts, build_rewrite_prompts, cache_key, cache_hits, cache_misses, cache_upsert,
     split_generation_errors, classify_errors, is_transient, retry_schedule, generate_batch,
-    apply_rewrites, attach_corrections, campaign_run,
+    apply_rewrites, attach_corrections, campaign_run, campaign_provider,
     train_full_gbt, train_linear, train_content_gbt, cv_gbt, feature_importances, importances_positive, importances_top8,
     ablation, predict_ctr, model_roundtrip, train_report, embed_text,
 ]
@@ -623,6 +641,10 @@ QUERIES: list[Callable[[Inputs], DataFrame]] = [
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(query: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, folder: query(Inputs(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return query(Inputs(spark, folder))
+
+        return run
 
     return {query.__name__: bound(query) for query in QUERIES}
