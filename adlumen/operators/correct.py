@@ -13,6 +13,7 @@ from adlumen.operators.generate import TextProvider, filled, generate_texts, rew
 from adlumen.operators.joins import lookup_join
 from adlumen.operators.rank import with_request_median
 from adlumen.operators.rules import violations
+from adlumen.session import checkpointed
 from adlumen.sources.cache import GenerationCache
 
 CORRECTION_INFO = ["corrected", "attempts", "alignment_uplift", "ctr_delta", "original_brand_score", "original_text"]
@@ -101,16 +102,17 @@ def provider_rewriter(
 ) -> Rewriter:
     """Answers of a text provider; ``with_brand(df, text_column)`` scores them as ``brand_score``.
 
-    The answers are checkpointed as they come, so later steps never ask again.
+    The scored answers are checkpointed as well: each round joins them to a state they came from, and
+    without the cut the plan would double with every round.
     """
 
     def answers(pending: DataFrame, attempt: int) -> DataFrame:
         prompts = build_rewrite_prompts(pending, catalog, refs, threshold)
         made = generate_texts(prompts, provider, cache, models, policy=rewrite_models, concurrency=concurrency)
         scored = with_brand(made.withColumnRenamed("generated", "new_text"), "new_text")
-        return scored.select(
+        return checkpointed(scored.select(
             "variant_id", "new_text", F.col("brand_score").alias("new_score"), F.col("error").alias("new_error")
-        )
+        ))
 
     return answers
 

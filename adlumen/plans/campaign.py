@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from adlumen.functions import fixed_values as fixed
 from adlumen.operators import correct, generate
 from adlumen.operators.rank import ranked, score_batch
+from adlumen.session import checkpointed
 from adlumen.sources.cache import GenerationCache
 
 Scorer = Callable[[DataFrame, str], DataFrame]
@@ -19,7 +20,7 @@ Scorer = Callable[[DataFrame, str], DataFrame]
 @dataclass(frozen=True)
 class CampaignResult:
     """Ranked variants with their correction info, all correction results, failures per variant and
-    per request, and seconds per stage (the time to plan a stage, or to run it where it is an action)."""
+    per request, and seconds per stage (scoring is planned first and runs with the gate)."""
 
     ranked: DataFrame
     corrections: DataFrame
@@ -70,14 +71,15 @@ def run_campaign(
 
     usable = generate.usable_variants(variants).drop("error")
     scored = timed("scoring", lambda: score_batch(with_brand(with_ctr(usable, "text"), "text"), ctr_weight))
-    # The scores feed the median, the gate and the rounds; persisting avoids scoring the texts again.
+    # The scores feed the median, the gate and the rounds. The checkpoint keeps the texts from being
+    # scored again, also after a lost executor, and keeps the later plans small.
     columns = [*usable.columns, "ctr_score", "brand_score"]
-    gated = timed("gate", lambda: correct.with_gate(scored.select(*columns).persist(), threshold))
+    gated = timed("gate", lambda: correct.with_gate(checkpointed(scored.select(*columns)), threshold))
 
     def corrections() -> DataFrame:
         state = correct.rewrite_rounds(gated.where("is_candidate"), rewriter, threshold, max_attempts)
         # The ranking reads the results twice, for the counts and for the rows.
-        return correct.correction_results(gated, state, threshold, with_ctr).persist()
+        return checkpointed(correct.correction_results(gated, state, threshold, with_ctr))
 
     corrected = timed("correction", corrections)
 
