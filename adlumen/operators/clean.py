@@ -12,14 +12,15 @@ REQUIRED = ("sentiment_score", "toxicity_score")
 
 
 def in_languages(languages: Sequence[str] | None) -> Column:
-    """True for the wanted languages; ``None`` keeps every row, null language included."""
-    if languages is None:
-        return F.lit(True)
-    return F.coalesce(F.col("language").isin(*languages), F.lit(False))
+    """The wanted languages, null being none of them; ``None`` keeps every row.
+
+    A plain comparison, so that it reaches the file scan.
+    """
+    return F.lit(True) if languages is None else F.col("language").isin(*languages)
 
 
 def was_shown() -> Column:
-    return F.coalesce(F.col("impressions") > 0, F.lit(False))
+    return F.col("impressions") > 0
 
 
 def engagement_rate() -> Column:

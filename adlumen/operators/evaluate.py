@@ -86,11 +86,12 @@ def cv_scores(folds: DataFrame, value: str = "r2") -> DataFrame:
     return folds.agg(F.avg(value).alias("cv_mean"), F.stddev_pop(value).alias("cv_std"))
 
 
-def univariate_cv(df: DataFrame, x: str, y: str, fold: str) -> DataFrame:
-    """R2 per fold of a straight line fitted on the other folds.
+def univariate_cv(df: DataFrame, x: str, y: str, fold: str, folds: int = 5) -> DataFrame:
+    """R2 per fold ``0 .. folds-1`` of a straight line fitted on the other folds.
 
     The line of a fold is fitted from sums: totals of the table minus the sums of the fold.
     """
+    df = df.where(F.col(fold).between(0, folds - 1))
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     names = ["n", "sx", "sy", "sxx", "sxy"]
     sums = [F.count(F.lit(1)).cast("double"), F.sum(a), F.sum(b), F.sum(a * a), F.sum(a * b)]
@@ -101,7 +102,7 @@ def univariate_cv(df: DataFrame, x: str, y: str, fold: str) -> DataFrame:
     lines = rest.withColumn("slope", slope).select(
         fold, "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).alias("intercept")
     )
-    # One row per fold.
+    # At most ``folds`` lines.
     fitted = df.join(F.broadcast(lines), fold).withColumn("_predicted", F.col("slope") * a + F.col("intercept"))
     return regression_metrics(fitted, y, "_predicted", [fold])
 

@@ -9,6 +9,7 @@ Only bucket totals are accumulated per group; the order inside a bucket is found
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,6 +24,10 @@ def value_bucket(value: Column) -> Column:
     return F.when(value == 0, F.lit(0)).when(value > 0, octave).otherwise(-octave)
 
 
+def _all_present(columns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+
 def _running(column: str, window) -> Column:
     return F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
@@ -33,7 +38,7 @@ def with_running_sums(df: DataFrame, value: str, sums: Sequence[str], by: Sequen
     Expects one row per (``by``, ``value``). Also adds ``<sum>_total`` per group.
     """
     keys = [*by, "_bucket"]
-    rows = df.withColumn("_bucket", value_bucket(F.col(value)))
+    rows = df.withColumn("_bucket", value_bucket(F.col(value))).where(_all_present(keys))
     totals = rows.groupBy(*keys).agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     over_buckets = Window.partitionBy(*by, F.lit(0)).orderBy("_bucket")
     over_group = Window.partitionBy(*by, F.lit(0))
@@ -59,6 +64,9 @@ def exact_quantile(df: DataFrame, column: str, q: float, by: Sequence[str] = (),
         .groupBy(*by, value.alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_bucket", value_bucket(F.col("_value")))
     )
+    # The join below implies these conditions. Stated here, they apply to both of its sides, which then
+    # share one scan and one exchange.
+    counts = counts.where(_all_present([*by, "_bucket"]))
     # Bucket totals per group give the bucket(s) that hold the two neighbouring order statistics.
     totals = counts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_size"))
     over_buckets = Window.partitionBy(*by, F.lit(0)).orderBy("_bucket")
