@@ -8,8 +8,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDERS: dict[str, str] = {}
-
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and benchmarks. A cluster brings its own session."""
@@ -29,20 +27,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach: ``spark.checkpoint.dir``.
+    """Folder that every executor can reach: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only a local master may fall back to a temporary folder; on a cluster a machine-local folder
-    would be lost with the machine, so a missing setting is an error there.
+    The library has no fallback: a folder of one machine would be lost with the machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    application = spark.sparkContext.applicationId
-    if application not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="adlumen-")
-    return _LOCAL_FOLDERS[application]
+    return configured
+
+
+def set_local_shared_dir(spark: SparkSession) -> None:
+    """For tests and benchmarks on one machine: set a checkpoint folder where none is set."""
+    if spark.sparkContext.master.startswith("local["):
+        if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="adlumen-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

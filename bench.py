@@ -15,7 +15,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from adlumen.session import local_session  # noqa: E402
+from adlumen.session import local_session, set_local_shared_dir  # noqa: E402
 from checks.queries import registered  # noqa: E402
 
 HEADLINE = [
@@ -32,6 +32,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cores, shuffle_partitions=int(cores) if cores.isdigit() else 8, memory="12g")
+    set_local_shared_dir(spark)
     queries = registered()
 
     def seconds(name: str) -> float:

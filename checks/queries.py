@@ -12,7 +12,7 @@ from adlumen.operators import (
     brand, catalog, clean, correct, eda, embed, evaluate, generate, model, rank, rules,
 )
 from adlumen.plans import campaign, reports, training
-from adlumen.session import shared_dir, ship_package
+from adlumen.session import set_local_shared_dir, shared_dir, ship_package
 from adlumen.sources import cache
 from checks.views import Inputs
 
@@ -642,6 +642,7 @@ QUERIES: list[Callable[[Inputs], DataFrame]] = [
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(query: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            set_local_shared_dir(spark)
             ship_package(spark)
             return query(Inputs(spark, folder))
 

@@ -5,12 +5,14 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from adlumen.session import local_session  # noqa: E402
+from adlumen.session import local_session, set_local_shared_dir  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, shuffle_partitions=4, memory="6g")
+    session = local_session(8, shuffle_partitions=4, memory="6g")
+    set_local_shared_dir(session)
+    return session
 
 
 @pytest.fixture
