@@ -375,7 +375,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     ``tie`` is a hash of the text: rows that share an id and text are copies of each other.
     """
     found = _all_runs(docs, length, gram)
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Written, so that the join reads it from a plain exchange and can split the runs of a frequent anchor.
+    shared = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "suffix-anchors")
     kept = written(found.join(shared, "anchor"), "suffix-runs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "first", "windows", "before")
     contents = written(kept.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place")), "suffix-contents")
