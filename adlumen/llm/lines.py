@@ -95,7 +95,8 @@ def _place() -> Column:
 def _candidates(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """Lines that share a half with another line: ``h1``, ``h2``, ``first``, ``shared``, ``content``."""
     halves = firsts.select("h1", "h2", "first", F.posexplode("halves").alias("half_no", "half"))
-    common = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
+    # Counts are written before they are joined: a join of plain exchanges can split a frequent key.
+    common = written(halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "lines-halves")
     flagged = halves.join(common, "half").groupBy("h1", "h2").agg(
         F.first("first").alias("first"), F.collect_set("half_no").alias("shared"))  # four numbers at most
     per_doc = flagged.groupBy(F.col("first.doc_id").alias("_doc")).agg(
@@ -127,7 +128,7 @@ def _later(lines: DataFrame) -> DataFrame:
     made = map_rows(lines, "v1 long, v2 long, place int", make, ["content", "shared"], ["h1", "h2", "first"])
     own = F.struct("first", "h1", "h2")
     # Lines of equal length: the earliest line of each variant and place.
-    best = made.groupBy("v1", "v2", "place").agg(F.min(own).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    best = written(made.groupBy("v1", "v2", "place").agg(F.min(own).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "lines-variants")
     same = made.join(best, ["v1", "v2", "place"]).where(F.col("best.first") < F.col("first")).select(
         "h1", "h2", F.col("best.h1").alias("w1"), F.col("best.h2").alias("w2"))
     # A line and its variants: at most one line equals a variant.
@@ -157,8 +158,8 @@ def repeated_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     firsts = written(rows.groupBy("h1", "h2").agg(
         F.min(_place()).alias("first"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n")), "lines-first")
     near = written(_later(written(_candidates(docs, firsts.where(F.size("halves") > 0)), "lines-candidates")), "lines-near")
-    marked = firsts.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near").select(
-        "h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    marked = written(firsts.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near").select(
+        "h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "lines-marked")
     met = rows.select("doc_id", "line", "h1", "h2").join(marked, ["h1", "h2"])
     return met.where(F.col("near") | (_place() > F.col("first"))).select("doc_id", "line", "h1", (F.col("near")).alias("near"))
 
