@@ -8,8 +8,11 @@ from adlumen.llm.common import written
 
 
 def _with_least(sides: DataFrame) -> DataFrame:
-    """``a``, ``b`` and the least neighbour of ``a`` (or ``a`` itself). A frequent ``a`` is one aggregate and a join that can be split."""
-    least = sides.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m"))
+    """``a``, ``b`` and the least neighbour of ``a`` (or ``a`` itself).
+
+    The least neighbours are written first: joined from a plain exchange, the links of a frequent node can be split.
+    """
+    least = written(sides.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m")), "links-least")
     return sides.join(least, "a")
 
 

@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, reach: int = REACH, cell: int = CELL) -> Da
     members = written(_members(rows, reach, cell), "simhash-members")
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = members.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = members.join(named, "root").select("fp", "component_id")
+    by_fp = written(members.join(named, "root").select("fp", "component_id"), "simhash-names")
     return rows.join(by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
