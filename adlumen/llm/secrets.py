@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
-from adlumen.llm.common import map_rows, utf8
+from adlumen.llm.common import map_rows, utf8, written
 
 #: Fixed kinds, in order, with their patterns.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -111,7 +111,8 @@ def update_ledger(versions: DataFrame, text: str, ledger: str, rules: tuple[Rule
     known = read_ledger(spark, ledger, version)
     unseen = _once_per_task(versions, text).repartition("blob").join(known.select("blob"), "blob", "left_anti")
     _scanned(unseen, rules).withColumn("rules", F.lit(version)).write.mode("append").parquet(ledger)
-    return read_ledger(spark, ledger, version).groupBy("blob").agg(F.first("findings").alias("findings"))
+    once = read_ledger(spark, ledger, version).groupBy("blob").agg(F.first("findings").alias("findings"))
+    return written(once, "ledger-entries")  # joined from a plain exchange, a frequent content can be split
 
 
 def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
