@@ -107,7 +107,8 @@ def _decided(pages: DataFrame) -> DataFrame:
     """Pages with digest and the first page of equal payloads. A frequent payload is one aggregate and a join that can be split."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.length(payload).alias("bytes"))
-    firsts = rows.where(F.col("bytes") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"))
+    firsts = written(rows.where(F.col("bytes") >= LEAST_BYTES).groupBy("digest").agg(
+        F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "warc-firsts")
     return rows.join(firsts, "digest", "left").select(
         F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", F.col("first").cast("string").alias("first"),
         F.coalesce(F.col("page_id").cast("long"), F.lit(0).cast("long")).alias("second"))
