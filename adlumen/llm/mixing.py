@@ -16,12 +16,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from adlumen.llm.common import word_count
+from adlumen.llm.common import word_count, written
 
 WEIGHTS = (1, 2, 3)
 SLOPES = (-0.5, 0.0, 0.5)
 CAP = 3
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 MADE = ["doc_id", "size", "source_size", "target", "taken", "source", "slope", "first_word", "all_targets", "all_bends", "position"]
 
 
@@ -62,6 +62,16 @@ def _position(word: Column) -> Column:
     return F.col("all_targets") * t + F.col("all_bends") * (t * t - t)
 
 
+def _numbered(sized: DataFrame, sources: DataFrame, n_buckets: int) -> DataFrame:
+    """Rows with their source's numbers, their hash and the bucket of the hashed order; null ids come last."""
+    keyed = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
+        "d.*", *[f"s.{c}" for c in ("source_no", "source_size", "weight", "slope", "target")])
+    keyed = keyed.withColumn("_hash", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("~")))
+    prefix = F.coalesce(F.conv(F.substring("_hash", 1, 7), 16, 10).cast("double"), F.lit(0.0)) / F.lit(float(1 << 28))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(n_buckets)).otherwise(F.floor(prefix * n_buckets))
+    return keyed.withColumn("_bucket", bucket.cast("long"))
+
+
 def mixed(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, cap: float = CAP,
     rows_per_bucket: int = ROWS_PER_BUCKET, carry: Sequence[str] = (),
@@ -76,17 +86,13 @@ def mixed(
     Running sums use buckets of the hashed order, so that a source of any size is split over many tasks.
     """
     extra = [c for c in carry if c not in MADE]
-    rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
-    n_buckets = max(1, -(-docs.count() // rows_per_bucket))
+    size = word_count(F.col("text")).alias("size")
+    rows = written(docs.select("doc_id", "source", size), "mixing-sizes")
+    n_buckets = max(1, -(-rows.count() // rows_per_bucket))
     sources = source_targets(rows, weights, slopes, cap)
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[F.col(c).alias(f"_carry_{c}") for c in extra])
-    keyed = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
-        "d.*", *[f"s.{c}" for c in ("source_no", "source_size", "weight", "slope", "target")])
-    keyed = keyed.withColumn("_hash", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("~")))
-    prefix = F.coalesce(F.conv(F.substring("_hash", 1, 7), 16, 10).cast("double"), F.lit(0.0)) / F.lit(float(1 << 28))
-    last_bucket = F.when(F.col("doc_id").isNull(), F.lit(n_buckets)).otherwise(F.floor(prefix * n_buckets))
-    keyed = keyed.withColumn("_bucket", last_bucket.cast("long"))
-    totals = keyed.groupBy("source_no", "_bucket").agg(F.sum("size").alias("_sum"))
+    totals = _numbered(rows, sources, n_buckets).groupBy("source_no", "_bucket").agg(F.sum("size").alias("_sum"))
+    sized = docs.select("doc_id", "source", size, *[F.col(c).alias(f"_carry_{c}") for c in extra]) if extra else rows
+    keyed = _numbered(sized, sources, n_buckets)
     running = Window.partitionBy("source_no").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = totals.select("source_no", "_bucket", (F.sum("_sum").over(running) - F.col("_sum")).alias("_start"))
     inside = Window.partitionBy("source_no", "_bucket").orderBy("_hash", "doc_id", "size").rowsBetween(
