@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from adlumen.session import shared_dir
+from adlumen.session import set_local_shared_dir, shared_dir, ship_package
 
 #: White space of the word rules: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ROW = "_row"
+SLICE = 500
 
 
 def word_count(text: Column) -> Column:
@@ -40,6 +41,13 @@ def beside_row(df: DataFrame, **columns: str | Column) -> DataFrame:
         (F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, so that the Python objects of few texts are in memory at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def map_rows(
     df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterable[tuple]]], inputs: Sequence[str], keep: Sequence[str] = (),
     batch_rows: int = 20_000,
@@ -67,7 +75,7 @@ def map_rows(
             columns += [pa.array(v, t) for v, t in zip(values, types)]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for batch in batches:
+        for batch in slices(batches):
             origin: list[int] = []
             rows: list[tuple] = []
             for i, values in enumerate(zip(*[batch.column(j).to_pylist() for j in at])):
@@ -95,3 +103,13 @@ def with_mapped(df: DataFrame, schema: str, make: Callable[[], Callable[..., tup
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def benchmark(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/benchmark.parquet")
+
+
+def ready(spark: SparkSession) -> None:
+    """Folder and package for a query; both are set once per session."""
+    set_local_shared_dir(spark)
+    ship_package(spark)

@@ -14,7 +14,7 @@ a pool that stays too small rejects nothing.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -162,9 +162,26 @@ def _consistency(share: float, p: int) -> float:
     return float(share / cumulated(p + 2)[np.searchsorted(x, quantile)])
 
 
-def _moments(p: int) -> dict[str, Column]:
-    z = [F.element_at("stats", i + 1) - F.element_at("origin", i + 1) for i in range(p)]
-    return {f"s{i}": F.sum(z[i]) for i in range(p)} | {f"c{i}_{j}": F.sum(z[i] * z[j]) for i in range(p) for j in range(i, p)}
+def _sums(p: int) -> list[str]:
+    return [*[f"s{i}" for i in range(p)], *[f"c{i}_{j}" for i in range(p) for j in range(i, p)]]
+
+
+def _binned(p: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Moments about the current centre per group and bin of the distance, summed per batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            off = np.array(batch["stats"].tolist()) - np.array(batch["centre"].tolist())
+            precision = np.array(batch["precision"].tolist()).reshape(-1, p, p)
+            squared = np.einsum("ni,nij,nj->n", off, precision, off)
+            columns = {"_group": batch["_group"].to_numpy(), "_bin": np.clip(np.floor(np.log2(squared + 1e-9) * 16) + 64, 0, BINS - 1).astype(np.int32), "n": 1}
+            columns |= {f"s{i}": off[:, i] for i in range(p)}
+            columns |= {f"c{i}_{j}": off[:, i] * off[:, j] for i in range(p) for j in range(i, p)}
+            yield pd.DataFrame(columns).groupby(["_group", "_bin"], as_index=False).sum()
+
+    return run
 
 
 def estimates(
@@ -177,9 +194,9 @@ def estimates(
     p, least = len(floors), list(floors.values())
     rows = rows.where("stats is not null")
     groups = written(_pooled(rows, min_group), "quality-groups")
-    grouped = _joined(rows, groups).select("_group", "stats")
+    grouped = written(_joined(rows, groups).select("_group", "stats"), "quality-grouped")
     part = lambda i: F.element_at("stats", i + 1)
-    middle = grouped.groupBy("_group").agg(*[F.percentile_approx(part(i), 0.5, 1000).alias(f"m{i}") for i in range(p)])
+    middle = written(grouped.groupBy("_group").agg(*[F.percentile_approx(part(i), 0.5, 1000).alias(f"m{i}") for i in range(p)]), "quality-middle")
     off = grouped.join(middle, "_group").groupBy("_group").agg(
         *[F.percentile_approx(F.abs(part(i) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i in range(p)],
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], F.count(F.lit(1)).alias("group_size"))
@@ -188,15 +205,13 @@ def estimates(
         "_group", F.array(*[F.col(f"m{i}") for i in range(p)]).alias("centre"),
         F.array(*[(1 / spread[i] if i == j else F.lit(0.0)) for i in range(p) for j in range(p)]).alias("precision"), "group_size")
     current = written(start, "quality-start")
-    origin = current.select("_group", F.col("centre").alias("origin"))
+    moments = "_group string, _bin int, n long, " + ", ".join(f"{name} double" for name in _sums(p))
     schema = "_group string, centre array<double>, precision array<double>, group_size long"
     for step in range(steps):
-        near = grouped.join(current, "_group").join(origin, "_group").withColumn(
-            "_d", distance(F.col("stats"), F.col("centre"), F.col("precision"), p))
-        bin_ = F.least(F.greatest(F.floor(F.log2(F.col("_d") + 1e-9) * 16) + 64, F.lit(0)), F.lit(BINS - 1))
-        binned = near.groupBy("_group", bin_.alias("_bin")).agg(
-            F.count(F.lit(1)).alias("n"), F.first("origin").alias("origin"), *[c.alias(k) for k, c in _moments(p).items()])
-        current = written(binned.groupBy("_group").applyInPandas(_concentrated(covered, least), schema), f"quality-step{step}")
+        near = grouped.join(current.drop("group_size"), "_group").mapInPandas(_binned(p), moments)
+        binned = near.groupBy("_group", "_bin").agg(F.sum("n").alias("n"), *[F.sum(name).alias(name) for name in _sums(p)])
+        about = binned.join(current.select("_group", F.col("centre").alias("origin")), "_group")
+        current = written(about.groupBy("_group").applyInPandas(_concentrated(covered, least), schema), f"quality-step{step}")
     return groups.join(current, "_group").select("lang", "source", "centre", "precision", "group_size")
 
 

@@ -8,16 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from adlumen.llm import decontaminate, licenses, lines, mixing, quality, secrets, simhash, suffixes, tokens, warc
-from adlumen.llm.common import documents
-from adlumen.session import set_local_shared_dir, shared_dir, ship_package
+from adlumen.llm.common import benchmark, documents, ready
+from adlumen.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def benchmark(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/benchmark.parquet")
-
-
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_report(documents(spark, folder)).withColumn(
         "removed_lines", F.array_join(F.transform("removed_lines", lambda n: n.cast("string")), ","))
@@ -79,11 +75,6 @@ QUERIES: list[Query] = [
 ]
 
 
-def ready(spark: SparkSession) -> None:
-    set_local_shared_dir(spark)
-    ship_package(spark)
-
-
 def registered() -> dict[str, Query]:
     def bound(query: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:

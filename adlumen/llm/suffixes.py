@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from adlumen.llm.common import map_rows, utf8, with_mapped, written
+from adlumen.llm.common import map_rows, slices, utf8, with_mapped, written
 
 LENGTH = 200
 GRAM = 32
@@ -98,7 +98,7 @@ def _all_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for batch in slices(batches):
             parts, rows, ties, size = [], [], [], 0
             texts = batch.column(1).to_pylist()
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from adlumen.llm.common import map_rows, utf8, written
+from adlumen.llm.common import map_rows, slices, utf8, written
 from adlumen.session import shared_dir
 
 LEAST_BYTES = 100  # smaller payloads are never revisits
@@ -125,7 +125,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES)
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
         out, name, records, size, done = None, "", 0, 0, []
-        for batch in batches:
+        for batch in slices(batches):
             for page, url, html, digest, first, second in zip(*[batch.column(c).to_pylist() for c in columns]):
                 if out is None:
                     name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
