@@ -129,7 +129,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES)
             for page, url, html, digest, first, second in zip(*[batch.column(c).to_pylist() for c in columns]):
                 if out is None:
                     name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = store.open_output_stream(f"{base}/{name}")
+                    out = store.open_output_stream(f"{base}/{name}", compression=None)
                 kind = "response" if first is None or page == first else "revisit"
                 captured = (EPOCH + timedelta(seconds=second % (1 << 31))).strftime("%Y-%m-%dT%H:%M:%SZ")
                 data = gzip.compress(record(kind, page, first, url, captured, digest, utf8(html)), LEVEL, mtime=0)
@@ -179,7 +179,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
         store, base = _store(folder)
 
         def run(archive: str) -> Iterator[tuple]:
-            with store.open_input_stream(f"{base}/{archive}") as stream:
+            with store.open_input_stream(f"{base}/{archive}", compression=None) as stream:
                 captures = [(*parsed(data), archive, offset, length) for offset, length, data in members(stream)]
             yield from sorted(captures, key=_order)
 
