@@ -8,10 +8,9 @@ on that short string: hits of either sign and how many of each are flipped.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adlumen.functions import fixed_values as fixed
@@ -108,24 +107,6 @@ def with_compound(df: DataFrame, lexicon: SentimentLexicon, text_col: str = "tex
     return reduced.withColumn(name, lexicon.compound(F.col("_relevant"))).drop("_relevant")
 
 
-def vader_score(text: Column) -> Column | None:
-    """English compound of the VADER analyzer, or ``None`` when it is not installed."""
-    try:
-        from nltk.sentiment.vader import SentimentIntensityAnalyzer
-
-        SentimentIntensityAnalyzer()
-    except Exception:
-        return None
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        analyzer = SentimentIntensityAnalyzer()
-        for batch in batches:
-            yield batch.map(lambda t: float(analyzer.polarity_scores(t or "")["compound"]))
-
-    return score(text)
-
-
 def with_affect(
     df: DataFrame,
     text_col: str = "text_content",
@@ -134,12 +115,10 @@ def with_affect(
     turkish: SentimentLexicon = TURKISH,
     toxic_terms: Sequence[str] = tuple(fixed.TOXIC_EN),
     turkish_toxic_terms: Sequence[str] = tuple(fixed.TOXIC_TR),
-    use_vader: bool = False,
 ) -> DataFrame:
     """``df`` plus ``sentiment_score`` in [-1, 1] and ``toxicity_score`` in [0, 1] of the text.
 
-    Sentiment: Turkish lexicon for Turkish texts, otherwise VADER if wanted and installed, otherwise the
-    English lexicon; an exclamation mark adds a bonus (in English only next to a lexicon word).
+    Sentiment: Turkish lexicon for Turkish texts, otherwise the English lexicon; an exclamation mark adds a bonus (in English only next to a lexicon word).
     Toxicity: distinct terms found as substrings, per word of a text of up to ten words.
     ``words`` names a column that already holds the word count.
     """
@@ -159,8 +138,7 @@ def with_affect(
     english_score = english.compound(relevant) + F.when(
         shouted & english.any_word(relevant), F.lit(fixed.EXCLAMATION_BONUS)
     ).otherwise(0.0)
-    vader = vader_score(text) if use_vader else None
-    score = F.when(in_turkish, turkish_score).otherwise(english_score if vader is None else F.coalesce(vader, english_score))
+    score = F.when(in_turkish, turkish_score).otherwise(english_score)
 
     def found(terms: Sequence[str]) -> Column:
         total = F.lit(0)

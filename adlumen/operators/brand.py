@@ -2,32 +2,27 @@
 
 Tables: texts with a vector column, and references ``(brand_id, ref_ord, ref_vec)``.
 
-Reference vectors within a measured bound travel to the tasks as one matrix, and each Arrow batch of
-text vectors is multiplied with it: no shuffle and no row per (text, reference). A larger reference
-table is cut into blocks; every text meets the blocks of its brand, each meeting gives one partial
-maximum, and the maxima are combined by a partially aggregated group-by.
+The references are cut into blocks of bounded size by a hash. The blocks go to the tasks one after the
+other, and the texts pass them as a stream: each block raises the running maxima of a row. Nothing is
+shuffled, rows are never joined back by an id, and a block meets a tile of texts at a time. Most
+reference tables are a single block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from adlumen.functions import fixed_values as fixed
 from adlumen.functions.rounding import round_binary
 from adlumen.functions.scoring import calibrated_brand_score
-from adlumen.operators.joins import lookup_join
 
-MAX_REFERENCE_VALUES = 16 * 1024 * 1024  # floats sent to each executor: 64 MB
-BLOCK_VECTORS = 1024
-BRAND_SIMILARITY = T.StructType().add("brand_id", T.StringType()).add("similarity", T.DoubleType())
-ORDERED_SIMILARITY = (
-    T.StructType().add("brand_id", T.StringType()).add("brand_ord", T.IntegerType()).add("similarity", T.DoubleType())
-)
+BLOCK_VALUES = 4 * 1024 * 1024  # numbers of a block on the driver and in each task: 32 MB
+TILE_VALUES = 4 * 1024 * 1024  # cosines held at a time
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -54,6 +49,9 @@ def batch_matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     present = np.flatnonzero(np.asarray(vectors.is_valid()))
+    lengths = np.unique(np.asarray(vectors.drop_null().value_lengths()))
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {lengths.tolist()}")
     flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return unit_rows(flat.reshape(len(present), -1) if len(present) else np.zeros((0, 1))), present
 
@@ -67,80 +65,81 @@ class ReferenceMatrix:
     rows: np.ndarray
 
     def best(self, units: np.ndarray) -> np.ndarray:
-        """Best cosine per (text, brand)."""
-        return np.maximum.reduceat(units @ self.rows.T, self.starts, axis=1)
+        """Best cosine per (text, brand), a tile of texts at a time."""
+        tile = max(1, TILE_VALUES // max(1, len(self.rows)))
+        parts = [np.maximum.reduceat(units[i:i + tile] @ self.rows.T, self.starts, axis=1) for i in range(0, len(units), tile)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.brands)))
 
     def best_of(self, units: np.ndarray, brand: str) -> np.ndarray | None:
         if brand not in self.brands:
             return None
         i = self.brands.index(brand)
         end = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.rows)
-        return (units @ self.rows[self.starts[i]:end].T).max(axis=1)
-
-
-def reference_values(refs: DataFrame) -> int:
-    """Number of floats in the reference table."""
-    return refs.agg(F.sum(F.size("ref_vec"))).first()[0] or 0
-
-
-def reference_matrix(refs: DataFrame) -> ReferenceMatrix:
-    """Collect references that were measured to be within ``MAX_REFERENCE_VALUES``."""
-    table = refs.select("brand_id", "ref_ord", "ref_vec").orderBy("brand_id", "ref_ord").toArrow()
-    brand = np.asarray(table["brand_id"].to_pylist(), dtype=object)
-    units, present = batch_matrix(table["ref_vec"])
-    brand = brand[present]
-    starts = np.flatnonzero(np.r_[True, brand[1:] != brand[:-1]]) if len(brand) else np.zeros(0, int)
-    return ReferenceMatrix([str(b) for b in brand[starts]], starts, units)
+        own = self.rows[self.starts[i]:end]
+        tile = max(1, TILE_VALUES // len(own))
+        return np.concatenate([(units[j:j + tile] @ own.T).max(axis=1) for j in range(0, len(units), tile)])
+
+
+def reference_blocks(refs: DataFrame, block_values: int = BLOCK_VALUES) -> Iterator[ReferenceMatrix]:
+    """The references in blocks of about ``block_values`` numbers; one block is on the driver at a time."""
+    present = refs.where(F.col("ref_vec").isNotNull()).select("brand_id", "ref_ord", "ref_vec")
+    values = present.agg(F.sum(F.size("ref_vec"))).first()[0] or 0
+    n_blocks = -(-values // block_values)
+    for block in range(n_blocks):
+        part = present.where(F.pmod(F.xxhash64("brand_id", "ref_ord", "ref_vec"), F.lit(n_blocks)) == block)
+        table = part.orderBy("brand_id", "ref_ord").toArrow()
+        if table.num_rows:
+            brand = np.asarray(table["brand_id"].to_pylist(), dtype=object)
+            units, _ = batch_matrix(table["ref_vec"])
+            starts = np.flatnonzero(np.r_[True, brand[1:] != brand[:-1]])
+            yield ReferenceMatrix([str(b) for b in brand[starts]], starts, units)
 
 
 # --- similarities -------------------------------------------------------------------------------
 
 
 def with_brand_similarities(
-    texts: DataFrame, refs: DataFrame, text_id: str, vector: str = "text_vec",
-    max_values: int = MAX_REFERENCE_VALUES,
+    texts: DataFrame, refs: DataFrame, vector: str = "text_vec", block_values: int = BLOCK_VALUES,
 ) -> DataFrame:
-    """Add ``similarities``: the best cosine to every brand, as an array in brand order."""
-    if reference_values(refs) > max_values:
-        return _blocked_all(texts, refs, text_id, vector)
-    matrix = texts.sparkSession.sparkContext.broadcast(reference_matrix(refs))
-
-    @F.arrow_udf(T.ArrayType(ORDERED_SIMILARITY))
-    def similarities(vectors: pa.Array) -> pa.Array:
+    """Add ``similarities``: the best cosine to every brand, as an array in brand order (as long as the brand list)."""
+    names = [r.brand_id for r in refs.where("ref_vec is not null").select("brand_id").distinct().orderBy("brand_id").collect()]
+    context = texts.sparkSession.sparkContext
+    best = F.when(F.col(vector).isNotNull(), F.array().cast("array<double>"))
+    for block in reference_blocks(refs, block_values):
+        maxima = _maxima(context.broadcast(block), names)(F.col(vector))
+        best = F.when(F.col(vector).isNotNull(), F.zip_with(best, maxima, lambda a, b: F.greatest(a, b)))
+    listed = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    return texts.withColumn("similarities", F.transform(best, lambda s, i: F.struct(
+        F.get(listed, i).alias("brand_id"), i.alias("brand_ord"), s.alias("similarity"))))
+
+
+def _maxima(matrix, names: Sequence[str]):
+    @F.arrow_udf("array<double>")
+    def maxima(vectors: pa.Array) -> pa.Array:
         refs = matrix.value
         units, present = batch_matrix(vectors)
-        best = refs.best(units) if len(present) and refs.brands else np.zeros((len(present), 0))
-        return _as_arrays(best, present, len(vectors), refs.brands)
-
-    return texts.withColumn("similarities", similarities(F.col(vector)))
-
-
-def _as_arrays(best: np.ndarray, present: np.ndarray, rows: int, brands: Sequence[str]) -> pa.Array:
-    counts = np.zeros(rows, dtype=np.int32)
-    counts[present] = len(brands)
-    valid = np.zeros(rows, dtype=bool)
-    valid[present] = True
-    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    ids = pa.DictionaryArray.from_arrays(
-        pa.array(np.tile(np.arange(len(brands), dtype=np.int32), len(present))), pa.array(list(brands), pa.string())
-    ).dictionary_decode()
-    items = pa.StructArray.from_arrays(
-        [ids, pa.array(np.tile(np.arange(len(brands), dtype=np.int32), len(present))),
-         pa.array(best.reshape(-1), pa.float64())],
-        names=["brand_id", "brand_ord", "similarity"],
-    )
-    return pa.ListArray.from_arrays(pa.array(ends), items, mask=pa.array(~valid))
+        best = np.full((len(vectors), len(names)), np.nan)
+        if len(present):
+            at = [names.index(b) for b in refs.brands]
+            best[np.ix_(present, at)] = refs.best(units)
+        ends = pa.array(np.arange(len(vectors) + 1) * len(names), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(best.ravel(), mask=np.isnan(best.ravel())))
+
+    return maxima
 
 
 def with_own_similarity(
-    texts: DataFrame, refs: DataFrame, text_id: str, vector: str = "text_vec", brand: str = "brand_id",
-    max_values: int = MAX_REFERENCE_VALUES,
+    texts: DataFrame, refs: DataFrame, vector: str = "text_vec", brand: str = "brand_id", block_values: int = BLOCK_VALUES,
 ) -> DataFrame:
     """Add ``similarity``: the best cosine to the row's own brand; null for an unknown brand."""
-    if reference_values(refs) > max_values:
-        return _blocked_own(texts, refs, text_id, vector, brand)
-    matrix = texts.sparkSession.sparkContext.broadcast(reference_matrix(refs))
+    context = texts.sparkSession.sparkContext
+    best = F.lit(None).cast("double")
+    for block in reference_blocks(refs, block_values):
+        best = F.greatest(best, _own(context.broadcast(block))(F.col(vector), F.col(brand)))
+    return texts.withColumn("similarity", best)
+
 
+def _own(matrix):
     @F.arrow_udf("double")
     def similarity(vectors: pa.Array, brands: pa.Array) -> pa.Array:
         refs = matrix.value
@@ -154,86 +153,27 @@ def with_own_similarity(
                 out[present[at]] = best
         return pa.array(out, mask=np.isnan(out))
 
-    return texts.withColumn("similarity", similarity(F.col(vector), F.col(brand)))
-
-
-def _packed(refs: DataFrame, *keys: str) -> DataFrame:
-    """Blocks of about ``BLOCK_VECTORS`` vectors as rows ``(*keys, _brands, _vectors)``."""
-    return refs.groupBy(*keys).agg(F.collect_list(F.struct("brand_id", "ref_vec")).alias("_refs")).select(
-        *keys, F.col("_refs.brand_id").alias("_brands"), F.col("_refs.ref_vec").alias("_vectors")
-    )
-
-
-def _block_of(n_blocks: Column) -> Column:
-    return F.pmod(F.xxhash64("brand_id", "ref_ord"), n_blocks.cast("bigint")).cast("int")
-
-
-@F.arrow_udf(T.ArrayType(BRAND_SIMILARITY))
-def _block_maxima(vectors: pa.Array, brands: pa.Array, blocks: pa.Array) -> pa.Array:
-    """Best cosine per brand of one text with one block."""
-    units, present = batch_matrix(vectors)
-    out: list = [None] * len(vectors)
-    for unit, row in zip(units, present):
-        refs, _ = batch_matrix(blocks[int(row)].values)
-        cosines = refs @ unit
-        names = brands[int(row)].as_py()
-        best: dict[str, float] = {}
-        for name, cosine in zip(names, cosines.tolist()):
-            best[name] = max(cosine, best.get(name, -1.0))
-        out[row] = [{"brand_id": n, "similarity": c} for n, c in best.items()]
-    return pa.array(out, pa.list_(pa.struct([("brand_id", pa.string()), ("similarity", pa.float64())])))
-
-
-def _blocked_own(texts: DataFrame, refs: DataFrame, text_id: str, vector: str, brand: str) -> DataFrame:
-    present = refs.where(F.col("ref_vec").isNotNull())
-    cuts = present.groupBy("brand_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).alias("_cuts"))
-    blocks = _packed(present.join(cuts, "brand_id").withColumn("block", _block_of(F.col("_cuts"))), "brand_id", "block")
-    blocks = blocks.withColumnRenamed("brand_id", brand)
-    asked = lookup_join(texts.select(text_id, vector, brand), cuts.withColumnRenamed("brand_id", brand), brand, text_id)
-    met = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_cuts").cast("int") - 1)))
-    # Many texts of one brand meet the same block: the adaptive skew join splits the text side.
-    partial = met.join(blocks, [brand, "block"]).select(
-        text_id, F.inline(_block_maxima(vector, "_brands", "_vectors")).alias("_b", "_s")
-    )
-    best = partial.groupBy(text_id).agg(F.max("_s").alias("similarity"))
-    return texts.join(best, text_id, "left")
-
-
-def _blocked_all(texts: DataFrame, refs: DataFrame, text_id: str, vector: str) -> DataFrame:
-    present = refs.where(F.col("ref_vec").isNotNull())
-    n_blocks = -(-present.count() // BLOCK_VECTORS)
-    blocks = _packed(present.withColumn("block", _block_of(F.lit(n_blocks))), "block")
-    spread = texts.select(text_id, vector, F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    partial = spread.join(blocks, "block").select(
-        text_id, F.inline(_block_maxima(vector, "_brands", "_vectors")).alias("brand_id", "_s")
-    )
-    best = partial.groupBy(text_id, "brand_id").agg(F.max("_s").alias("similarity"))
-    # One element per brand: the array is as long as the brand list, whatever the table sizes are.
-    listed = best.groupBy(text_id).agg(F.array_sort(F.collect_list(F.struct("brand_id", "similarity"))).alias("_all"))
-    ordered = F.transform("_all", lambda s, i: F.struct(
-        s.brand_id.alias("brand_id"), i.alias("brand_ord"), s.similarity.alias("similarity")
-    ))
-    return texts.join(listed.select(text_id, ordered.alias("similarities")), text_id, "left")
+    return similarity
 
 
 # --- scores -------------------------------------------------------------------------------------
 
 
 def with_brand_score(
-    texts: DataFrame, refs: DataFrame, text_id: str, vector: str = "text_vec", brand: str = "brand_id",
+    texts: DataFrame, refs: DataFrame, vector: str = "text_vec", brand: str = "brand_id",
     baseline: float = fixed.OFFBRAND_BASELINE, floor: float = fixed.BRAND_SCORE_FLOOR,
 ) -> DataFrame:
     """Add ``brand_score`` for the row's own brand."""
-    scored = with_own_similarity(texts, refs, text_id, vector, brand)
+    scored = with_own_similarity(texts, refs, vector, brand)
     return scored.withColumn("brand_score", calibrated_brand_score(F.col("similarity"), baseline, floor)).drop("similarity")
 
 
 def with_all_scores(
-    texts: DataFrame, refs: DataFrame, text_id: str, vector: str = "text_vec",
+    texts: DataFrame, refs: DataFrame, vector: str = "text_vec",
     baseline: float = fixed.OFFBRAND_BASELINE, floor: float = fixed.BRAND_SCORE_FLOOR,
 ) -> DataFrame:
     """Add ``scores``: array of (brand_id, brand_ord, score) over all brands."""
-    scored = with_brand_similarities(texts, refs, text_id, vector)
+    scored = with_brand_similarities(texts, refs, vector)
     scores = F.transform("similarities", lambda s: F.struct(
         s.brand_id.alias("brand_id"), s.brand_ord.alias("brand_ord"),
         calibrated_brand_score(s.similarity, baseline, floor).alias("score"),
@@ -306,9 +246,9 @@ def validate_alignment(
 ) -> DataFrame:
     """Per brand: mean score of its first references to itself and to the other brands."""
     first = refs.where(F.col("ref_ord") <= max(own_refs, cross_refs)).select(
-        F.col("brand_id").alias("own_brand"), "ref_ord", "ref_vec", F.concat_ws("#", "brand_id", "ref_ord").alias("ref_key")
+        F.col("brand_id").alias("own_brand"), "ref_ord", "ref_vec"
     )
-    rows = score_matrix(with_all_scores(first, refs, "ref_key", "ref_vec", baseline, floor), "own_brand", "ref_ord")
+    rows = score_matrix(with_all_scores(first, refs, "ref_vec", baseline, floor), "own_brand", "ref_ord")
     own = (F.col("brand_id") == F.col("own_brand")) & (F.col("ref_ord") <= own_refs)
     cross = (F.col("brand_id") != F.col("own_brand")) & (F.col("ref_ord") <= cross_refs)
     means = rows.groupBy(F.col("own_brand")).agg(
@@ -321,10 +261,8 @@ def validate_alignment(
 
 def offbrand_baseline(refs: DataFrame) -> DataFrame:
     """Mean best cosine between a reference and each other brand: the calibration base of an embedder."""
-    keyed = refs.select(
-        F.col("brand_id").alias("own_brand"), "ref_vec", F.concat_ws("#", "brand_id", "ref_ord").alias("ref_key")
-    )
-    rows = with_brand_similarities(keyed, refs, "ref_key", "ref_vec").select("own_brand", F.inline("similarities"))
+    keyed = refs.select(F.col("brand_id").alias("own_brand"), "ref_vec")
+    rows = with_brand_similarities(keyed, refs, "ref_vec").select("own_brand", F.inline("similarities"))
     return rows.where(F.col("brand_id") != F.col("own_brand")).agg(F.avg("similarity").alias("baseline"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from adlumen.functions import fixed_values as fixed
 from adlumen.functions.text import stripped
-from adlumen.operators.joins import is_small, lookup_join
+from adlumen.operators.joins import lookup_join
 
 LINES = r"\R|[\x1C-\x1E]"
 
@@ -44,16 +44,16 @@ def bullets(lines: Column) -> Column:
     return F.array_join(F.transform(lines, lambda line: F.concat(F.lit("- "), line)), "\n")
 
 
-def with_brand(rows: DataFrame, catalog: DataFrame, spread: str) -> DataFrame:
+def with_brand(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Rows of known brands with the brand's columns."""
-    return lookup_join(rows, catalog, "brand_id", spread)
+    return lookup_join(rows, catalog, "brand_id", "inner")
 
 
 def unknown_brands(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Brand ids that the catalog does not have, with their row counts."""
     known = catalog.select("brand_id")
     asked = rows.groupBy("brand_id").agg(F.count(F.lit(1)).alias("n"))
-    return asked.join(F.broadcast(known) if is_small(known) else known, "brand_id", "left_anti")
+    return asked.join(known, "brand_id", "left_anti")
 
 
 def label_of(code: Column, labels: Mapping[str, str]) -> Column:

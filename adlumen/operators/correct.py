@@ -44,7 +44,7 @@ def build_rewrite_prompts(
         "forbidden_vocabulary", bullets(F.col("style_rules")).alias("_rules"),
     ).join(reference_bullets(refs, fixed.REFERENCES_IN_REWRITE, "_references"), "brand_id", "left")
     found = violations(F.col("best_text"), F.col("preferred_vocabulary"), F.col("forbidden_vocabulary"))
-    joined = lookup_join(state, facts, "brand_id", "variant_id").withColumns(
+    joined = lookup_join(state, facts, "brand_id", "inner").withColumns(
         {"_violations": found, "_rounded": round_binary(F.col("best_score"), 1)}
     )
     note = F.when(

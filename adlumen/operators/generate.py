@@ -18,6 +18,9 @@ from adlumen.sources.cache import GenerationCache
 from adlumen.session import checkpointed
 
 
+UNKNOWN_BRAND = "unknown brand"
+
+
 class TextProvider(Protocol):
     """What a provider offers; it is sent to the tasks, so it must be picklable."""
 
@@ -46,12 +49,12 @@ def _choice(style: Column, texts: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in texts.items() for x in pair]), style)
 
 
-def build_prompts(styled: DataFrame, catalog: DataFrame, refs: DataFrame, spread: str = "request_id") -> DataFrame:
-    """Add ``prompt`` to rows with brand_id, style, product and audience."""
+def build_prompts(styled: DataFrame, catalog: DataFrame, refs: DataFrame) -> DataFrame:
+    """Add ``prompt`` to rows with brand_id, style, product and audience; null where the catalog lacks the brand."""
     facts = catalog.select(
         "brand_id", "brand_name", "tone_category", "brand_voice_summary", bullets(F.col("style_rules")).alias("_rules")
     ).join(reference_bullets(refs, fixed.REFERENCES_IN_PROMPT, "_references"), "brand_id", "left")
-    joined = lookup_join(styled, facts, "brand_id", spread)
+    joined = lookup_join(styled, facts.withColumn("_known", F.lit(True)), "brand_id")
     values = {
         "system": F.lit(fixed.GENERATION_SYSTEM),
         "brand_name": F.col("brand_name"), "tone_category": F.col("tone_category"),
@@ -62,7 +65,8 @@ def build_prompts(styled: DataFrame, catalog: DataFrame, refs: DataFrame, spread
         "style_task": _choice(F.col("style"), fixed.STYLE_TASKS),
         "style_hint": _choice(F.col("style"), fixed.STYLE_HINTS),
     }
-    return joined.select(*styled.columns, filled(fixed.GENERATION_TEMPLATE, values).alias("prompt"))
+    prompt = F.when(F.col("_known"), filled(fixed.GENERATION_TEMPLATE, values))
+    return joined.select(*styled.columns, prompt.alias("prompt"))
 
 
 # --- provider calls -----------------------------------------------------------------------------
@@ -159,7 +163,9 @@ def generate_texts(
 
     A prompt that the first model has answered before is not sent; equal prompts are asked once. Answers
     are checkpointed and stored before anything reads them, because asking again could give another text.
+    A row without prompt, that is of an unknown brand, gets the error ``UNKNOWN_BRAND``.
     """
+    prompts, unknown = prompts.where("prompt is not null"), prompts.where("prompt is null")
     key = F.sha2("prompt", 256).alias("prompt_key")
     distinct = prompts.select(key, "prompt").dropDuplicates(["prompt_key"])
     looked_up = stored_texts(distinct, cache.entries(), models)
@@ -172,7 +178,15 @@ def generate_texts(
         F.lit(None).cast("string").alias("error"),
     )
     known = answers.drop("prompt").unionByName(hits).withColumnRenamed("text", "generated")
-    return prompts.select("*", key).join(known, "prompt_key", "left").drop("prompt_key")
+    made = prompts.select("*", key).join(known, "prompt_key", "left").drop("prompt_key")
+    failed = unknown.withColumns({
+        "generated": F.lit(None).cast("string"), "model": F.lit(None).cast("string"), "calls": F.lit(0), "error": F.lit(UNKNOWN_BRAND)})
+    return made.unionByName(failed)
+
+
+#: What the offline provider adds for a style, so that the texts of a request differ.
+STYLE_LINES = {
+    "emotional": "Love it!", "informative": "Compare the facts.", "urgency": "Limited time, order today!", "humorous": "No hamsters were harmed."}
 
 
 class TemplateProvider:
@@ -182,7 +196,8 @@ class TemplateProvider:
         lines = prompt.splitlines()
         facts = {key: line[len(key):].strip() for line in lines for key in ("Product:", "Target audience:", "Brand:")
                  if line.startswith(key)}
-        return f"{facts.get('Brand:', '')} {facts.get('Product:', '')} for {facts.get('Target audience:', '')}."
+        style = next((word for line in lines if " style (" in line for word in [line.split(" style (")[0].split()[-1]]), "")
+        return f"{facts.get('Brand:', '')} {facts.get('Product:', '')} for {facts.get('Target audience:', '')}. {STYLE_LINES.get(style, '')}".strip()
 
 
 # --- results ------------------------------------------------------------------------------------

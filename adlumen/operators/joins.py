@@ -1,37 +1,14 @@
-"""Lookup joins that broadcast only what was measured to be small."""
+"""Lookup joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-MAX_BROADCAST_ROWS = 200_000
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
 
+def lookup_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join ``rows`` to a lookup ``table`` with one row per ``key``; rows whose key the table lacks stay.
 
-def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """Measure ``df``, reading at most ``max_rows + 1`` rows, against both bounds."""
-    size = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
-    rows, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
-    return rows <= max_rows and (total or 0) <= max_bytes
-
-
-def lookup_join(
-    rows: DataFrame,
-    table: DataFrame,
-    key: str,
-    spread: str,
-    how: str = "inner",
-    max_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """Join ``rows`` to a lookup ``table`` on ``key``.
-
-    A table within the bounds is broadcast, so the rows are not shuffled. A larger one is joined on
-    (key, salt): the rows of a frequent key spread over ``SALTS`` tasks by the hash of ``spread``, and
-    each lookup row is repeated that often.
+    No hint and no measuring: the planner broadcasts a table that its statistics show to be small, and of a larger one
+    the adaptive skew join splits the rows of a frequent key.
     """
-    if is_small(table, max_rows):
-        return rows.join(F.broadcast(table), key, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    return rows.join(table, key, how)

@@ -183,13 +183,12 @@ def load_scorer(spark: SparkSession, root: str, prefix: str = "") -> tuple[Pipel
 
 def predict_ctr(
     df: DataFrame, scorer: tuple[PipelineModel, list[str]], text: str = "text", name: str = "ctr_score",
-    use_vader: bool = False,
 ) -> DataFrame:
     """Predicted rate of new texts; context that is unknown for a new text counts as 0."""
     model, columns = scorer
     kept = [F.col(c).alias(f"_kept_{c}") for c in df.columns if c != name]
     featured = with_text_features(df.select(*kept, F.col(text).alias("_input")), "_input")
-    featured = with_affect(featured, "_input", words="word_count", use_vader=use_vader)
+    featured = with_affect(featured, "_input", words="word_count")
     context = {c: F.lit(0.0) for c in fixed.CONTEXT_COLUMNS if c in columns}
     featured = featured.withColumns(context) if context else featured
     ready = model_input(featured, columns, [c for c in featured.columns if c.startswith("_kept_")])

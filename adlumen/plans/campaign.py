@@ -36,7 +36,7 @@ def generate_variants(
 ) -> DataFrame:
     """One variant per request and style from a text provider, with the text or the error.
 
-    ``requests`` holds request_id, brand_id, product, audience; requests of unknown brands make none.
+    ``requests`` holds request_id, brand_id, product, audience; the variants of a request of an unknown brand have an error.
     """
     prompts = generate.build_prompts(generate.expand_styles(requests, styles), catalog, refs)
     made = generate.generate_texts(prompts, provider, cache, models, concurrency=concurrency)

@@ -25,7 +25,7 @@ def eda_report(posts: DataFrame, languages=("en",)) -> dict[str, DataFrame]:
 
 def brand_proof_report(texts: DataFrame, refs: DataFrame, brands: Sequence[str], keep: Sequence[str], **calibration) -> DataFrame:
     """Proof table with one rounded score column per brand."""
-    proof = brand.brand_proof(brand.with_all_scores(texts, refs, keep[0], **calibration))
+    proof = brand.brand_proof(brand.with_all_scores(texts, refs, **calibration))
     return proof.select(
         *keep, *brand.pivoted(brands, digits=2),
         brand.round_binary(F.col("own_score"), 2).alias("own_score"),

@@ -8,24 +8,14 @@ from adlumen import schemas
 from adlumen.operators.catalog import last_per_brand
 
 
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """CSV with header and quotes doubled inside quoted fields.
 
-
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet table. A small file is spread over the cores: it is often a single row group, which one
-    task would read and compute on alone. Larger tables keep the splits of their files."""
-    table = spark.read.parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.getContentSummary(target).getLength() > SMALL_INPUT_BYTES:
-        return table
-    return table.repartition(spark.sparkContext.defaultParallelism)
-
-
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with header, quotes doubled inside quoted fields, and line breaks within fields."""
+    A file with line breaks within fields cannot be split, it is one task; for files without them turn
+    ``multi_line`` off, and large files are split.
+    """
     return (
-        spark.read.schema(schema).option("header", True).option("multiLine", True)
+        spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
         .option("quote", '"').option("escape", '"').option("enforceSchema", False).csv(path)
     )
 

@@ -385,12 +385,12 @@ def oracles() -> dict[str, str]:
     # --- generation -------------------------------------------------------------------------
     o["expand_styles"] = duck("select request_id, brand_id, style, style_ord from styled", STYLED)
     o["build_prompts"] = duck(f"""
-        select s.request_id, s.style, {template(fixed.GENERATION_TEMPLATE, {
+        select s.request_id, s.style, case when f.brand_id is not null then {template(fixed.GENERATION_TEMPLATE, {
             'system': _lit(fixed.GENERATION_SYSTEM), 'brand_name': 'f.brand_name', 'tone_category': 'f.tone_category',
             'brand_voice_summary': 'f.brand_voice_summary', 'style_rules': RULE_LINES, 'references': 'r.refs',
             'never_write': _lit(chr(10).join('- ' + n for n in fixed.NEVER_WRITE)), 'product': 's.product', 'audience': 's.audience',
-            'style': 's.style', 'style_task': style_case(fixed.STYLE_TASKS), 'style_hint': style_case(fixed.STYLE_HINTS)})} as prompt
-        from styled s join accepted f on f.brand_id = s.brand_id left join refs5 r on r.brand_id = s.brand_id""",
+            'style': 's.style', 'style_task': style_case(fixed.STYLE_TASKS), 'style_hint': style_case(fixed.STYLE_HINTS)})} end as prompt
+        from styled s left join accepted f on f.brand_id = s.brand_id left join refs5 r on r.brand_id = s.brand_id""",
         STYLED, FORMS, ACCEPTED, bullet_refs(5))
     o["build_rewrite_prompts"] = duck(f"""
         select g.variant_id, {template(fixed.REWRITE_TEMPLATE, {

@@ -11,6 +11,7 @@ from adlumen.functions import affect, errors, fixed_values as fixed, hashing, sc
 from adlumen.operators import (
     brand, catalog, clean, correct, eda, embed, evaluate, generate, model, rank, rules,
 )
+from adlumen.operators.joins import lookup_join
 from adlumen.plans import campaign, reports, training
 from adlumen.session import set_local_shared_dir, shared_dir, ship_package
 from adlumen.sources import cache
@@ -23,7 +24,7 @@ FALLBACK_PRIMARIES = [fixed.FALLBACK_MODELS[2], fixed.FALLBACK_MODELS[0], "other
 AUC_SCORE = "ctr_proxy"
 EN_WORDS = affect.SentimentLexicon(["the", "de"], ["of", "der"], ["is", "la"])
 TR_WORDS = affect.SentimentLexicon(["der", "le"], ["die"], ["und", "la"], letters=affect.TURKISH.letters, negator_follows=True)
-# Learners small enough for a laptop; the published sizes are the defaults of ModelSizes.
+# Fewer and smaller trees than the published ones, which are the defaults of ModelSizes: see the README.
 SMALL = model.ModelSizes(boosting_rounds=5, step=0.3, depth=3, forest_trees=5, parallelism=4)
 
 
@@ -102,18 +103,14 @@ def sentiment_custom(i: Inputs) -> DataFrame:
     return both.select("doc_id", r("english"), r("turkish"))
 
 
-def _affect(i: Inputs, use_vader: bool = False) -> DataFrame:
-    return affect.with_affect(i.posts.select("post_id", "text_content"), use_vader=use_vader)
+def _affect(i: Inputs) -> DataFrame:
+    return affect.with_affect(i.posts.select("post_id", "text_content"))
 
 
 def sentiment_score(i: Inputs) -> DataFrame:
     return _affect(i).select("post_id", r("sentiment_score"))
 
 
-def sentiment_vader(i: Inputs) -> DataFrame:
-    return _affect(i, use_vader=True).select("post_id", r("sentiment_score"))
-
-
 def toxicity_score(i: Inputs) -> DataFrame:
     return _affect(i).select("post_id", r("toxicity_score"))
 
@@ -155,19 +152,19 @@ def union_langs(i: Inputs) -> DataFrame:
 
 
 def all_scores(i: Inputs) -> DataFrame:
-    return brand.with_all_scores(i.text_vecs, i.brand_refs, "text_id", baseline=0.0)
+    return brand.with_all_scores(i.text_vecs, i.brand_refs, baseline=0.0)
 
 
 def cosine_sim(i: Inputs) -> DataFrame:
     first = catalog.first_references(i.brand_refs, 1).withColumnRenamed("brand_id", "source_brand")
-    pairs = catalog.lookup_join(i.text_vecs, first.select("source_brand", "ref_vec"), "source_brand", "text_id")
+    pairs = lookup_join(i.text_vecs, first.select("source_brand", "ref_vec"), "source_brand", "inner")
     return pairs.select(
         "text_id", F.col("source_brand").alias("brand_id"),
         r(brand.cosine_similarity(F.col("text_vec"), F.col("ref_vec")), 4, "similarity"))
 
 
 def _own_score(i: Inputs, baseline: float) -> DataFrame:
-    scored = brand.with_brand_score(i.text_vecs, i.brand_refs, "text_id", brand="source_brand", baseline=baseline)
+    scored = brand.with_brand_score(i.text_vecs, i.brand_refs, brand="source_brand", baseline=baseline)
     return scored.select("text_id", "source_brand", r("brand_score", 4))
 
 
@@ -222,7 +219,7 @@ def accepted_catalog(i: Inputs) -> DataFrame:
 
 def rule_check(i: Inputs) -> DataFrame:
     vocabulary = parsed_catalog(i).select("brand_id", "preferred_vocabulary", "forbidden_vocabulary")
-    joined = catalog.with_brand(i.variants, vocabulary, "variant_id")
+    joined = catalog.with_brand(i.variants, vocabulary)
     return rules.with_rule_check(joined).select(
         "variant_id", F.array_join("violations", " | ").alias("violations"), "passed", "rule_penalty")
 
@@ -369,7 +366,7 @@ def brand_refs_topn(i: Inputs) -> DataFrame:
 
 
 def brand_lookup(i: Inputs) -> DataFrame:
-    return catalog.with_brand(i.variants, accepted_catalog(i), "variant_id").select("variant_id", "brand_name", "tone_category")
+    return catalog.with_brand(i.variants, accepted_catalog(i)).select("variant_id", "brand_name", "tone_category")
 
 
 def unknown_brands(i: Inputs) -> DataFrame:
@@ -509,7 +506,7 @@ def campaign_run(i: Inputs) -> DataFrame:
 
     def with_brand(df: DataFrame, text: str) -> DataFrame:
         at = df.withColumn("_vec_id", F.col("variant_id") % n_vectors).join(vectors, "_vec_id")
-        return brand.with_brand_score(at, i.brand_refs, "variant_id", baseline=0.0).drop("_vec_id", "text_vec")
+        return brand.with_brand_score(at, i.brand_refs, baseline=0.0).drop("_vec_id", "text_vec")
 
     made = campaign.run_campaign(i.generated, with_rule_rate, with_brand, correct.table_rewriter(i.rewrites))
     return made.ranked.select(
@@ -528,7 +525,7 @@ def campaign_provider(i: Inputs) -> DataFrame:
 
     def with_brand(df: DataFrame, text: str) -> DataFrame:
         vectors = embed.embed_text(df, encoder, text)
-        return brand.with_brand_score(vectors, refs, "variant_id", baseline=0.0).drop("text_vec")
+        return brand.with_brand_score(vectors, refs, baseline=0.0).drop("text_vec")
 
     variants = campaign.generate_variants(i.requests, brands, i.ref_texts, generate.TemplateProvider(), store, models)
     rewriter = correct.provider_rewriter(brands, i.ref_texts, generate.TemplateProvider(), store, models, with_brand)
@@ -614,15 +611,19 @@ def train_report(i: Inputs) -> DataFrame:
 
 
 def embed_text(i: Inputs) -> DataFrame:
+    """Similarity of a text to itself without its last word, and to the text reversed."""
     fitted = embed.fit_embedder(i.documents, "text")
-    return embed.embed_text(i.documents.select("doc_id", "text"), fitted, "text").select(
-        "doc_id", F.size("text_vec").alias("dimensions"), r(brand.cosine_similarity(F.col("text_vec"), F.col("text_vec")), 4, "self_similarity"))
+    texts = i.documents.select("doc_id", "text", F.regexp_replace("text", r"\s+\S+\s*$", "").alias("shorter"), F.reverse("text").alias("backwards"))
+    for name in ("text", "shorter", "backwards"):
+        texts = embed.embed_text(texts, fitted, name, f"{name}_vec")
+    alike = lambda other: r(brand.cosine_similarity(F.col("text_vec"), F.col(f"{other}_vec")), 4, f"{other}_similarity")
+    return texts.select("doc_id", F.size("text_vec").alias("dimensions"), alike("shorter"), alike("backwards"))
 
 
 QUERIES: list[Callable[[Inputs], DataFrame]] = [
     clean_posts, ctr_proxy, winsorize_p99, trim_p99, clean_funnel, log_features,
     text_features, urgency_custom, normalize_text, is_turkish, sentiment_en, sentiment_tr, sentiment_custom,
-    sentiment_score, sentiment_vader, toxicity_score,
+    sentiment_score, toxicity_score,
     ctr_by_feature, ols_trend, ols_trend_line, corr_matrix, summary_stats, union_langs,
     cosine_sim, brand_score, brand_score_default, brand_score_matrix, predict_brand, brand_proof, brand_proof_failures,
     brand_proof_summary, validate_alignment, offbrand_baseline,

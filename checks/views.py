@@ -10,8 +10,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adlumen.sources.files import read_parquet
-
 # A hook per text, because the corpus itself holds no urgency terms, calls to action, tags or emoji.
 HOOKS = [
     "",
@@ -100,12 +98,11 @@ VIEWS = {
                embedding as ref_vec
         from (select vec_id, label, embedding,
                      row_number() over (partition by label order by vec_id) as rn
-              from {embeddings}) r
-        where rn <= 15""",
+              from {embeddings} where (vec_id * 48271) % 65537 % 10 < 3) r""",
     "text_vecs": """
         select e.vec_id as text_id, 'b' || cast(e.label as string) as source_brand, e.embedding as text_vec
         from {embeddings} e
-        where not exists (select 1 from {brand_refs} r where r.ref_id = e.vec_id)""",
+        where (e.vec_id * 48271) % 65537 % 10 >= 3""",
     "eval_labels": """
         select text_id, case when text_id % 3 = 0 then ' ' else ' ' || upper(source_brand) || ' ' end as human_label
         from {text_vecs}""",
@@ -159,7 +156,6 @@ VIEWS = {
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
-TEXT_TABLES = ["documents", "pages", "conversations"]
 _NAME = re.compile(r"\{(" + "|".join([*VIEWS, *TABLES]) + r")\}")
 
 
@@ -173,7 +169,7 @@ class Inputs:
         if name not in self._made:
             if name in TABLES:
                 path = f"{self._folder}/{name}.parquet"
-                self._made[name] = read_parquet(self._spark, path) if name in TEXT_TABLES else self._spark.read.parquet(path)
+                self._made[name] = self._spark.read.parquet(path)
             else:
                 parts = {part: getattr(self, part) for part in _NAME.findall(VIEWS[name])}
                 self._made[name] = self._spark.sql(VIEWS[name], **parts)

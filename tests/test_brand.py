@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from adlumen.operators.joins import lookup_join
 from adlumen.operators import brand, catalog, evaluate
 
 # Published scores of 15 texts against three brands, with the source brand of each text.
@@ -42,17 +44,16 @@ def by_hand(texts, refs):
     return out
 
 
-@pytest.mark.parametrize("max_values", [10**6, 0])
-def test_similarities_equal_all_pairs(vectors, monkeypatch, max_values):
-    """The matrix and the block strategy give the maxima over all pairs."""
-    monkeypatch.setattr(brand, "BLOCK_VECTORS", 7)
+@pytest.mark.parametrize("values", [10**6, 60])
+def test_similarities_equal_all_pairs(vectors, values):
+    """One block or many, the maxima are those over all pairs."""
     texts, refs = vectors
     expected = by_hand(texts, refs)
-    everything = brand.with_brand_similarities(texts, refs, "text_id", max_values=max_values).collect()
+    everything = brand.with_brand_similarities(texts, refs, block_values=values).collect()
     got = {(r.text_id, s.brand_id): s.similarity for r in everything for s in (r.similarities or [])}
     assert len(everything) == 62 and got == pytest.approx(expected, abs=1e-6)
     assert all([s.brand_ord for s in r.similarities] == [0, 1, 2] for r in everything if r.similarities)
-    own = {r.text_id: r.similarity for r in brand.with_own_similarity(texts, refs, "text_id", max_values=max_values).collect()}
+    own = {r.text_id: r.similarity for r in brand.with_own_similarity(texts, refs, block_values=values).collect()}
     assert len(own) == 62
     for t in texts.collect():
         want = expected.get((t.text_id, t.brand_id))
@@ -63,7 +64,7 @@ def test_native_cosine_agrees(vectors):
     texts, refs = vectors
     one = refs.where("brand_id = 'c'").select(F.col("ref_vec").alias("r"))
     native = texts.join(F.broadcast(one)).select("text_id", brand.cosine_similarity(F.col("text_vec"), F.col("r")).alias("s"))
-    arrow = brand.with_own_similarity(texts.withColumn("brand_id", F.lit("c")), refs, "text_id")
+    arrow = brand.with_own_similarity(texts.withColumn("brand_id", F.lit("c")), refs)
     assert {r.text_id: r.s for r in native.collect()} == pytest.approx({r.text_id: r.similarity for r in arrow.collect()}, abs=1e-6)
 
 
@@ -166,10 +167,21 @@ def test_catalog_upsert(spark):
     assert {r.form_ord: r.reject_reason for r in rejected.collect()} == {3: "id and name are required", 4: "references are required"}
 
 
-def test_lookup_beyond_the_bound_is_salted(spark):
+def test_lookup_keeps_unknown_keys(spark):
     rows = spark.range(300).select(F.col("id").alias("variant_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("brand_id"))
     keys = spark.createDataFrame([("hot", 1), ("k1", 2), ("k9", 3)], "brand_id string, v int")
-    small = catalog.lookup_join(rows, keys, "brand_id", "variant_id", "left")
-    large = catalog.lookup_join(rows, keys, "brand_id", "variant_id", "left", max_rows=1)
-    assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.select(small.columns).collect()), key=str)
+    assert lookup_join(rows, keys, "brand_id").count() == 300
     assert catalog.unknown_brands(rows, keys).count() == 6
+
+
+def test_uneven_vectors_are_an_error():
+    with pytest.raises(ValueError):
+        brand.batch_matrix(pa.array([[1.0, 2.0, 3.0], [1.0] * 5], pa.list_(pa.float32())))
+
+
+def test_equal_ids_keep_their_own_vectors(spark):
+    texts = spark.createDataFrame([(1, "a", [1.0, 0.0]), (1, "a", [0.0, 1.0])], "text_id int, brand_id string, text_vec array<float>")
+    refs = spark.createDataFrame([("a", i, [1.0, 0.0]) for i in range(9)], "brand_id string, ref_ord int, ref_vec array<float>")
+    for values in (100, 4):
+        got = sorted(r.similarity for r in brand.with_own_similarity(texts, refs, block_values=values).collect())
+        assert got == pytest.approx([0.0, 1.0])

@@ -200,4 +200,5 @@ def test_campaign_with_a_provider(spark, brands, tmp_path):
     ranked = result.ranked.orderBy("rank").collect()
     assert [r.text for r in ranked] == ["informative copy speed", "emotional copy", "urgency copy"]
     assert [r.needs_human_review for r in ranked] == [False, False, False]
-    assert [r.error for r in result.errors.collect()] == ["quota exceeded"]
+    errors = sorted((r.request_id, r.error) for r in result.errors.select("request_id", "error").collect())
+    assert errors == [(1, "quota exceeded")] + [(2, "unknown brand")] * 4

@@ -40,10 +40,3 @@ def test_metrics(spark, tmp_path):
     files.write_metrics(metrics, str(tmp_path / "m"))
     assert sorted(map(tuple, files.read_metrics(spark, str(tmp_path / "m")).collect())) == [
         ("r2", "full", "Linear", 0.5), ("rmse", "full", "Linear", 2.0)]
-
-
-def test_small_tables_are_spread(spark, tmp_path, monkeypatch):
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
-    assert files.read_parquet(spark, str(tmp_path / "t")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    monkeypatch.setattr(files, "SMALL_INPUT_BYTES", 0)
-    assert files.read_parquet(spark, str(tmp_path / "t")).rdd.getNumPartitions() == 1
