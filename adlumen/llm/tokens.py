@@ -97,7 +97,8 @@ def _supported(specification: str) -> None:
         raise ValueError("the shortcut is for deterministic BPE with plain added tokens")
 
 
-_COUNTERS: dict[int, Callable[[str], int]] = {}
+#: The counter a worker made last, with the shared value it was made from.
+_LAST: list[tuple[object, Callable[[str], int]]] = []
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
@@ -113,10 +114,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     shared = spark.sparkContext.broadcast((specification, whole_tokens(specification)))  # bounded by the vocabulary
 
     def make() -> Callable[[str | None], tuple]:
-        if id(shared.value) not in _COUNTERS:
-            _COUNTERS.clear()
-            _COUNTERS[id(shared.value)] = counter(*shared.value)
-        count = _COUNTERS[id(shared.value)]
+        if not _LAST or _LAST[0][0] is not shared.value:
+            _LAST[:] = [(shared.value, counter(*shared.value))]
+        count = _LAST[0][1]
 
         def run(text: str | None) -> tuple:
             n = count(text) if text else 0
