@@ -63,12 +63,12 @@ def _position(word: Column) -> Column:
 
 
 def _numbered(sized: DataFrame, sources: DataFrame, n_buckets: int) -> DataFrame:
-    """Rows with their source's numbers, their hash and the bucket of the hashed order; null ids come last."""
+    """Rows with their source's numbers, their hash and the bucket of the hashed order; null ids come last, by size."""
     keyed = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
         "d.*", *[f"s.{c}" for c in ("source_no", "source_size", "weight", "slope", "target")])
     keyed = keyed.withColumn("_hash", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("~")))
     prefix = F.coalesce(F.conv(F.substring("_hash", 1, 7), 16, 10).cast("double"), F.lit(0.0)) / F.lit(float(1 << 28))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(n_buckets)).otherwise(F.floor(prefix * n_buckets))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(n_buckets) + F.col("size")).otherwise(F.floor(prefix * n_buckets))
     return keyed.withColumn("_bucket", bucket.cast("long"))
 
 
