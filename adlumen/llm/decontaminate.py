@@ -5,25 +5,29 @@ far the search may jump; where it may not, the hash of the window's last block p
 word at the front rules most of them out, and a direct comparison confirms the rest. Items of fewer words are one
 pattern each, searched with a table of their own length.
 
-The benchmark goes to the tasks in blocks of bounded size, one search after the other over the same stream of
-documents: no document is shuffled and no join is made.
+The benchmark goes to the tasks compressed, in blocks of bounded size. A task makes the tables of one block at a time
+and runs them over the texts it holds, so memory is one block's tables however many there are: no document is shuffled,
+no join is made.
 """
 
 from __future__ import annotations
 
-import re
+import json
+import zlib
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from adlumen.llm.common import utf8, with_mapped
+from adlumen.llm.common import ROW, SLICE, beside_row, utf8
 
 WIDTH = 13
-BLOCK_BYTES = 32 * 1024 * 1024
+BLOCK_BYTES = 2 * 1024 * 1024  # its tables take about 200 MB
 HIT_SHARE = 20  # contaminated from one word in so many
 _SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _TO_BLANKS = bytes(0x20 if b in _SEPARATORS else b for b in range(256))
-SPANS = "n_words long, spans array<int>, items array<string>"
+FOUND = "n_words long, n_hit long, spans array<int>, items array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -99,49 +103,74 @@ def _merged(spans: list[int], new: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _search(blocks) -> Callable[[], Callable[..., tuple]]:
-    def make() -> Callable[..., tuple]:
-        tables: list[Searcher] = blocks.value
-
-        def run(text: str | None, spans: list[int], items: list[str]) -> tuple:
-            words, found, new = words_of(text), set(items), []
-            for table in tables:
-                for start, names in table.found(words):
-                    found.update(names)
-                    new.append((start, start + table.length))
-            return len(words), _merged(spans, new) if new else spans, sorted(found)
-
-        return run
-
-    return make
-
-
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, width: int = WIDTH) -> Iterator[list[Searcher]]:
-    """The benchmark's tables, block by block; only one block is on the driver at a time.
+class Tables:
+    """Searchers of one block at a time."""
+
+    def __init__(self, blocks: list[bytes], width: int):
+        self.blocks, self.width = blocks, width
+        self.at, self.made = None, []
+
+    def of(self, block: int) -> list[Searcher]:
+        if block != self.at:
+            self.made = []  # freed before the next are made
+            self.made, self.at = searchers(json.loads(zlib.decompress(self.blocks[block])), self.width), block
+        return self.made
+
+
+def _search(blocks, width: int, n_kept: int, out: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The text is the column after the kept ones."""
+    types = [to_arrow_type(f.dataType) for f in out.fields[n_kept:]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, order = Tables(blocks.value, width), list(range(len(blocks.value)))
+        for batch in batches:
+            n, texts = batch.num_rows, batch.column(n_kept)
+            n_words = [0] * n
+            spans: dict[int, list[int]] = {}
+            items: dict[int, set[str]] = {}
+            for block in order or [None]:
+                searched = [] if block is None else tables.of(block)
+                for low in range(0, n, SLICE):
+                    for row, text in enumerate(texts.slice(low, SLICE).to_pylist(), low):
+                        words, new = words_of(text), []
+                        n_words[row] = len(words)
+                        for table in searched:
+                            for start, names in table.found(words):
+                                items.setdefault(row, set()).update(names)
+                                new.append((start, start + table.length))
+                        if new:
+                            spans[row] = _merged(spans.get(row, []), new)
+            order.reverse()  # the next batch begins with the tables that are made
+            for low in range(0, n, SLICE):
+                rows = range(low, min(n, low + SLICE))
+                found = [spans.get(row, []) for row in rows]
+                made = [
+                    n_words[low:low + SLICE], [sum(f[1::2]) - sum(f[::2]) for f in found], found,
+                    [sorted(items.get(row, ())) for row in rows]]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(i).slice(low, SLICE) for i in range(n_kept)], *[pa.array(m, t) for m, t in zip(made, types)]],
+                    names=out.fieldNames())
+
+    return run
+
+
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[bytes]:
+    """The items (id, text), compressed, block by block; the driver sees one block at a time in full.
 
     A block takes the items whose id hashes to it, so that its expected size is ``block_bytes`` at most.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-total // block_bytes)
-    for block in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block)
-        yield searchers([(r.item_id, r.text) for r in part.collect()], width)
+    parts = (items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block) for block in range(n_blocks))
+    return [zlib.compress(json.dumps([(r.item_id, r.text) for r in part.collect()]).encode()) for part in parts]
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, text: str, keep: list[str], width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``keep`` columns, ``n_words``, ``spans`` (disjoint [start, end) of hit words, flat) and sorted ``items`` of each row."""
-    context = docs.sparkSession.sparkContext
-    found = docs.select(*keep, *[c for c in [text] if c not in keep]).withColumns(
-        {"spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
-    carried = list(dict.fromkeys([*keep, text]))
-    for tables in benchmark_blocks(benchmark, block_bytes, width) or ():
-        found = with_mapped(found, SPANS, _search(context.broadcast(tables)), [text, "spans", "items"], carried).drop("n_words")
-    return with_mapped(found, "n_words long, n_hit long", _counted, [text, "spans"], [*keep, "spans", "items"])
-
-
-def _counted() -> Callable[..., tuple]:
-    return lambda text, spans: (len(words_of(text)), sum(spans[1::2]) - sum(spans[::2]))
+    """``keep`` columns, ``n_words``, ``n_hit``, ``spans`` (disjoint [start, end) of hit words, flat) and sorted ``items`` of each row."""
+    blocks = docs.sparkSession.sparkContext.broadcast(benchmark_blocks(benchmark, block_bytes))
+    out = T.StructType([*[docs.schema[c] for c in keep], *T.StructType.fromDDL(FOUND).fields])
+    return docs.select(*keep, F.col(text).alias("_searched")).mapInArrow(_search(blocks, width, len(keep), out), out)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = HIT_SHARE) -> DataFrame:
@@ -164,7 +193,5 @@ def is_contaminated(n_hit, n_words, share: int = HIT_SHARE):
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = HIT_SHARE) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, unchanged. Other columns may have any name."""
-    from adlumen.llm.common import ROW, beside_row
-
     kept = occurrences(beside_row(docs, _text="text"), benchmark, "_text", [ROW], width)
     return kept.where(~is_contaminated(F.col("n_hit"), F.col("n_words"), share)).select(f"{ROW}.*")
