@@ -92,31 +92,37 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")
 
 
-def _candidates(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Lines that share a half with another line: ``h1``, ``h2``, ``first``, ``shared``, ``content``."""
-    halves = firsts.select("h1", "h2", "first", F.posexplode("halves").alias("half_no", "half"))
+def _candidates(docs: DataFrame, firsts: DataFrame, edit_words: int) -> DataFrame:
+    """Lines that share a half with another line: ``h1``, ``h2``, ``first``, ``shared``, ``content``.
+
+    A place stands for the line that is first there, so the halves travel without keys and go to their document at once.
+    Where rows share an id, a place may have several lines; each is found at its own first place as well, and the
+    earliest place of a line counts.
+    """
+    halves = firsts.select("first.doc_id", "first.line", F.posexplode("halves").alias("half_no", "half"))
     # Counts are written before they are joined: a join of plain exchanges can split a frequent key.
     common = written(halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "lines-halves")
-    flagged = halves.join(common, "half").groupBy("h1", "h2").agg(
-        F.first("first").alias("first"), F.collect_set("half_no").alias("shared"))  # four numbers at most
-    per_doc = flagged.groupBy(F.col("first.doc_id").alias("_doc")).agg(
-        F.collect_list(F.struct("first", "h1", "h2", "shared")).alias("wanted"))  # lines of one document
+    per_doc = halves.join(common, "half").groupBy(F.col("doc_id").alias("_doc")).agg(
+        F.collect_list(F.struct("line", "half_no")).alias("wanted"))  # lines of one document, four numbers at most each
     texts = docs.select("doc_id", "text").join(per_doc, F.col("doc_id").eqNullSafe(F.col("_doc")))
 
     def make() -> Callable[..., Iterator[tuple]]:
         def run(text: str | None, wanted: list) -> Iterator[tuple]:
             lines = (text or "").split("\n")
+            shared: dict[int, set[int]] = {}
             for w in wanted:
-                number = w["first"]["line"]
+                shared.setdefault(w["line"], set()).add(w["half_no"])
+            for number in sorted(shared):
                 words = words_of(lines[number]) if number < len(lines) else []
-                if words and line_key(words) == (w["h1"], w["h2"]):
-                    yield w["h1"], w["h2"], w["first"], w["shared"], b" ".join(words).decode("utf-8", "surrogatepass")
+                own = [i for i in sorted(shared[number]) if i < 2 * len(half_lengths(len(words)))]
+                if len(words) >= edit_words and own:
+                    yield *line_key(words), number, own, b" ".join(words).decode("utf-8", "surrogatepass")
 
         return run
 
-    first = firsts.schema["first"].dataType.simpleString()
-    schema = f"h1 long, h2 long, first {first}, shared array<int>, content string"
-    return map_rows(texts, schema, make, ["text", "wanted"]).dropDuplicates(["h1", "h2"])
+    made = map_rows(texts, "h1 long, h2 long, line int, shared array<int>, content string", make, ["text", "wanted"], ["doc_id"])
+    earliest = F.min(F.struct(_place().alias("first"), "shared", "content")).alias("_earliest")
+    return made.groupBy("h1", "h2").agg(earliest).select("h1", "h2", "_earliest.*")
 
 
 def _later(lines: DataFrame) -> DataFrame:
@@ -157,11 +163,13 @@ def repeated_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     rows = written(_lines(docs, edit_words), "lines")
     firsts = written(rows.groupBy("h1", "h2").agg(
         F.min(_place()).alias("first"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n")), "lines-first")
-    near = written(_later(written(_candidates(docs, firsts.where(F.size("halves") > 0)), "lines-candidates")), "lines-near")
-    marked = written(firsts.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near").select(
-        "h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "lines-marked")
+    near = written(_later(written(_candidates(docs, firsts.where(F.size("halves") > 0), edit_words), "lines-candidates")), "lines-near")
+    # The first place matters for equal lines only; single lines without a neighbour are not shuffled again.
+    equal = firsts.where("n > 1").select("h1", "h2", "first", F.lit(False).alias("near"))
+    edited = near.select("h1", "h2", F.lit(None).cast(firsts.schema["first"].dataType).alias("first"), F.lit(True).alias("near"))
+    marked = written(equal.union(edited).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.bool_or("near").alias("near")), "lines-marked")
     met = rows.select("doc_id", "line", "h1", "h2").join(marked, ["h1", "h2"])
-    return met.where(F.col("near") | (_place() > F.col("first"))).select("doc_id", "line", "h1", (F.col("near")).alias("near"))
+    return met.where(F.col("near") | (_place() > F.col("first"))).select("doc_id", "line", "h1", "near")
 
 
 def _per_document(repeated: DataFrame) -> DataFrame:

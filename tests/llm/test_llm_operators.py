@@ -109,6 +109,16 @@ def test_lines_of_a_template(spark):
     assert {r.doc_id for r in got.where("n_removed > 0").collect()} == {d for d, _ in gone}
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """A place may hold several lines, of which one is first elsewhere, short, or near to a third one."""
+    rng = random.Random(21)
+    pool = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(12)]
+    edited = [" ".join("edit" if i == rng.randrange(9) else w for i, w in enumerate(p.split())) for p in pool]
+    rows = [(rng.randrange(6) if i % 7 else None, "\n".join(rng.choice(pool + edited + ["few words", ""]) for _ in range(3)), "en", "s") for i in range(40)]
+    got = lines.line_report(spark.createDataFrame(rows, SCHEMA)).select("doc_id", F.explode("removed_lines").alias("line"))
+    assert {(r.doc_id, r.line) for r in got.collect()} == brute.gone_lines([(d, t) for d, t, _, _ in rows])
+
+
 def test_simhash(spark, docs, empty):
     got = rows_of(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id")
     fps = [(d, brute.fingerprint(t)) for d, t, _, _ in EDGE]
