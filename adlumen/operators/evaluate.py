@@ -34,19 +34,21 @@ def with_truth(df: DataFrame, label: str = "human_label", source: str = "source_
 
 
 def with_outcome(df: DataFrame) -> DataFrame:
-    """Add ``own_score`` (score of the true brand) and ``is_correct``; rows without a known truth go."""
-    judged = df.withColumns({
-        "own_score": score_of(F.col("truth")),
-        "is_correct": (F.lower("predicted_brand") == F.col("truth")).cast("int"),
-    })
-    return judged.where(F.col("own_score").isNotNull())
+    """Add ``own_score`` (score of the true brand) and ``is_correct``; both are null without a known truth."""
+    judged = df.withColumn("own_score", score_of(F.col("truth")))
+    right = (F.lower("predicted_brand") == F.col("truth")).cast("int")
+    return judged.withColumn("is_correct", F.when(F.col("own_score").isNotNull(), right))
 
 
 def human_eval_metrics(outcome: DataFrame) -> DataFrame:
-    """Accuracy, correlation of score and correctness, and mean score of right and wrong predictions."""
+    """Accuracy, correlation of score and correctness, and mean score of right and wrong predictions.
+
+    ``n`` rows have a known truth and count; ``n_unjudged`` have none.
+    """
     right = F.col("is_correct") == 1
     return outcome.agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count("own_score").alias("n"),
+        F.count_if(F.col("own_score").isNull()).alias("n_unjudged"),
         F.avg(F.col("is_correct").cast("double")).alias("accuracy"),
         pearson(F.col("own_score"), F.col("is_correct")).alias("correlation"),
         F.avg(F.when(right, F.col("own_score"))).alias("mean_correct"),
@@ -89,19 +91,26 @@ def cv_scores(folds: DataFrame, value: str = "r2") -> DataFrame:
 def univariate_cv(df: DataFrame, x: str, y: str, fold: str, folds: int = 5) -> DataFrame:
     """R2 per fold ``0 .. folds-1`` of a straight line fitted on the other folds.
 
-    The line of a fold is fitted from sums: totals of the table minus the sums of the fold.
+    The line of a fold is fitted from centred moments: those of the table without the fold's share, so that no
+    digits are lost to large sums. A fold without other rows or slope gets null.
     """
     df = df.where(F.col(fold).between(0, folds - 1))
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
-    names = ["n", "sx", "sy", "sxx", "sxy"]
-    sums = [F.count(F.lit(1)).cast("double"), F.sum(a), F.sum(b), F.sum(a * a), F.sum(a * b)]
-    per_fold = df.groupBy(fold).agg(*[s.alias(f"f_{n}") for s, n in zip(sums, names)])
-    total = df.agg(F.struct(*[s.alias(n) for s, n in zip(sums, names)]).alias("t")).scalar()
-    rest = per_fold.withColumn("_t", total).select(fold, *[(F.col(f"_t.{n}") - F.col(f"f_{n}")).alias(n) for n in names])
-    slope = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    lines = rest.withColumn("slope", slope).select(
-        fold, "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).alias("intercept")
-    )
+    moments = {
+        "n": F.regr_count(b, a).cast("double"), "mx": F.regr_avgx(b, a), "my": F.regr_avgy(b, a),
+        "sxx": F.regr_sxx(b, a), "sxy": F.regr_sxy(b, a)}
+    per_fold = df.groupBy(fold).agg(F.struct(*[m.alias(n) for n, m in moments.items()]).alias("f"))
+    total = df.agg(F.struct(*[m.alias(n) for n, m in moments.items()]).alias("t")).scalar()
+
+    def mean(name: str) -> Column:
+        return F.try_divide(F.col("t.n") * F.col(f"t.{name}") - F.col("f.n") * F.col(f"f.{name}"), F.col("n"))
+
+    rest = per_fold.withColumn("t", total).withColumn("n", F.col("t.n") - F.col("f.n")).withColumns({"mx": mean("mx"), "my": mean("my")})
+    shift = F.try_divide(F.col("f.n") * F.col("n"), F.col("t.n")) * (F.col("mx") - F.col("f.mx"))
+    sxx = F.col("t.sxx") - F.col("f.sxx") - shift * (F.col("mx") - F.col("f.mx"))
+    sxy = F.col("t.sxy") - F.col("f.sxy") - shift * (F.col("my") - F.col("f.my"))
+    lines = rest.withColumn("slope", F.try_divide(sxy, sxx)).select(
+        fold, "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"))
     # At most ``folds`` lines.
     fitted = df.join(F.broadcast(lines), fold).withColumn("_predicted", F.col("slope") * a + F.col("intercept"))
     return regression_metrics(fitted, y, "_predicted", [fold])

@@ -147,14 +147,6 @@ def call_provider(
     return spread.mapInPandas(run, ANSWERS)
 
 
-def stored_texts(prompts: DataFrame, cache: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Add ``stored``: the map of known texts per model of the chain (as many entries as models at most)."""
-    known = cache.where(F.col("model").isin(list(models))).groupBy(F.sha2("prompt", 256).alias("prompt_key")).agg(
-        F.map_from_entries(F.collect_list(F.struct("model", "text"))).alias("stored")
-    )
-    return prompts.join(known, "prompt_key", "left")
-
-
 def generate_texts(
     prompts: DataFrame, provider: TextProvider, cache: GenerationCache, models: Sequence[str], attempts: int = 2,
     policy: Callable = attempt_models, concurrency: int | None = None, wait: Callable[[float], None] = time.sleep,
@@ -168,7 +160,7 @@ def generate_texts(
     prompts, unknown = prompts.where("prompt is not null"), prompts.where("prompt is null")
     key = F.sha2("prompt", 256).alias("prompt_key")
     distinct = prompts.select(key, "prompt").dropDuplicates(["prompt_key"])
-    looked_up = stored_texts(distinct, cache.entries(), models)
+    looked_up = cache.texts_of(distinct, models)
     first = F.try_element_at("stored", F.lit(models[0]))
     missing = looked_up.where(first.isNull()).select("prompt_key", "prompt", F.to_json("stored").alias("stored"))
     answers = checkpointed(call_provider(missing, provider, models, attempts, policy, concurrency, wait))

@@ -19,6 +19,7 @@ from adlumen.functions.hashing import hash_bucket
 from adlumen.functions.scoring import predicted_rate
 from adlumen.functions.text import with_text_features
 from adlumen.operators.clean import with_log_columns
+from adlumen.operators.eda import union_all
 from adlumen.operators.evaluate import regression_metrics
 
 LABEL = "log_ctr"
@@ -159,6 +160,12 @@ def top_importances(importances: DataFrame, n: int = 8) -> DataFrame:
 # --- stored models ------------------------------------------------------------------------------
 
 
+def importance_rows(spark: SparkSession, models: Mapping[str, PipelineModel]) -> DataFrame:
+    """Importances of several models as rows ``(subset, feature_ord, feature, importance)``."""
+    parts = [feature_importances(spark, fitted).select(F.lit(subset).alias("subset"), "*") for subset, fitted in models.items()]
+    return union_all(parts).to(schemas.IMPORTANCES)
+
+
 def model_path(root: str, kind: str, prefix: str = "") -> str:
     """Where a model of kind ``full`` or ``content`` lies; the prefix keeps demo models apart."""
     return f"{root}/{prefix}{kind}"

@@ -13,6 +13,7 @@ from adlumen.functions.text import with_text_features
 from adlumen.operators import model as m
 from adlumen.operators.clean import clean_posts
 from adlumen.operators.eda import union_all
+from adlumen.sources import files
 
 
 @dataclass(frozen=True)
@@ -23,10 +24,21 @@ class TrainedModels:
     metrics: DataFrame
 
 
+def with_post_id(posts: DataFrame) -> DataFrame:
+    """Posts with ``post_id``; where it is missing, a hash of the row.
+
+    Equal rows get equal ids, so that they fall on the same side of the split and into the same fold.
+    """
+    if "post_id" in posts.columns:
+        return posts
+    row = [part for c in posts.columns for part in (F.col(c), F.col(c).isNull())]
+    return posts.withColumn("post_id", F.xxhash64(*row))
+
+
 def featured_posts(posts: DataFrame, languages=("en",), affect_source: str = "column") -> DataFrame:
     """Cleaned posts with features; ``affect_source="text"`` recomputes sentiment and toxicity from the
     text, as is done for new texts, instead of keeping the columns that came with the posts."""
-    featured = with_text_features(clean_posts(posts, languages))
+    featured = with_text_features(clean_posts(with_post_id(posts), languages))
     return with_affect(featured, words="word_count") if affect_source == "text" else featured
 
 
@@ -34,7 +46,11 @@ def train(
     posts: DataFrame, sizes: m.ModelSizes = m.ModelSizes(), root: str | None = None, prefix: str = "",
     languages=("en",), affect_source: str = "column", cross_validate: bool = True,
 ) -> TrainedModels:
-    """Fit the full, linear and content models, evaluate them and store the two that score texts."""
+    """Fit the full, linear and content models and evaluate them.
+
+    With ``root``, the two models that score texts, the importances of their columns and the metrics are stored
+    below it, and the metrics are those read back.
+    """
     rows = m.training_rows(featured_posts(posts, languages, affect_source)).cache()
     training, test = m.split_rows(rows)
     full = m.assembled(fixed.FULL_COLUMNS, m.boosted_trees(sizes)).fit(training)
@@ -53,4 +69,11 @@ def train(
         for columns, subset in ((fixed.FULL_COLUMNS, "full"), (fixed.CONTENT_COLUMNS, "content")):
             cv = m.cv_boosted(training, columns, subset, sizes).select("cv_r2_mean", "cv_r2_std")
             parts.append(m.metric_rows(cv, subset, "BoostedTrees"))
-    return TrainedModels(full, linear, content, union_all(parts))
+    metrics = union_all(parts)
+    if root is not None:
+        spark = posts.sparkSession
+        files.write_importances(m.importance_rows(spark, {"full": full, "content": content}), m.model_path(root, "importances", prefix))
+        files.write_metrics(metrics, m.model_path(root, "metrics", prefix))
+        metrics = files.read_metrics(spark, m.model_path(root, "metrics", prefix))
+        rows.unpersist()
+    return TrainedModels(full, linear, content, metrics)

@@ -27,6 +27,7 @@ BRAND_FORM = _fields(
 )
 VARIANTS = _fields(request_id=LONG, variant_ord=INT, style=TEXT, text=TEXT, error=TEXT)
 CACHE = _fields(cache_key=TEXT, model=TEXT, prompt=TEXT, text=TEXT, created_at=T.TimestampType())
+IMPORTANCES = _fields(subset=TEXT, feature_ord=INT, feature=TEXT, importance=REAL)
 METRICS = _fields(metric=TEXT, subset=TEXT, model=TEXT, value=REAL)
 
 

@@ -6,6 +6,8 @@ entry of each key, so a replaced text needs no rewrite of old files.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
@@ -45,15 +47,31 @@ class GenerationCache:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def entries(self) -> DataFrame:
-        """Newest entry per key; empty when nothing was stored yet."""
+    def _written(self) -> DataFrame:
+        """Everything that was put; empty when nothing was stored yet."""
         try:
-            stored = self.spark.read.schema(schemas.CACHE).parquet(self.path)
+            return self.spark.read.schema(schemas.CACHE).parquet(self.path)
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schemas.CACHE)
-        return newest(stored)
+
+    def entries(self) -> DataFrame:
+        """Newest entry per key."""
+        return newest(self._written())
+
+    def texts_of(self, prompts: DataFrame, models: Sequence[str]) -> DataFrame:
+        """Add ``stored`` to rows with distinct ``prompt_key`` and ``prompt``: the map of known texts per model.
+
+        Only the entries asked for are grouped, and no stored prompt is read. The map has as many entries as models
+        at most.
+        """
+        chain = F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
+        asked = prompts.select("prompt_key", "prompt", chain).select("prompt_key", cache_key(F.col("model"), F.col("prompt")).alias("cache_key"))
+        put = self._written().where(F.col("model").isin(list(models))).select("cache_key", "model", "text", "created_at")
+        last = asked.join(put, "cache_key").groupBy("prompt_key", "model").agg(F.max_by("text", F.struct("created_at", "text")).alias("text"))
+        known = last.groupBy("prompt_key").agg(F.map_from_entries(F.collect_list(F.struct("model", "text"))).alias("stored"))
+        return prompts.join(known, "prompt_key", "left")
 
     def put(self, texts: DataFrame) -> None:
         """Store rows with ``model``, ``prompt`` and ``text``."""

@@ -42,5 +42,14 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
 
 
+def write_importances(importances: DataFrame, path: str) -> None:
+    """Feature importances as JSON lines."""
+    importances.write.mode("overwrite").json(path)
+
+
+def read_importances(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.IMPORTANCES).json(path)
+
+
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.METRICS).json(path)

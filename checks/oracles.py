@@ -332,7 +332,7 @@ def oracles() -> dict[str, str]:
     # --- evaluation -------------------------------------------------------------------------
     o["eval_truth"] = duck("select text_id, truth from judged", *OUTCOME)
     o["human_eval_metrics"] = duck("""
-        select count(*) as n, round(avg(cast(is_correct as double)), 6) as accuracy, round(corr(own_score, is_correct), 6) as correlation,
+        select count(*) as n, (select count(*) from judged) - count(*) as n_unjudged, round(avg(cast(is_correct as double)), 6) as accuracy, round(corr(own_score, is_correct), 6) as correlation,
           round(avg(case when is_correct = 1 then own_score end), 6) as mean_correct,
           round(avg(case when is_correct = 0 then own_score end), 6) as mean_wrong, round((select auc from auc), 6) as auc
         from outcome""", *OUTCOME, *auc_ctes("outcome", "own_score", "is_correct"))

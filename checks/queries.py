@@ -307,7 +307,7 @@ def eval_truth(i: Inputs) -> DataFrame:
 
 def human_eval_metrics(i: Inputs) -> DataFrame:
     report = reports.human_eval_report(labelled(i))
-    return report.select("n", *[r(c) for c in ("accuracy", "correlation", "mean_correct", "mean_wrong", "auc")])
+    return report.select("n", "n_unjudged", *[r(c) for c in ("accuracy", "correlation", "mean_correct", "mean_wrong", "auc")])
 
 
 def roc_auc(i: Inputs) -> DataFrame:
@@ -607,7 +607,7 @@ def model_roundtrip(i: Inputs) -> DataFrame:
 
 
 def train_report(i: Inputs) -> DataFrame:
-    return training.train(i.posts, SMALL, root=_models_root(i), prefix="report_", languages=None, cross_validate=False).metrics
+    return training.train(i.posts, SMALL, root=_models_root(i), prefix="report_", languages=None).metrics
 
 
 def embed_text(i: Inputs) -> DataFrame:

@@ -102,7 +102,8 @@ def test_labels_replace_the_source_as_soon_as_one_exists(published):
         "human_label", F.when(F.col("idx") == 6, F.lit(" Duolingo ")))
     truth = {r.idx: r.truth for r in evaluate.with_truth(rows).collect()}
     assert truth[6] == "duolingo" and truth[1] is None
-    assert evaluate.human_eval_metrics(evaluate.with_outcome(evaluate.with_truth(rows))).first().accuracy == 1.0
+    metrics = evaluate.human_eval_metrics(evaluate.with_outcome(evaluate.with_truth(rows))).first()
+    assert (metrics.accuracy, metrics.n, metrics.n_unjudged) == (1.0, 1, 14)
 
 
 def test_proof(published):

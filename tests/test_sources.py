@@ -1,9 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from adlumen import schemas
 from adlumen.operators import brand, catalog, model
+from adlumen.plans import training
 from adlumen.sources import files
 
 
@@ -15,6 +17,23 @@ def test_posts_survive_csv(spark, tmp_path):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
 
 
+def test_from_csv_to_stored_models(spark, tmp_path):
+    rows = [(f"Deal {i % 7} now! #tag{i % 3} " + "great " * (i % 5), "en", 1000 + i, i % 50, i % 9, i % 4, 0.1 * (i % 10), 0.0, None) for i in range(120)]
+    posts = spark.createDataFrame([(None, *r) for r in rows + rows[:5]], schemas.POSTS).drop("post_id")
+    files.write_csv(posts, str(tmp_path / "posts"))
+    read = training.with_post_id(files.read_posts(spark, str(tmp_path / "posts")))
+    assert read.count() == 125 and read.select("post_id").distinct().count() == 120
+    again = training.with_post_id(read.drop("post_id").repartition(5))
+    assert sorted(r.post_id for r in again.collect()) == sorted(r.post_id for r in read.collect())
+    root, sizes = str(tmp_path / "models"), model.ModelSizes(boosting_rounds=2, depth=2, step=0.3, folds=5)
+    trained = training.train(files.read_posts(spark, str(tmp_path / "posts")), sizes, root=root)
+    metrics = files.read_metrics(spark, f"{root}/metrics").collect()
+    assert sorted(map(tuple, metrics)) == sorted(map(tuple, trained.metrics.collect()))
+    assert {(r.metric, r.subset) for r in metrics} >= {("n_rows", "all"), ("cv_r2_mean", "full"), ("cv_r2_mean", "content"), ("r2", "content")}
+    weights = files.read_importances(spark, f"{root}/importances").collect()
+    assert {r.subset: sum(w.importance for w in weights if w.subset == r.subset) for r in weights} == pytest.approx({"full": 1.0, "content": 1.0})
+
+
 def test_catalog_json(spark, tmp_path):
     entry = {"brand_id": "a", "brand_name": "A", "tone_category": "t", "brand_voice_summary": "v", "style_rules": ["r"],
              "reference_ad_copies": ["one", "two"]}
