@@ -28,9 +28,9 @@ REPEAT_PERCENT = 30
 COVERED = 0.75
 STEPS = 3
 MIN_GROUP = 200
-CUTOFF = 60.0  # squared distance; the chi-squared distribution with six degrees passes 60 once in 2e10
+CUTOFF = 22.46  # squared distance; 0.999 of the chi-squared distribution with six degrees
 #: Transformed statistics and the least standard deviation taken for each, as a scatter of bulk texts can be zero.
-FLOORS = {"log_words": 0.5, "log_word_length": 0.08, "symbol_angle": 0.1, "duplicate_line_angle": 0.15, "repeat_angle": 0.15, "letter_angle": 0.08}
+FLOORS = {"log_words": 0.5, "log_word_length": 0.08, "symbol_angle": 0.05, "duplicate_line_angle": 0.15, "repeat_angle": 0.15, "letter_angle": 0.08}
 BINS = 256
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 STATISTICS = BASE + ", stats array<double>"
