@@ -259,10 +259,19 @@ def one_of_each(docs: DataFrame, reach: int = REACH, cell: int = CELL) -> DataFr
 
     Of equal ids in a component, and of rows without id, the one with the smallest hash of the row's plain columns stays.
     """
-    plain = [f"{ROW}.`{f.name}`" for f in docs.schema if isinstance(f.dataType, T.AtomicType)]
-    beside = beside_row(docs, _id="doc_id", _text="text").withColumn("_tie", F.xxhash64(*plain))
+    beside = identified(docs)
     rows = written(with_fingerprint(beside.select("_id", "_tie", "_text"), "_text", ["_id", "_tie"]), "simhash-rows")
-    members = written(_members(rows, reach, cell), "simhash-members")
+    return least_rows(beside, rows, written(_members(rows, reach, cell), "simhash-members"))
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """Rows beside their id, text and the hash of their plain columns."""
+    plain = [f"{ROW}.`{f.name}`" for f in docs.schema if isinstance(f.dataType, T.AtomicType)]
+    return beside_row(docs, _id="doc_id", _text="text").withColumn("_tie", F.xxhash64(*plain))
+
+
+def least_rows(beside: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The least row of each root of ``members`` (``fp``, ``root``); ``rows`` has ``_id``, ``_tie`` and ``fp``."""
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_tie").alias("t"))
     best = rows.groupBy("fp").agg(F.min(order).alias("best")).join(members, "fp").groupBy("root").agg(F.min("best").alias("best"))
     kept = best.select(F.col("best.i").alias("_id"), F.col("best.t").alias("_tie"))

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from adlumen.llm import quality
+import corpus_pipeline
+from adlumen.llm import quality, shingles
 
 RNG = random.Random(17)
 WORDS = [a + b for a in ("ba", "den", "ko", "lur", "mi", "sot", "ven", "wa") for b in ("", "chi", "dal", "er", "gon", "ip", "nal", "ru")]
@@ -21,3 +22,50 @@ def test_texts_with_a_tenth_of_symbols_go(spark):
     shares = [r.n_symbols / r.word_chars for r in got.where("doc_id >= 1000").collect()]
     assert 0.05 < min(shares) and max(shares) < 0.2
     assert got.where("doc_id >= 1000 and kept").count() == 0 and got.where("doc_id < 1000 and not kept").count() == 0
+
+
+def _set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def _similar(a, b):
+    return not a | b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_near_sets_share_a_key():
+    import numpy as np
+
+    rng = random.Random(1)
+    for _ in range(4000):
+        n = rng.choice([1, 2, 4, 5, 6, 9, 12, 20, 40, 90, 300, 1000])
+        both = [rng.getrandbits(64) for _ in range(n)]
+        others = n // 4
+        left = rng.choice([0, others // 2, others])
+        a, b = (np.unique(np.array(both + [rng.getrandbits(64) for _ in range(k)], np.uint64)) for k in (left, others - left))
+        assert shingles.near(a, b) and len(np.intersect1d(shingles.keys_of(a), shingles.keys_of(b)))
+
+
+def test_near_dedup_links_every_pair_of_similar_texts(spark):
+    rng = random.Random(6)
+    texts = [None, "", "one two", "One  two", "one two three"]
+    for n in (9, 30, 120, 400):
+        for _ in range(8):
+            text = prose(n, rng)
+            texts.append(text)
+            for _ in range(4):
+                words = text.split()
+                for _ in range(rng.randint(0, max(1, n // 25))):
+                    words[rng.randrange(len(words))] = "edit" + rng.choice(WORDS)
+                texts.append(text := " ".join(words))
+    sets = [_set(t) for t in texts]
+    top = list(range(len(texts)))
+    linked = [[j for j, b in enumerate(sets) if _similar(a, b)] for a in sets]
+    for _ in texts:
+        top = [min(top[j] for j in js) for js in linked]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    expected = {t for t in top}
+    assert len(expected) < len(texts) - 40
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
+    assert shingles.one_of_each(docs.limit(0)).count() == 0
