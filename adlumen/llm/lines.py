@@ -2,7 +2,10 @@
 
 Lines are compared as words (A-Z in lower case, white space between words ignored). A line goes when an equal line, or
 one within an edit of one word, stands earlier in the corpus; the edit is allowed between lines of ``EDIT_WORDS`` words
-or more, shorter lines must be equal. "Earlier" compares (doc_id, line number), null ids last.
+or more, shorter lines must be equal. "Earlier" compares (doc_id, line number), null ids last, and among rows without id
+also the hash of the text and, for equal texts, of the row.
+
+A row is known by its id and the hash of its text, ``tie``: rows that share an id, or have none, keep lists of their own.
 
 Two lines one edit apart become equal when the edited word is taken out. So a line's neighbourhood, all its variants
 with one word less, is emitted as hashed keys. Lines of one length that are an edit apart share a variant at the same
@@ -20,7 +23,7 @@ import struct
 from collections.abc import Callable, Iterator
 
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from adlumen.llm.common import ROW, beside_row, map_rows, utf8, with_mapped, written
 
@@ -74,7 +77,7 @@ def one_edit(a: list[str], b: list[str]) -> bool:
 
 
 def _lines(docs: DataFrame, edit_words: int) -> DataFrame:
-    """One row per line with a word: ``doc_id``, ``line``, ``h1``, ``h2``, ``halves``."""
+    """One row per line with a word: ``doc_id``, ``tie``, ``line``, ``h1``, ``h2``, ``halves``."""
 
     def make() -> Callable[..., Iterator[tuple]]:
         def run(text: str | None) -> Iterator[tuple]:
@@ -85,11 +88,21 @@ def _lines(docs: DataFrame, edit_words: int) -> DataFrame:
 
         return run
 
-    return map_rows(docs, "line int, h1 long, h2 long, halves array<long>", make, ["text"], ["doc_id"])
+    return map_rows(_tied(docs), "line int, h1 long, h2 long, halves array<long>", make, ["text"], ["doc_id", "tie"])
+
+
+def _tied(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
 
 
 def _place() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")
+    """Rows without id are places of their own."""
+    own = F.when(F.col("doc_id").isNull(), F.col("tie")).otherwise(F.lit(0).cast("long"))
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line", own.alias("own"))
+
+
+def _same_row() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie"))
 
 
 def _candidates(docs: DataFrame, firsts: DataFrame, edit_words: int) -> DataFrame:
@@ -99,12 +112,12 @@ def _candidates(docs: DataFrame, firsts: DataFrame, edit_words: int) -> DataFram
     Where rows share an id, a place may have several lines; each is found at its own first place as well, and the
     earliest place of a line counts.
     """
-    halves = firsts.select("first.doc_id", "first.line", F.posexplode("halves").alias("half_no", "half"))
+    halves = firsts.select("first.doc_id", "tie", "first.line", F.posexplode("halves").alias("half_no", "half"))
     # Counts are written before they are joined: a join of plain exchanges can split a frequent key.
     common = written(halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "lines-halves")
-    per_doc = halves.join(common, "half").groupBy(F.col("doc_id").alias("_doc")).agg(
+    per_doc = halves.join(common, "half").groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).agg(
         F.collect_list(F.struct("line", "half_no")).alias("wanted"))  # lines of one document, four numbers at most each
-    texts = docs.select("doc_id", "text").join(per_doc, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    texts = _tied(docs).join(per_doc, _same_row())
 
     def make() -> Callable[..., Iterator[tuple]]:
         def run(text: str | None, wanted: list) -> Iterator[tuple]:
@@ -120,7 +133,7 @@ def _candidates(docs: DataFrame, firsts: DataFrame, edit_words: int) -> DataFram
 
         return run
 
-    made = map_rows(texts, "h1 long, h2 long, line int, shared array<int>, content string", make, ["text", "wanted"], ["doc_id"])
+    made = map_rows(texts, "h1 long, h2 long, line int, shared array<int>, content string", make, ["text", "wanted"], ["doc_id", "tie"])
     earliest = F.min(F.struct(_place().alias("first"), "shared", "content")).alias("_earliest")
     return made.groupBy("h1", "h2").agg(earliest).select("h1", "h2", "_earliest.*")
 
@@ -156,40 +169,53 @@ def _later(lines: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
-    """(``doc_id``, ``line``, ``h1``, ``near``) of every line that goes; ``near`` if only an edited line is earlier.
+    """(``doc_id``, ``tie``, ``line``, ``h1``, ``near``) of every line that goes; ``near`` if only an edited line is earlier.
 
-    Rows that share an id are one place: an equal line at the same number there is one occurrence.
+    Rows that share an id are one place: an equal line at the same number there is one occurrence. Equal texts without id
+    are told apart by ``_copies`` only.
     """
     rows = written(_lines(docs, edit_words), "lines")
     firsts = written(rows.groupBy("h1", "h2").agg(
-        F.min(_place()).alias("first"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n")), "lines-first")
+        F.min(F.struct(_place().alias("first"), "tie")).alias("at"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n")).select(
+        "h1", "h2", "at.*", "halves", "n"), "lines-first")
     near = written(_later(written(_candidates(docs, firsts.where(F.size("halves") > 0), edit_words), "lines-candidates")), "lines-near")
     # The first place matters for equal lines only; single lines without a neighbour are not shuffled again.
     equal = firsts.where("n > 1").select("h1", "h2", "first", F.lit(False).alias("near"))
     edited = near.select("h1", "h2", F.lit(None).cast(firsts.schema["first"].dataType).alias("first"), F.lit(True).alias("near"))
     marked = written(equal.union(edited).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.bool_or("near").alias("near")), "lines-marked")
-    met = rows.select("doc_id", "line", "h1", "h2").join(marked, ["h1", "h2"])
-    return met.where(F.col("near") | (_place() > F.col("first"))).select("doc_id", "line", "h1", "near")
+    met = rows.select("doc_id", "tie", "line", "h1", "h2").join(marked, ["h1", "h2"])
+    return met.where(F.col("near") | (_place() > F.col("first"))).select("doc_id", "tie", "line", "h1", "near")
 
 
 def _per_document(repeated: DataFrame) -> DataFrame:
     gone = F.array_sort(F.collect_set(F.struct("line", "h1", "near")))  # lines of one document
-    return repeated.groupBy(F.col("doc_id").alias("_doc")).agg(gone.alias("_gone"))
+    return repeated.groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).agg(gone.alias("_gone"))
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """Row, ``doc_id``, ``text``, ``tie`` and whether an equal text without id stands earlier, all of whose lines then do."""
+    plain = [f"{ROW}.`{f.name}`" for f in docs.schema if isinstance(f.dataType, T.AtomicType)]
+    beside = lambda df: beside_row(df, doc_id="doc_id", text="text", tie=F.xxhash64("text"))
+    known = beside(docs.where("doc_id is not null")).withColumn("copy", F.lit(False))
+    number = F.row_number().over(Window.partitionBy("tie", "text").orderBy(F.xxhash64(*plain)))
+    return known.union(beside(docs.where("doc_id is null")).withColumn("copy", number > 1))
 
 
 def line_report(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``): lines with a word, removed ones, and which (from 0).
 
-    Null and empty texts have no lines; lines without a word stay; rows that share an id share its list; other
-    columns are not read; an empty table gives no rows.
+    Null and empty texts have no lines; lines without a word stay; rows that share an id, or have none, have lists of their own; an empty table gives no rows.
     """
     gone = _per_document(repeated_lines(docs, edit_words))
-    counts = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(HAS_WORD)), F.lit(0)).cast("long").alias("n_lines"))
+    counts = _copies(docs).select(
+        "doc_id", "tie", F.coalesce(F.regexp_count("text", F.lit(HAS_WORD)), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("copy"), F.split("text", "\n", -1)).alias("_lines"))
     lists = F.coalesce("_gone", F.array().cast(gone.schema["_gone"].dataType))
-    return counts.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select(
-        "doc_id", "n_lines", F.size(lists).cast("long").alias("n_removed"),
-        F.size(F.filter(lists, lambda g: g["near"])).cast("long").alias("n_near"),
-        F.transform(lists, lambda g: g["line"]).alias("removed_lines"))
+    numbered = F.transform("_lines", lambda line, i: F.when(line.rlike(HAS_WORD), i))
+    out = F.coalesce(F.filter(numbered, lambda i: i.isNotNull()), F.transform(lists, lambda g: g["line"]))
+    return counts.join(gone, _same_row(), "left").select(
+        "doc_id", "n_lines", F.size(out).cast("long").alias("n_removed"),
+        F.size(F.filter(lists, lambda g: g["near"])).cast("long").alias("n_near"), out.alias("removed_lines"))
 
 
 def without_repeated_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
@@ -198,21 +224,21 @@ def without_repeated_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> Dat
     A row whose lines all go stays with an empty text. Null texts stay null; other columns stay as they are.
     """
     gone = _per_document(repeated_lines(docs, edit_words))
-    beside = beside_row(docs, _id="doc_id", _text="text").join(gone, F.col("_id").eqNullSafe(F.col("_doc")), "left")
+    beside = _copies(docs).join(gone, _same_row(), "left")
 
     def make() -> Callable[..., tuple]:
-        def run(text: str | None, out: list | None) -> tuple:
-            if not out or text is None:
+        def run(text: str | None, out: list | None, copy: bool) -> tuple:
+            if text is None or not (out or copy):
                 return (text,)
-            marked = {g["line"]: g["h1"] for g in out}
-            left = [
-                line for number, line in enumerate(text.split("\n"))
-                if number not in marked or line_key(words_of(line))[0] != marked[number]]
+            if copy:
+                return ("\n".join(line for line in text.split("\n") if not words_of(line)),)
+            marked = {g["line"] for g in out}
+            left = [line for number, line in enumerate(text.split("\n")) if number not in marked]
             return ("\n".join(left),)
 
         return run
 
-    made = with_mapped(beside, "_left string", make, ["_text", "_gone"], [ROW])
+    made = with_mapped(beside, "_left string", make, ["text", "_gone", "copy"], [ROW])
     return made.select(*[
         F.col("_left").alias(c) if c == "text"
         else F.when(F.col("_left") == F.col(f"{ROW}.text"), F.col(f"{ROW}.n_chars")).otherwise(F.length("_left")).cast(docs.schema[c].dataType).alias(c)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from adlumen.llm import quality, shingles
+from adlumen.llm import lines, quality, shingles
 
 RNG = random.Random(17)
 WORDS = [a + b for a in ("ba", "den", "ko", "lur", "mi", "sot", "ven", "wa") for b in ("", "chi", "dal", "er", "gon", "ip", "nal", "ru")]
@@ -69,3 +69,14 @@ def test_near_dedup_links_every_pair_of_similar_texts(spark):
     assert len(expected) < len(texts) - 40
     assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
     assert shingles.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_each_row_loses_its_own_lines(spark):
+    a, b, c = (prose(10) for _ in range(3))
+    rows = [(0, f"{a}\n{b}\n{c}"), (5, f"{a}\nown one"), (5, f"{b}\nown two"), (5, f"{c}\nown three"), (None, f"new line\n{a}"),
+            (None, f"new line\n{b}"), (None, "twice\n\nof it"), (None, "twice\n\nof it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted((r.text for r in lines.without_repeated_lines(docs).collect()))
+    assert left == sorted([rows[0][1], "own one", "own two", "own three", "new line", "", "twice\n\nof it", ""])
+    got = sorted((repr(r.doc_id), list(r.removed_lines), r.n_removed) for r in lines.line_report(docs).collect())
+    assert got == sorted([("0", [], 0), *[("5", [0], 1)] * 3, ("None", [1], 1), ("None", [0, 1], 2), ("None", [], 0), ("None", [0, 2], 2)])
