@@ -84,7 +84,8 @@ def runs(data: bytes, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK
 
 
 def _tie(text: str | None) -> int:
-    return xxhash.xxh32_intdigest(utf8(text)) - (1 << 31)
+    """What ``F.xxhash64`` gives for the text."""
+    return 42 if text is None else int.from_bytes(xxhash.xxh64_digest(utf8(text), 42), "big", signed=True)
 
 
 def _rows_of(docs: DataFrame, columns: str) -> T.StructType:
@@ -93,7 +94,7 @@ def _rows_of(docs: DataFrame, columns: str) -> T.StructType:
 
 def _all_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Runs of all documents: ``doc_id``, ``tie``, ``anchor``, ``content``, ``first``, ``windows``, ``before``."""
-    out = _rows_of(docs, "tie int, anchor long, content long, first int, windows int, before int")
+    out = _rows_of(docs, "tie long, anchor long, content long, first int, windows int, before int")
     types = [to_arrow_type(f.dataType) for f in out.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +105,7 @@ def _all_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
             def made() -> pa.RecordBatch:
                 counts = [len(p[0]) for p in parts]
-                columns = [batch.column(0).take(pa.array(np.repeat(rows, counts), pa.int64())), pa.array(np.repeat(ties, counts), pa.int32())]
+                columns = [batch.column(0).take(pa.array(np.repeat(rows, counts), pa.int64())), pa.array(np.repeat(np.array(ties, np.int64), counts), pa.int64())]
                 columns += [pa.array(np.concatenate([p[i] for p in parts]), t) for i, t in enumerate(types[2:])]
                 return pa.RecordBatch.from_arrays(columns, names=out.fieldNames())
 
@@ -384,17 +385,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
         "doc_id", "tie", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (length - 1)).alias("end"))
     sizes = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
     mixed = contents.join(sizes, "anchor")
-    texts = docs.select("doc_id", F.col("text"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_own"))
 
     def cut(runs_: DataFrame, make, schema: str) -> DataFrame:
         wanted = _wanted(runs_)
         # Same side and keys as in the last join of ``without_repeats``, so that one exchange of the texts serves all.
-        met = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
+        met = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_tie")))
         return map_rows(met, schema, make(length), ["_tie", "text", "wanted"], ["doc_id", "_tie"]).withColumnRenamed("_tie", "tie")
 
     few = cut(mixed.where(F.col("contents") <= group), _cut,
               "anchor long, content long, first int, windows int, before int, n long, bytes binary")
-    out = _rows_of(docs, "tie int, start int, end int")
+    out = _rows_of(docs, "tie long, start int, end int")
     by_anchor = few.repartition("anchor").sortWithinPartitions("anchor")
     partly = by_anchor.mapInArrow(_sorted_groups(length, out), out)
 
@@ -413,14 +414,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     are not read; an empty table gives no rows.
     """
     spans = repeated_spans(docs, length, gram, group)
-    per_doc = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("tie", "start", "end")).alias("spans"))
-    texts = docs.select("doc_id", "text")
-    met = texts.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    per_doc = spans.groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).agg(
+        F.collect_set(F.struct("start", "end")).alias("spans"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_own"))
+    met = texts.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_tie")), "left")
 
     def make() -> Callable[..., tuple]:
         def run(text: str | None, spans: list | None) -> tuple:
             data = utf8(text)
-            own = sorted((s["start"], s["end"]) for s in spans if s["tie"] == _tie(text)) if spans else []
+            own = sorted((s["start"], s["end"]) for s in spans) if spans else []
             parts, at, n_spans = [], 0, 0
             end = -1
             for start, stop in own:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from adlumen.llm import lines, quality, shingles
+from adlumen.llm import lines, quality, shingles, suffixes
 
 RNG = random.Random(17)
 WORDS = [a + b for a in ("ba", "den", "ko", "lur", "mi", "sot", "ven", "wa") for b in ("", "chi", "dal", "er", "gon", "ip", "nal", "ru")]
@@ -80,3 +80,14 @@ def test_each_row_loses_its_own_lines(spark):
     assert left == sorted([rows[0][1], "own one", "own two", "own three", "new line", "", "twice\n\nof it", ""])
     got = sorted((repr(r.doc_id), list(r.removed_lines), r.n_removed) for r in lines.line_report(docs).collect())
     assert got == sorted([("0", [], 0), *[("5", [0], 1)] * 3, ("None", [1], 1), ("None", [0, 1], 2), ("None", [], 0), ("None", [0, 2], 2)])
+
+
+def test_spans_of_rows_without_id_meet_their_own_row_only(spark):
+    shared = prose(60)
+    texts = [shared + prose(5) + "é" for _ in range(12)] + [shared, shared, None, ""]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    ties = docs.select("text", F.xxhash64("text").alias("tie")).collect()
+    assert all(suffixes._tie(r.text) == r.tie for r in ties)
+    got = suffixes.without_repeats(docs)
+    assert "_tie" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.n_removed >= len(shared) for r in got.collect()) == [False] * 2 + [True] * 14
