@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from adlumen.llm import decontaminate, licenses, lines, mixing, quality, secrets, simhash, suffixes, tokens, warc
+from adlumen.llm import decontaminate, fim, licenses, lines, mixing, negatives, quality, secrets, simhash, suffixes, tokens, toxicity, warc
 from adlumen.llm.common import benchmark, documents, ready
 from adlumen.session import shared_dir
 
@@ -69,9 +69,25 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(documents(spark, folder))
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    return toxicity.scored(docs, toxicity.learned(docs, labels)).drop("evidence")
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    digest = lambda name: F.sha2(F.col(name).cast("binary"), 256)
+    return fim.restored(fim.transformed(documents(spark, folder))).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.hard_negatives(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 QUERIES: list[Query] = [
     op1_line_dedup, op2_benchmark_decontamination, op3_source_mixing, op4_warc_index, op5_token_counts, op6_suffix_dedup,
-    op7_license_scan, op8_secret_scan, op9_simhash_dedup, op10_quality_rules,
+    op7_license_scan, op8_secret_scan, op9_simhash_dedup, op10_quality_rules, op11_toxicity,
+    op12_fill_in_middle, op13_hard_negatives,
 ]
 
 
@@ -219,9 +235,52 @@ from documents d left join per_doc p on p.doc_id = d.doc_id
 left join known k on k.digest = sha256({_canonical_sql('d.text')})"""
 
 
+FILL_SQL = r"""
+with tokens as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as t,
+         sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h
+  from documents),
+drawn as (
+  select doc_id, text, t, len(t) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+         ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4
+  from tokens),
+cut as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+              when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from drawn),
+parts as (
+  select *, array_to_string(t[1:a], '') as prefix, array_to_string(t[a + 1:b], '') as middle, array_to_string(t[b + 1:], '') as suffix from cut)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars,
+       case when form <> 'plain' then length(middle) end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(text) as restored_sha256
+from parts"""
+
+NEGATIVES_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, cast(list_inner_product(a.e, b.e) as bigint) as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select p.anchor_id, p.positive_id, p.positive_score, s.other_id as negative_id, s.score as negative_score,
+       cast(row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other_id) as integer) as rank
+from positives p join scored s on s.anchor_id = p.anchor_id and not s.same
+  and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score
+qualify row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other_id) <= 3"""
+
+
 def oracles() -> dict[str, str]:
-    """The other operators (byte-level BPE, suffixes, spans of matches, XXH64, robust estimates) are tested by brute force."""
+    """The other operators (byte-level BPE, suffixes, spans of matches, XXH64, robust estimates, learned scores) are tested by brute force."""
     return {
         "op1_line_dedup": LINES_SQL, "op2_benchmark_decontamination": CONTAMINATION_SQL, "op3_source_mixing": MIXING_SQL,
-        "op4_warc_index": WARC_SQL, "op7_license_scan": LICENSES_SQL,
+        "op4_warc_index": WARC_SQL, "op7_license_scan": LICENSES_SQL, "op12_fill_in_middle": FILL_SQL, "op13_hard_negatives": NEGATIVES_SQL,
     }

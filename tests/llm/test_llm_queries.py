@@ -13,13 +13,13 @@ OURS = [n for n in QUERIES if n.startswith("op") and n[2].isdigit()]
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for name in ("documents", "pages", "benchmark"):
+    for name in ("documents", "pages", "benchmark", "embeddings"):
         connection.execute(f"create view {name} as select * from '{FOLDER}/{name}.parquet'")
     return connection
 
 
 def test_all_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in OURS) == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(int(n[2:].split("_")[0]) for n in OURS) == list(range(1, 14)) and "pipeline" in QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(set(OURS) & set(ORACLES)))
