@@ -1,9 +1,10 @@
-"""Exact order statistics without bringing a column or a group to one task.
+"""Exact order statistics without bringing a column, a group or a bucket of values to one task.
 
-``percentile`` and ``median`` keep every distinct value of a group in the memory of one task. Here the
-values are first counted per distinct value, then placed in buckets that depend on the value alone:
-256 per power of two and sign, so there are at most about a million of them however large the data is.
-Only bucket totals are accumulated per group; the order inside a bucket is found in that bucket's task.
+``percentile`` and ``median`` keep every distinct value of a group in the memory of one task. Here the values are counted
+per distinct value, dealt by their hash, and the wanted ranks are found by radix selection on the bits of the double:
+values are counted by their first ``DIGIT_BITS`` bits, the value of these bits that holds the rank is kept, its values
+are counted by the next bits, until all 64 bits are known. A round gathers at most 2^DIGIT_BITS counts per group,
+however many values there are and however close they lie.
 """
 
 from __future__ import annotations
@@ -11,86 +12,91 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-BUCKETS_PER_OCTAVE = 256
-_OFFSET = 1100 * BUCKETS_PER_OCTAVE
+from adlumen.operators.prefix import with_sums_before
 
+DIGIT_BITS = 16
+ROUNDS = 64 // DIGIT_BITS
+_MANTISSA = 52
 
-def value_bucket(value: Column) -> Column:
-    """Bucket number that grows with the value; equal values share a bucket."""
-    exponent = F.least(F.log2(F.abs(value)), F.lit(1024.0))
-    octave = F.floor(exponent * F.lit(float(BUCKETS_PER_OCTAVE))).cast("int") + F.lit(_OFFSET)
-    return F.when(value == 0, F.lit(0)).when(value > 0, octave).otherwise(-octave)
 
+def ordered_bits(value: Column) -> Column:
+    """The 64 bits of a double as a long of the same order: equal values have equal bits; native, never null.
 
-def _all_present(columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    The exponent comes from the logarithm, which may be one off beside a power of two, and is mended by comparing with
+    the powers of two; scaling by these is exact. Below 2^-1022 the steps of the doubles are all 2^-1074.
+    """
+    size = F.abs(value)
+    guess = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022)).cast("int")
+    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    exponent = guess + F.when(size < power(guess), -1).when((guess < 1023) & (size >= power(guess + 1)), 1).otherwise(0)
+    fraction = ((size * power(-exponent) - 1.0) * 2.0 ** _MANTISSA).cast("long")
+    small = (size * 2.0 ** 537 * 2.0 ** 537).cast("long")
+    bits = (
+        F.when(size == 0, F.lit(0)).when(size < 2.0 ** -1022, small).when(size == float("inf"), F.lit(2047 << _MANTISSA))
+        .otherwise((exponent + 1023).cast("long") * (1 << _MANTISSA) + fraction))
+    return F.coalesce(F.when(value < 0, -bits).otherwise(bits), F.lit(0)).cast("long")
+
+
+def value_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """(``by``, ``_value``, ``_n``, ``_bits``) of every distinct value; null and NaN values, and null groups, are left out."""
+    value = F.col(column).cast("double")
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by], value.isNotNull() & ~F.isnan(value))
+    counts = df.where(present).groupBy(*by, value.alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.withColumn("_bits", ordered_bits(F.col("_value")))
 
 
-def _running(column: str, window) -> Column:
-    return F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+def _first_bits(rounds: int) -> Column:
+    return F.shiftright("_bits", 64 - DIGIT_BITS * rounds)
 
 
-def with_running_sums(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Add ``<sum>_before`` for each column in ``sums``: its total over rows with a smaller ``value``.
+def _holding(counts: Column, rank: Column, before: Column) -> Column:
+    """First bits, number of smaller values of the group and value (in the last round) at a rank, from ascending counts."""
+    start = F.struct(before.alias("seen"), F.lit(None).cast("struct<bits:bigint,start:bigint,value:double>").alias("found"))
 
-    Expects one row per (``by``, ``value``). Also adds ``<sum>_total`` per group.
-    """
-    keys = [*by, "_bucket"]
-    rows = df.withColumn("_bucket", value_bucket(F.col(value))).where(_all_present(keys))
-    totals = rows.groupBy(*keys).agg(*[F.sum(s).alias(f"_{s}") for s in sums])
-    over_buckets = Window.partitionBy(*by, F.lit(0)).orderBy("_bucket")
-    over_group = Window.partitionBy(*by, F.lit(0))
-    starts = totals.select(
-        *keys,
-        *[(_running(f"_{s}", over_buckets) - F.col(f"_{s}")).alias(f"_{s}_start") for s in sums],
-        *[F.sum(f"_{s}").over(over_group).alias(f"{s}_total") for s in sums],
-    )
-    inside = Window.partitionBy(*keys).orderBy(value)
-    joined = rows.join(starts, keys)
-    return joined.select(
-        *df.columns,
-        *[(F.col(f"_{s}_start") + _running(s, inside) - F.col(s)).alias(f"{s}_before") for s in sums],
-        *[f"{s}_total" for s in sums],
-    )
+    def step(state: Column, entry: Column) -> Column:
+        here = state.found.isNull() & (rank < state.seen + entry.n)
+        found = F.struct(entry.bits.alias("bits"), state.seen.alias("start"), entry.value.alias("value"))
+        return F.struct((state.seen + entry.n).alias("seen"), F.when(here, found).otherwise(state.found).alias("found"))
+
+    return F.aggregate(counts, start, step, lambda state: state.found)
+
+
+def _round(wanted: DataFrame, by: Sequence[str], number: int) -> DataFrame:
+    """The buckets of round ``number`` that hold the wanted ranks; ``wanted`` has the values of the last round's buckets."""
+    last = number == ROUNDS
+    counted = wanted.groupBy(*by, "_bucket", _first_bits(number).alias("bits")).agg(
+        F.sum("_n").alias("n"), (F.max("_value") if last else F.lit(None).cast("double")).alias("value"),
+        F.first("_before").alias("_before"), F.first("_position").alias("_position"))
+    gathered = counted.groupBy(*by, "_bucket").agg(
+        F.array_sort(F.collect_list(F.struct("bits", "n", "value"))).alias("counts"),  # 2^DIGIT_BITS at most
+        F.first("_before").alias("_before"), F.first("_position").alias("_position"))
+    if number == 1:  # the size of the group is known now
+        size = F.aggregate("counts", F.lit(0).cast("long"), lambda total, entry: total + entry.n)
+        gathered = gathered.withColumn("_position", (size - 1) * F.col("_position"))
+    first, end = F.col("_before"), F.aggregate("counts", F.col("_before"), lambda total, entry: total + entry.n)
+    ranks = F.filter(F.array(F.floor("_position"), F.ceil("_position")), lambda r: (r >= first) & (r < end))
+    held = F.array_distinct(F.transform(ranks, lambda r: _holding(F.col("counts"), r, F.col("_before"))))
+    return gathered.select(*by, "_position", F.explode(held).alias("held")).select(
+        *by, "_position", F.col("held.bits").alias("_bucket"), F.col("held.start").alias("_before"), F.col("held.value").alias("_value"))
 
 
 def exact_quantile(df: DataFrame, column: str, q: float, by: Sequence[str] = (), name: str = "quantile") -> DataFrame:
-    """Quantile ``q`` with linear interpolation per group (one row in all without ``by``); nulls ignored."""
-    value = F.col(column).cast("double")
-    counts = (
-        df.where(value.isNotNull() & ~F.isnan(value))
-        .groupBy(*by, value.alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", value_bucket(F.col("_value")))
-    )
-    # The join below implies these conditions. Stated here, they apply to both of its sides, which then
-    # share one scan and one exchange.
-    counts = counts.where(_all_present([*by, "_bucket"]))
-    # Bucket totals per group give the bucket(s) that hold the two neighbouring order statistics.
-    totals = counts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_size"))
-    over_buckets = Window.partitionBy(*by, F.lit(0)).orderBy("_bucket")
-    over_group = Window.partitionBy(*by, F.lit(0))
-    placed = totals.select(
-        *by, "_bucket", "_size",
-        (_running("_size", over_buckets) - F.col("_size")).alias("_start"),
-        ((F.sum("_size").over(over_group) - 1) * F.lit(float(q))).alias("_position"),
-    )
-    low, high = F.floor("_position"), F.ceil("_position")
-    holding = placed.where((F.col("_start") <= high) & (F.col("_start") + F.col("_size") > low)).drop("_size")
-    if not by:
-        holding = F.broadcast(holding)  # at most two buckets
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_value")
-    ranked = counts.join(holding, [*by, "_bucket"]).withColumn(
-        "_end", F.col("_start") + _running("_n", inside)
-    ).withColumn("_first", F.col("_end") - F.col("_n"))
-
-    def at(index: Column) -> Column:
-        return F.max(F.when((F.col("_first") <= index) & (index < F.col("_end")), F.col("_value")))
-
-    picked = ranked.groupBy(*by).agg(
-        at(low).alias("_low"), at(high).alias("_high"), F.max("_position").alias("_position")
-    )
+    """Quantile ``q`` with linear interpolation per group (one row in all without ``by``); nulls and NaN ignored."""
+    counts = value_counts(df, column, by)
+    wanted = counts.withColumns({
+        "_bucket": F.lit(0).cast("long"), "_before": F.lit(0).cast("long"), "_position": F.lit(float(q))})
+    for number in range(1, ROUNDS + 1):
+        buckets = _round(wanted, by, number)
+        if number < ROUNDS:
+            chosen = buckets.drop("_value")
+            keyed = counts.withColumn("_bucket", _first_bits(number))
+            # Two buckets per group at most. Without groups that is a proven bound; else the planner chooses, and the
+            # adaptive join splits a frequent bucket. All rounds read one exchange of the counts.
+            wanted = keyed.join(chosen if by else F.broadcast(chosen), [*by, "_bucket"])
+    picked = buckets.groupBy(*by).agg(
+        F.min("_value").alias("_low"), F.max("_value").alias("_high"), F.max("_position").alias("_position"))
     share = F.col("_position") - F.floor("_position")
     return picked.select(*by, (F.col("_low") + (F.col("_high") - F.col("_low")) * share).alias(name))
 
@@ -98,3 +104,17 @@ def exact_quantile(df: DataFrame, column: str, q: float, by: Sequence[str] = (),
 def approximate_quantile(df: DataFrame, column: str, q: float, accuracy: int = 10_000, name: str = "quantile") -> DataFrame:
     """One-pass quantile with bounded rank error, for when the exact value is not needed."""
     return df.agg(F.approx_percentile(column, F.lit(q), F.lit(accuracy)).alias(name))
+
+
+def with_running_sums(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Add ``<sum>_before`` for each column in ``sums``: its total over rows with a smaller ``value``.
+
+    Expects one row per (``by``, ``value``); rows without a value or group are left out. Also adds ``<sum>_total`` per group.
+    """
+    present = df.dropna(subset=[value, *by])
+    ordered = with_sums_before(present, {f"{s}_before": F.col(s) for s in sums}, [value], by)
+    totals = ordered.groupBy(*by).agg(*[F.sum(s).alias(f"{s}_total") for s in sums])
+    if by:
+        return ordered.join(totals, list(by))
+    row = totals.select(F.struct(*totals.columns)).scalar()
+    return ordered.select(*ordered.columns, *[row.getField(c).alias(c) for c in totals.columns])

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from adlumen.functions import fixed_values as fixed
 from adlumen.functions.rounding import round_binary
 from adlumen.functions.scoring import blended, clamp, ctr_benchmark
+from adlumen.operators.prefix import with_sums_before
 from adlumen.operators.quantile import exact_quantile
 
-ORDINAL_BLOCK = 1 << 20
-
 
 def with_composite(
     df: DataFrame, ctr_weight: float = fixed.CTR_WEIGHT, given_ctr: str | None = None, given_brand: str | None = None
@@ -46,26 +45,16 @@ def score_batch(df: DataFrame, ctr_weight: float = fixed.CTR_WEIGHT) -> DataFram
 
 
 def ranked(
-    df: DataFrame, group: str = "request_id", score: str = "composite_score", ordinal: str = "variant_ord",
-    block: int = ORDINAL_BLOCK, name: str = "rank",
+    df: DataFrame, group: str = "request_id", score: str = "composite_score", ordinal: str = "variant_ord", name: str = "rank",
 ) -> DataFrame:
     """Rank by descending score, ties in ordinal order, without putting a whole group into one task.
 
-    Rows are counted per (group, score, ordinal block); the counts give each block its first rank, and
-    the rows are numbered inside their block only. Rows without a score come last.
+    Rows without a score come last; rows without a group are a group. A group of any size and with any scores is cut into
+    ranges of rows, and each range starts at the number of the group's rows before it.
     """
-    keyed = df.withColumns({
-        "_score": F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))),
-        "_block": F.floor(F.col(ordinal) / F.lit(block)),
-    })
-    keys = [group, "_score", "_block"]
-    sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy(F.col("_score").desc(), "_block")
-    running = F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    starts = sizes.select(*keys, (running - F.col("_n")).alias("_start"))
-    inside = Window.partitionBy(*keys).orderBy(ordinal)
-    placed = keyed.join(starts, keys).withColumn(name, (F.col("_start") + F.row_number().over(inside)).cast("int"))
-    return placed.select(*df.columns, name)
+    keyed = df.withColumn("_score", F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))))
+    before = with_sums_before(keyed, {"_before": F.lit(1).cast("long")}, [F.col("_score").desc(), F.col(ordinal).asc()], [group])
+    return before.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + 1).cast("int").alias(name))
 
 
 def rank_variants(df: DataFrame, ctr_weight: float = fixed.CTR_WEIGHT) -> DataFrame:

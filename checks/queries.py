@@ -273,7 +273,7 @@ def rank_variants(i: Inputs) -> DataFrame:
 def rank_by_source(i: Inputs) -> DataFrame:
     """Ranking within few, large groups."""
     rows = i.posts.join(i.documents.select(F.col("doc_id").alias("post_id"), "source"), "post_id")
-    return rank.ranked(rows.select("post_id", "source", "impressions"), "source", "impressions", "post_id", block=64).select("post_id", "rank")
+    return rank.ranked(rows.select("post_id", "source", "impressions"), "source", "impressions", "post_id").select("post_id", "rank")
 
 
 def made_variants(i: Inputs) -> DataFrame:

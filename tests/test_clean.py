@@ -1,10 +1,14 @@
+import random
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from adlumen import schemas
 from adlumen.operators import clean, eda
-from adlumen.operators.quantile import exact_quantile, with_running_sums
+from adlumen.operators.prefix import with_sums_before
+from adlumen.operators.quantile import exact_quantile, ordered_bits, value_counts, with_running_sums
 
 
 def post(i, lang="en", shown=100, likes=10, shares=5, comments=2, sentiment=0.5, toxicity=0.1):
@@ -63,11 +67,46 @@ def test_running_sums(spark):
     assert got == {v: (sum(range(1, i + 1)), total) for i, v in enumerate(values)}
 
 
-def test_hot_group_is_not_gathered(spark):
-    """No window over raw rows per group: the only per-group window sees bucket totals."""
-    df = spark.range(10).select((F.col("id") * 0).alias("g"), F.col("id").cast("double").alias("v"))
-    plan = exact_quantile(df, "v", 0.5, ["g"])._jdf.queryExecution().executedPlan().toString()
-    assert "percentile" not in plan and "collect" not in plan.lower()
+def test_bits_are_those_of_the_double(spark):
+    rng = random.Random(2)
+    values = [0.0, -0.0, 5e-324, 2.0 ** -1022, 2.0 ** -1022 - 5e-324, 1.7976931348623157e308, float("inf"), 1.0, 3.0]
+    values += [2.0 ** e * f for e in range(-1074, 1024) for f in (1.0, 1 + 2.0 ** -52)] + [2.0 ** e * (1 - 2.0 ** -53) for e in range(-1020, 1024)]
+    values += [struct.unpack(">d", struct.pack(">Q", rng.getrandbits(63)))[0] for _ in range(3000)]
+    values = [v for v in values if v == v]
+    rows = spark.createDataFrame([(s * v,) for v in values for s in (1, -1)], "v double")
+    for r in rows.select("v", ordered_bits(F.col("v")).alias("bits")).collect():
+        assert r.bits == struct.unpack(">q", struct.pack(">d", abs(r.v)))[0] * (-1 if r.v < 0 else 1), r.v
+
+
+def rows_per_task(df):
+    return [r.n for r in df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
+
+
+def test_close_values_are_dealt_over_all_tasks(spark):
+    """Ten million different values within 0.1 percent of each other: no task reads more than its share."""
+    n = 10_000_000
+    df = spark.range(n).select((1.0 + F.col("id") / F.lit(1e3 * n)).alias("v"), F.lit("hot").alias("g"))
+    coalesce, parts = (spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        tasks = rows_per_task(value_counts(df, "v"))
+        assert sum(tasks) == n and len(tasks) == 16 and max(tasks) < 1.2 * n / 16
+        expected = 1.0 + 4_999_999.5 / (1e3 * n)
+        assert exact_quantile(df, "v", 0.5).first().quantile == pytest.approx(expected, rel=1e-13)
+        ordered = with_sums_before(df.where("v < 1.0001").withColumn("one", F.lit(1)), {"before": F.col("one")}, ["v"], ["g"])
+        tasks = rows_per_task(ordered)
+        assert sum(tasks) == n // 10 and len(tasks) >= 12 and max(tasks) < 2 * n / 10 / 16
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_running_sums_per_group(spark):
+    rows = [(g, float(v), v + 1) for g, n in (("a", 500), ("b", 3), ("c", 1)) for v in range(n)] + [(None, 1.0, 1), ("a", None, 1)]
+    df = spark.createDataFrame(rows, "g string, v double, n long").repartition(6)
+    got = {(r.g, r.v): (r.n_before, r.n_total) for r in with_running_sums(df, "v", ["n"], ["g"]).collect()}
+    assert got == {(g, float(v)): (v * (v + 1) // 2, n * (n + 1) // 2) for g, n in (("a", 500), ("b", 3), ("c", 1)) for v in range(n)}
 
 
 def test_statistics(spark):

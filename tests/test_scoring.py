@@ -60,10 +60,31 @@ def test_ranks_do_not_depend_on_partitions_or_group_sizes(spark):
         expected.update({r[1]: n for n, r in enumerate(members, 1)})
     df = spark.createDataFrame(rows, "request_id int, variant_ord int, composite_score double")
     for partitions in (1, 16):
-        got = rank.ranked(df.repartition(partitions), block=100).collect()
+        got = rank.ranked(df.repartition(partitions)).collect()
         assert {r.variant_ord: r["rank"] for r in got} == expected
 
 
+def test_a_request_of_a_million_scores_is_ranked_by_all_tasks(spark):
+    n = 1_000_000
+    df = spark.range(n).select(
+        F.lit(1).alias("request_id"), F.col("id").alias("variant_ord"), F.pmod(F.xxhash64("id"), F.lit(1 << 50)).cast("double").alias("composite_score"))
+    parts, coalesce = (spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = rank.ranked(df)
+        per_task = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(per_task) == n and max(per_task) < n / 4
+        sums = got.agg(F.min("rank"), F.max("rank"), F.count_distinct("rank")).first()
+        assert tuple(sums) == (1, n, n)
+        top = {r["rank"]: r.variant_ord for r in got.where("rank <= 5").collect()}
+        best = df.orderBy(F.desc("composite_score"), "variant_ord").limit(5).collect()
+        assert top == {i: r.variant_ord for i, r in enumerate(best, 1)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+
+
 def test_rule_check(table):
     schema = "text string, preferred_vocabulary array<string>, forbidden_vocabulary array<string>"
     rows = [
