@@ -2,9 +2,9 @@
 
 ``percentile`` and ``median`` keep every distinct value of a group in the memory of one task. Here the values are counted
 per distinct value, dealt by their hash, and the wanted ranks are found by radix selection on the bits of the double:
-values are counted by their first ``DIGIT_BITS`` bits, the value of these bits that holds the rank is kept, its values
-are counted by the next bits, until all 64 bits are known. A round gathers at most 2^DIGIT_BITS counts per group,
-however many values there are and however close they lie.
+values are counted by their first bits, the value of these bits that holds the rank is kept, its values are counted by
+the next bits, until all 64 bits are known. A round orders at most 2^22 counts per group, however many values there are
+and however close they lie.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adlumen.operators.prefix import with_sums_before
+from adlumen.session import checkpointed
 
-DIGIT_BITS = 16
-ROUNDS = 64 // DIGIT_BITS
+DIGITS = (22, 21, 21)
 _MANTISSA = 52
 
 
@@ -47,56 +47,34 @@ def value_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFram
     return counts.withColumn("_bits", ordered_bits(F.col("_value")))
 
 
-def _first_bits(rounds: int) -> Column:
-    return F.shiftright("_bits", 64 - DIGIT_BITS * rounds)
-
-
-def _holding(counts: Column, rank: Column, before: Column) -> Column:
-    """First bits, number of smaller values of the group and value (in the last round) at a rank, from ascending counts."""
-    start = F.struct(before.alias("seen"), F.lit(None).cast("struct<bits:bigint,start:bigint,value:double>").alias("found"))
-
-    def step(state: Column, entry: Column) -> Column:
-        here = state.found.isNull() & (rank < state.seen + entry.n)
-        found = F.struct(entry.bits.alias("bits"), state.seen.alias("start"), entry.value.alias("value"))
-        return F.struct((state.seen + entry.n).alias("seen"), F.when(here, found).otherwise(state.found).alias("found"))
-
-    return F.aggregate(counts, start, step, lambda state: state.found)
-
-
-def _round(wanted: DataFrame, by: Sequence[str], number: int) -> DataFrame:
-    """The buckets of round ``number`` that hold the wanted ranks; ``wanted`` has the values of the last round's buckets."""
-    last = number == ROUNDS
-    counted = wanted.groupBy(*by, "_bucket", _first_bits(number).alias("bits")).agg(
-        F.sum("_n").alias("n"), (F.max("_value") if last else F.lit(None).cast("double")).alias("value"),
-        F.first("_before").alias("_before"), F.first("_position").alias("_position"))
-    gathered = counted.groupBy(*by, "_bucket").agg(
-        F.array_sort(F.collect_list(F.struct("bits", "n", "value"))).alias("counts"),  # 2^DIGIT_BITS at most
-        F.first("_before").alias("_before"), F.first("_position").alias("_position"))
-    if number == 1:  # the size of the group is known now
-        size = F.aggregate("counts", F.lit(0).cast("long"), lambda total, entry: total + entry.n)
-        gathered = gathered.withColumn("_position", (size - 1) * F.col("_position"))
-    first, end = F.col("_before"), F.aggregate("counts", F.col("_before"), lambda total, entry: total + entry.n)
-    ranks = F.filter(F.array(F.floor("_position"), F.ceil("_position")), lambda r: (r >= first) & (r < end))
-    held = F.array_distinct(F.transform(ranks, lambda r: _holding(F.col("counts"), r, F.col("_before"))))
-    return gathered.select(*by, "_position", F.explode(held).alias("held")).select(
-        *by, "_position", F.col("held.bits").alias("_bucket"), F.col("held.start").alias("_before"), F.col("held.value").alias("_value"))
-
-
 def exact_quantile(df: DataFrame, column: str, q: float, by: Sequence[str] = (), name: str = "quantile") -> DataFrame:
-    """Quantile ``q`` with linear interpolation per group (one row in all without ``by``); nulls and NaN ignored."""
-    counts = value_counts(df, column, by)
-    wanted = counts.withColumns({
-        "_bucket": F.lit(0).cast("long"), "_before": F.lit(0).cast("long"), "_position": F.lit(float(q))})
-    for number in range(1, ROUNDS + 1):
-        buckets = _round(wanted, by, number)
-        if number < ROUNDS:
-            chosen = buckets.drop("_value")
-            keyed = counts.withColumn("_bucket", _first_bits(number))
+    """Quantile ``q`` with linear interpolation per group (one row in all without ``by``); nulls and NaN ignored.
+
+    The counts are checkpointed in the shared folder: each round reads them, and ``df`` is computed once.
+    """
+    counts = checkpointed(value_counts(df, column, by))
+    low, high = F.floor("_position"), F.ceil("_position")
+    wanted, known = counts.withColumns({"_bucket": F.lit(0).cast("long"), "_before": F.lit(0).cast("long")}), 0
+    for digit in DIGITS:
+        known += digit
+        position = F.first("_position") if "_position" in wanted.columns else F.lit(None).cast("double")
+        buckets = wanted.groupBy(*by, "_bucket", F.shiftright("_bits", 64 - known).alias("_next")).agg(
+            F.sum("_n").alias("_size"), F.max("_value").alias("_value"), F.first("_before").alias("_before"), position.alias("_position"))
+        # The counts of one bucket: 2^digit rows at most, whatever the number of values.
+        of_bucket = Window.partitionBy(*by, "_bucket")
+        smaller = F.sum("_size").over(of_bucket.orderBy("_next").rowsBetween(Window.unboundedPreceding, -1))
+        placed = buckets.withColumns({
+            "_first": F.col("_before") + F.coalesce(smaller, F.lit(0)),
+            "_position": F.coalesce("_position", (F.sum("_size").over(of_bucket) - 1) * F.lit(float(q)))})
+        held = placed.where((F.col("_first") <= high) & (F.col("_first") + F.col("_size") > low))
+        if known < 64:
+            chosen = held.select(*by, F.col("_next").alias("_bucket"), F.col("_first").alias("_before"), "_position")
+            keyed = counts.withColumn("_bucket", F.shiftright("_bits", 64 - known))
             # Two buckets per group at most. Without groups that is a proven bound; else the planner chooses, and the
-            # adaptive join splits a frequent bucket. All rounds read one exchange of the counts.
+            # adaptive join splits a frequent bucket.
             wanted = keyed.join(chosen if by else F.broadcast(chosen), [*by, "_bucket"])
-    picked = buckets.groupBy(*by).agg(
-        F.min("_value").alias("_low"), F.max("_value").alias("_high"), F.max("_position").alias("_position"))
+    # The last buckets are single values: the one at the rank below and the one at the rank above.
+    picked = held.groupBy(*by).agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"), F.max("_position").alias("_position"))
     share = F.col("_position") - F.floor("_position")
     return picked.select(*by, (F.col("_low") + (F.col("_high") - F.col("_low")) * share).alias(name))
 
