@@ -2,26 +2,32 @@
 
 Tables: texts with a vector column, and references ``(brand_id, ref_ord, ref_vec)``.
 
-The references are cut into blocks of bounded size by a hash. The blocks go to the tasks one after the
-other, and the texts pass them as a stream: each block raises the running maxima of a row. Nothing is
-shuffled, rows are never joined back by an id, and a block meets a tile of texts at a time. Most
-reference tables are a single block.
+Spark writes the references, ordered by brand, as Parquet files in the shared folder. A task streams these files in
+blocks of bounded size past its texts, a tile at a time, and keeps running maxima. Neither the driver nor the plan, a
+broadcast or a task's memory grows with the references; rows are never shuffled or joined back by an id. The shared
+folder must be one that pyarrow opens on the executors: a mounted folder, HDFS, S3 or GCS.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import itertools
+import os
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adlumen.functions import fixed_values as fixed
 from adlumen.functions.rounding import round_binary
 from adlumen.functions.scoring import calibrated_brand_score
+from adlumen.session import shared_dir
 
-BLOCK_VALUES = 4 * 1024 * 1024  # numbers of a block on the driver and in each task: 32 MB
+BLOCK_VALUES = 4 * 1024 * 1024  # numbers of a block in a task: 32 MB
 TILE_VALUES = 4 * 1024 * 1024  # cosines held at a time
 
 
@@ -36,7 +42,7 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.when(length > 0, dot(a, b) / length).when(length.isNotNull(), F.lit(0.0))
 
 
-# --- reference matrix ---------------------------------------------------------------------------
+# --- stored references ---------------------------------------------------------------------------
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -57,101 +63,137 @@ def batch_matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass(frozen=True)
-class ReferenceMatrix:
-    """Unit reference vectors ordered by brand, with the first row of each brand."""
-
-    brands: list[str]
-    starts: np.ndarray
-    rows: np.ndarray
-
-    def best(self, units: np.ndarray) -> np.ndarray:
-        """Best cosine per (text, brand), a tile of texts at a time."""
-        tile = max(1, TILE_VALUES // max(1, len(self.rows)))
-        parts = [np.maximum.reduceat(units[i:i + tile] @ self.rows.T, self.starts, axis=1) for i in range(0, len(units), tile)]
-        return np.concatenate(parts) if parts else np.zeros((0, len(self.brands)))
-
-    def best_of(self, units: np.ndarray, brand: str) -> np.ndarray | None:
-        if brand not in self.brands:
-            return None
-        i = self.brands.index(brand)
-        end = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.rows)
-        own = self.rows[self.starts[i]:end]
-        tile = max(1, TILE_VALUES // len(own))
-        return np.concatenate([(units[j:j + tile] @ own.T).max(axis=1) for j in range(0, len(units), tile)])
-
-
-def reference_blocks(refs: DataFrame, block_values: int = BLOCK_VALUES) -> Iterator[ReferenceMatrix]:
-    """The references in blocks of about ``block_values`` numbers; one block is on the driver at a time."""
-    present = refs.where(F.col("ref_vec").isNotNull()).select("brand_id", "ref_ord", "ref_vec")
-    values = present.agg(F.sum(F.size("ref_vec"))).first()[0] or 0
-    n_blocks = -(-values // block_values)
-    for block in range(n_blocks):
-        part = present.where(F.pmod(F.xxhash64("brand_id", "ref_ord", "ref_vec"), F.lit(n_blocks)) == block)
-        table = part.orderBy("brand_id", "ref_ord").toArrow()
-        if table.num_rows:
-            brand = np.asarray(table["brand_id"].to_pylist(), dtype=object)
-            units, _ = batch_matrix(table["ref_vec"])
-            starts = np.flatnonzero(np.r_[True, brand[1:] != brand[:-1]])
-            yield ReferenceMatrix([str(b) for b in brand[starts]], starts, units)
+class ReferenceFiles:
+    """Folder of stored references: ``brands`` (brand_id, brand_ord) and ``vectors`` (brand_ord, ref_vec), brand by brand."""
+
+    folder: str
+    block_values: int = BLOCK_VALUES
+
+    def brands(self) -> list[str]:
+        found = [row for table in _parquet_batches(f"{self.folder}/brands", 1 << 16) for row in table.to_pylist()]
+        return [row["brand_id"] for row in sorted(found, key=lambda row: row["brand_ord"])]
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Brand numbers and unit vectors, at most ``block_values`` numbers at a time."""
+        for batch in _parquet_batches(f"{self.folder}/vectors", self._rows()):
+            yield batch.column("brand_ord").to_numpy(), batch_matrix(batch.column("ref_vec"))[0]
+
+    def _rows(self) -> int:
+        for batch in _parquet_batches(f"{self.folder}/vectors", 1):
+            return max(1, self.block_values // max(1, len(batch.column("ref_vec")[0])))
+        return 1
+
+
+def _parquet_batches(folder: str, rows: int) -> Iterator[pa.RecordBatch]:
+    system, path = fs.FileSystem.from_uri(_for_arrow(folder))
+    for file in sorted(f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")):
+        with system.open_input_file(file) as opened:
+            yield from pq.ParquetFile(opened).iter_batches(rows, use_threads=False)
+
+
+def _for_arrow(folder: str) -> str:
+    """The folder as a URI that Arrow knows: Spark's ``s3a`` is its ``s3``."""
+    if folder.startswith(("s3a:", "s3n:")):
+        return "s3" + folder[3:]
+    return folder if "://" in folder else folder.replace("file:", "", 1) if folder.startswith("file:") else os.path.abspath(folder)
+
+
+def stored_references(refs: DataFrame | ReferenceFiles, block_values: int = BLOCK_VALUES) -> ReferenceFiles:
+    """Write the references with a vector once; stored ones are returned as they are, so that several scores can share them."""
+    if isinstance(refs, ReferenceFiles):
+        return refs
+    folder = f"{shared_dir(refs.sparkSession)}/references/{uuid.uuid4().hex}"
+    present = refs.where(F.col("ref_vec").isNotNull() & F.col("brand_id").isNotNull())
+    names = present.select("brand_id").distinct()
+    # One row per brand; every row of the results holds as many.
+    names.withColumn("brand_ord", F.row_number().over(Window.orderBy("brand_id")) - 1).write.parquet(f"{folder}/brands")
+    brands = refs.sparkSession.read.schema("brand_id string, brand_ord int").parquet(f"{folder}/brands")
+    numbered = present.join(brands, "brand_id").select("brand_ord", "ref_vec")
+    numbered.repartitionByRange("brand_ord", F.xxhash64("ref_vec")).sortWithinPartitions("brand_ord").write.parquet(f"{folder}/vectors")
+    return ReferenceFiles(folder, block_values)
 
 
 # --- similarities -------------------------------------------------------------------------------
 
 
+def _tiles(units: np.ndarray, rows: int) -> Iterator[slice]:
+    step = max(1, TILE_VALUES // max(1, rows))
+    return (slice(low, low + step) for low in range(0, len(units), step))
+
+
+def _raise_all(best: np.ndarray, units: np.ndarray, brands: np.ndarray, refs: np.ndarray) -> None:
+    """Raise the best cosines per (text, brand) by a block whose brands stand together."""
+    starts = np.flatnonzero(np.r_[True, brands[1:] != brands[:-1]])
+    for tile in _tiles(units, len(refs)):
+        maxima = np.maximum.reduceat(units[tile] @ refs.T, starts, axis=1)
+        for i, brand in enumerate(brands[starts]):
+            np.fmax(best[tile, brand], maxima[:, i], out=best[tile, brand])
+
+
+def _raise_own(best: np.ndarray, units: np.ndarray, wanted: np.ndarray, brands: np.ndarray, refs: np.ndarray) -> None:
+    """Raise the best cosine of each text to its own brand."""
+    for brand in np.intersect1d(np.unique(brands), wanted):
+        at, own = np.flatnonzero(wanted == brand), refs[brands == brand]
+        for tile in _tiles(units[at], len(own)):
+            best[at[tile]] = np.fmax(best[at[tile]], (units[at[tile]] @ own.T).max(axis=1))
+
+
+def _held(files: ReferenceFiles) -> Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """The blocks, read anew each time, but for a table of one block, which is kept."""
+    first = list(itertools.islice(files.blocks(), 2))
+    if len(first) < 2:
+        return lambda: iter(first)
+    first.clear()
+    return files.blocks
+
+
 def with_brand_similarities(
-    texts: DataFrame, refs: DataFrame, vector: str = "text_vec", block_values: int = BLOCK_VALUES,
+    texts: DataFrame, refs: DataFrame | ReferenceFiles, vector: str = "text_vec", block_values: int = BLOCK_VALUES,
 ) -> DataFrame:
     """Add ``similarities``: the best cosine to every brand, as an array in brand order (as long as the brand list)."""
-    names = [r.brand_id for r in refs.where("ref_vec is not null").select("brand_id").distinct().orderBy("brand_id").collect()]
-    context = texts.sparkSession.sparkContext
-    best = F.when(F.col(vector).isNotNull(), F.array().cast("array<double>"))
-    for block in reference_blocks(refs, block_values):
-        maxima = _maxima(context.broadcast(block), names)(F.col(vector))
-        best = F.when(F.col(vector).isNotNull(), F.zip_with(best, maxima, lambda a, b: F.greatest(a, b)))
-    listed = F.array(*[F.lit(n) for n in names]).cast("array<string>")
-    return texts.withColumn("similarities", F.transform(best, lambda s, i: F.struct(
-        F.get(listed, i).alias("brand_id"), i.alias("brand_ord"), s.alias("similarity"))))
-
-
-def _maxima(matrix, names: Sequence[str]):
-    @F.arrow_udf("array<double>")
-    def maxima(vectors: pa.Array) -> pa.Array:
-        refs = matrix.value
-        units, present = batch_matrix(vectors)
-        best = np.full((len(vectors), len(names)), np.nan)
-        if len(present):
-            at = [names.index(b) for b in refs.brands]
-            best[np.ix_(present, at)] = refs.best(units)
-        ends = pa.array(np.arange(len(vectors) + 1) * len(names), pa.int32())
-        return pa.ListArray.from_arrays(ends, pa.array(best.ravel(), mask=np.isnan(best.ravel())))
+    return texts.withColumn("similarities", _maxima(stored_references(refs, block_values))(F.col(vector)))
+
+
+def _maxima(files: ReferenceFiles):
+    @F.arrow_udf("array<struct<brand_id:string,brand_ord:int,similarity:double>>")
+    def maxima(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names, blocks = files.brands(), _held(files)
+        for vectors in batches:
+            units, present = batch_matrix(vectors)
+            best = np.full((len(units), len(names)), np.nan)
+            for brands, rows in blocks() if len(units) else ():
+                _raise_all(best, units, brands, rows)
+            lengths = np.zeros(len(vectors), np.int64)
+            lengths[present] = len(names)
+            ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=np.r_[np.isin(np.arange(len(vectors)), present, invert=True), False])
+            cells = pa.StructArray.from_arrays([
+                pa.array(names * len(units), pa.string()), pa.array(np.tile(np.arange(len(names), dtype=np.int32), len(units))),
+                pa.array(best.ravel(), mask=np.isnan(best.ravel()))], names=["brand_id", "brand_ord", "similarity"])
+            yield pa.ListArray.from_arrays(ends, cells)
 
     return maxima
 
 
 def with_own_similarity(
-    texts: DataFrame, refs: DataFrame, vector: str = "text_vec", brand: str = "brand_id", block_values: int = BLOCK_VALUES,
+    texts: DataFrame, refs: DataFrame | ReferenceFiles, vector: str = "text_vec", brand: str = "brand_id", block_values: int = BLOCK_VALUES,
 ) -> DataFrame:
     """Add ``similarity``: the best cosine to the row's own brand; null for an unknown brand."""
-    context = texts.sparkSession.sparkContext
-    best = F.lit(None).cast("double")
-    for block in reference_blocks(refs, block_values):
-        best = F.greatest(best, _own(context.broadcast(block))(F.col(vector), F.col(brand)))
-    return texts.withColumn("similarity", best)
+    return texts.withColumn("similarity", _own(stored_references(refs, block_values))(F.col(vector), F.col(brand)))
 
 
-def _own(matrix):
+def _own(files: ReferenceFiles):
     @F.arrow_udf("double")
-    def similarity(vectors: pa.Array, brands: pa.Array) -> pa.Array:
-        refs = matrix.value
-        units, present = batch_matrix(vectors)
-        wanted = np.asarray(brands.to_pylist(), dtype=object)[present]
-        out = np.full(len(vectors), np.nan)
-        for name in set(wanted):
-            at = np.flatnonzero(wanted == name)
-            best = refs.best_of(units[at], name)
-            if best is not None:
-                out[present[at]] = best
-        return pa.array(out, mask=np.isnan(out))
+    def similarity(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        number, blocks = {name: i for i, name in enumerate(files.brands())}, _held(files)
+        for vectors, brands in batches:
+            units, present = batch_matrix(vectors)
+            wanted = np.array([number.get(b, -1) for b in brands.to_pylist()], dtype=np.int64)[present]
+            best = np.full(len(units), np.nan)
+            for of, rows in blocks() if len(units) else ():
+                _raise_own(best, units, wanted, of, rows)
+            out = np.full(len(vectors), np.nan)
+            out[present] = best
+            yield pa.array(out, mask=np.isnan(out))
 
     return similarity
 
@@ -160,7 +202,7 @@ def _own(matrix):
 
 
 def with_brand_score(
-    texts: DataFrame, refs: DataFrame, vector: str = "text_vec", brand: str = "brand_id",
+    texts: DataFrame, refs: DataFrame | ReferenceFiles, vector: str = "text_vec", brand: str = "brand_id",
     baseline: float = fixed.OFFBRAND_BASELINE, floor: float = fixed.BRAND_SCORE_FLOOR,
 ) -> DataFrame:
     """Add ``brand_score`` for the row's own brand."""
@@ -169,7 +211,7 @@ def with_brand_score(
 
 
 def with_all_scores(
-    texts: DataFrame, refs: DataFrame, vector: str = "text_vec",
+    texts: DataFrame, refs: DataFrame | ReferenceFiles, vector: str = "text_vec",
     baseline: float = fixed.OFFBRAND_BASELINE, floor: float = fixed.BRAND_SCORE_FLOOR,
 ) -> DataFrame:
     """Add ``scores``: array of (brand_id, brand_ord, score) over all brands."""

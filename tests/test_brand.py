@@ -186,3 +186,39 @@ def test_equal_ids_keep_their_own_vectors(spark):
     for values in (100, 4):
         got = sorted(r.similarity for r in brand.with_own_similarity(texts, refs, block_values=values).collect())
         assert got == pytest.approx([0.0, 1.0])
+
+
+def test_stored_references_are_shared_and_read_in_blocks(spark, vectors):
+    texts, refs = vectors
+    files = brand.stored_references(refs, block_values=24)
+    assert brand.stored_references(files) is files and files.brands() == ["a", "b", "c"]
+    blocks = list(files.blocks())
+    assert sum(len(b) for b, _ in blocks) == 46 and max(rows.size for _, rows in blocks) <= 24
+    assert all((b[1:] >= b[:-1]).all() for b, _ in blocks)
+    expected = by_hand(texts, refs)
+    scored = brand.with_own_similarity(texts, files)
+    got = {r.text_id: r.similarity for r in scored.collect()}
+    assert {k: v for k, v in got.items() if v is not None} == pytest.approx({t.text_id: expected[t.text_id, t.brand_id] for t in texts.collect() if (t.text_id, t.brand_id) in expected}, abs=1e-6)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan  # however many blocks there are
+    assert brand.with_brand_similarities(texts, refs.limit(0)).where("size(similarities) > 0").count() == 0
+    assert brand.with_own_similarity(texts, refs.limit(0)).where("similarity is not null").count() == 0
+
+
+def test_driver_holds_none_of_the_references(spark):
+    """Ten times as many references leave the driver's Python memory where it was."""
+    import tracemalloc
+
+    texts = spark.createDataFrame([(1, "b1", [1.0, 2.0])], "text_id int, brand_id string, text_vec array<double>")
+    peaks = []
+    for n in (20_000, 200_000):
+        refs = spark.range(n).select(
+            F.concat(F.lit("b"), F.col("id") % 5).alias("brand_id"), F.col("id").alias("ref_ord"),
+            F.array(F.sin("id"), F.cos("id")).alias("ref_vec"))
+        tracemalloc.start()
+        best = brand.with_own_similarity(texts, refs, block_values=4096).first().similarity
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        own = np.arange(1, n, 5)
+        assert best == pytest.approx(((np.sin(own) + 2 * np.cos(own)) / np.sqrt(5)).max())
+    assert max(peaks) < 4_000_000 and peaks[1] < 1.5 * peaks[0]
