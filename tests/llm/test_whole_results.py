@@ -69,6 +69,45 @@ def test_near_dedup_links_every_pair_of_similar_texts(spark):
     assert len(expected) < len(texts) - 40
     assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
     assert shingles.one_of_each(docs.limit(0)).count() == 0
+    rows = shingles.with_sets(docs, "text", ["doc_id"])
+    names = {r.node: sorted(x.doc_id for x in rows.where(rows.node == r.node).collect())[0] for r in rows.select("node").distinct().collect()}
+    for cell in (60, 4_000_000):  # buckets in many cells, or in one
+        parts = {}
+        for r in shingles.components_of(rows, cell).collect():
+            parts.setdefault(bytes(r.root), set()).add(names[r.node])
+        several = {}
+        for d, t_ in enumerate(top):
+            several.setdefault(t_, set()).add(d)
+        known = {frozenset(g & set(names.values())) for g in several.values() if len(g & set(names.values())) > 1}
+        assert {frozenset(p) for p in parts.values()} == known
+
+
+def test_near_dedup_of_odd_rows(spark):
+    base = prose(50)
+    rows = [(None, base, "x"), (None, base, "x"), (3, base + " end", "y"), (3, prose(40), "z"), (4, None, None), (5, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").withColumn("size", F.lit("s")).withColumn("key", F.lit(0))
+    kept = shingles.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(3, rows[2][1]), (3, rows[3][1]), (4, "")])
+
+
+def test_links_of_a_bucket_are_fewer_than_its_members():
+    import numpy as np
+
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(200)]
+    sets = [np.unique(np.array(base[:170 + i % 30] + [rng.getrandbits(64) for _ in range(i % 40)], np.uint64)) for i in range(300)]
+    links = [(a, b) for a, met in shingles.forest(sets) for b in met.tolist()]
+    top = list(range(300))
+    near = [[j for j in range(300) if shingles.near(sets[i], sets[j])] for i in range(300)]
+    for _ in range(20):
+        top = [min(top[j] for j in js) for js in near]
+    assert all(shingles.near(sets[a], sets[b]) for a, b in links) and len(links) == 300 - len(set(top))
+    mine = list(range(300))
+    for _ in range(300):
+        for a, b in links:
+            mine[a] = mine[b] = min(mine[a], mine[b])
+    assert mine == top
 
 
 def test_each_row_loses_its_own_lines(spark):
