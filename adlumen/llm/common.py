@@ -32,7 +32,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpus/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def released(*tables: DataFrame) -> None:
+    """Empty tables that ``written`` made and that nothing reads any more: what was made of them has been written itself."""
+    for table in tables:
+        table.sparkSession.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(table.written_at)
 
 
 def beside_row(df: DataFrame, **columns: str | Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from adlumen.llm.common import written
+from adlumen.llm.common import released, written
 
 
 def _with_least(sides: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first()
         if state == before or state[0] == 0:
             break
-        before, round_ = state, round_ + 1
+        before, round_, last = state, round_ + 1, current
         current = written(_small_star(_large_star(current)), f"{label}-{round_}")
+        released(last)
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

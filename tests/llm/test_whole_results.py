@@ -69,12 +69,14 @@ def test_near_dedup_links_every_pair_of_similar_texts(spark):
     assert len(expected) < len(texts) - 40
     assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
     assert shingles.one_of_each(docs.limit(0)).count() == 0
-    rows = shingles.with_sets(docs, "text", ["doc_id"])
-    names = {r.node: sorted(x.doc_id for x in rows.where(rows.node == r.node).collect())[0] for r in rows.select("node").distinct().collect()}
+    rows = shingles.with_sketch(docs, "text", ["doc_id"])
+    names = {}
+    for r in sorted(rows.collect(), key=lambda r: r.doc_id):
+        names.setdefault(bytes(r.fp), r.doc_id)
     for cell in (60, 4_000_000):  # buckets in many cells, or in one
         parts = {}
-        for r in shingles.components_of(rows, cell).collect():
-            parts.setdefault(bytes(r.root), set()).add(names[r.node])
+        for r in shingles.components_of(docs, rows, cell).collect():
+            parts.setdefault(bytes(r.root), set()).add(names[bytes(r.node)])
         several = {}
         for d, t_ in enumerate(top):
             several.setdefault(t_, set()).add(d)
@@ -91,6 +93,22 @@ def test_near_dedup_of_odd_rows(spark):
     assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(3, rows[2][1]), (3, rows[3][1]), (4, "")])
 
 
+def test_sketches_rule_out_no_near_pair():
+    import numpy as np
+
+    rng = random.Random(5)
+    for n in (1, 3, 9, 40, 41, 300, 2100):
+        sets = []
+        for _ in range(12):
+            base = [rng.getrandbits(64) for _ in range(n)]
+            for k in (0, n // 12, n // 9, n // 5, n // 2):
+                sets.append(np.unique(np.array(base[k // 2:] + [rng.getrandbits(64) for _ in range(k - k // 2)], np.uint64)))
+        group = shingles.possible(np.array([len(s) for s in sets]), [shingles.sketch_of(s) for s in sets])
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if shingles.near(sets[i], sets[j])]
+        assert near and all(group[i] == group[j] >= 0 for i, j in near)
+        assert n < 40 or len(set(group.tolist()) - {-1}) == 12  # sets of other bases are ruled out
+
+
 def test_links_of_a_bucket_are_fewer_than_its_members():
     import numpy as np
 
