@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from adlumen.llm.common import ROW, beside_row, map_rows, utf8, with_mapped, written
+from adlumen.llm.common import ROW, beside_row, map_rows, released, utf8, with_mapped, written
 
 EDIT_WORDS = 8
 _TWO = struct.Struct(">qq")
@@ -106,7 +106,7 @@ def _same_row() -> Column:
 
 
 def _candidates(docs: DataFrame, firsts: DataFrame, edit_words: int) -> DataFrame:
-    """Lines that share a half with another line: ``h1``, ``h2``, ``first``, ``shared``, ``content``.
+    """Lines that share a half with another line: ``h1``, ``h2``, ``first``, ``shared``, ``content``; a written table.
 
     A place stands for the line that is first there, so the halves travel without keys and go to their document at once.
     Where rows share an id, a place may have several lines; each is found at its own first place as well, and the
@@ -135,11 +135,13 @@ def _candidates(docs: DataFrame, firsts: DataFrame, edit_words: int) -> DataFram
 
     made = map_rows(texts, "h1 long, h2 long, line int, shared array<int>, content string", make, ["text", "wanted"], ["doc_id", "tie"])
     earliest = F.min(F.struct(_place().alias("first"), "shared", "content")).alias("_earliest")
-    return made.groupBy("h1", "h2").agg(earliest).select("h1", "h2", "_earliest.*")
+    found = written(made.groupBy("h1", "h2").agg(earliest).select("h1", "h2", "_earliest.*"), "lines-candidates")
+    released(common)
+    return found
 
 
 def _later(lines: DataFrame) -> DataFrame:
-    """Keys (``h1``, ``h2``) of the lines of ``lines`` that have a verified neighbour with an earlier first place."""
+    """Keys (``h1``, ``h2``) of the lines of ``lines`` that have a verified neighbour with an earlier first place; a written table."""
 
     def make() -> Callable[..., Iterator[tuple]]:
         return lambda content, shared: variants(utf8(content).split(), shared)
@@ -165,7 +167,9 @@ def _later(lines: DataFrame) -> DataFrame:
 
     checked = with_mapped(
         pairs.join(contents, ["h1", "h2"]).join(winners, ["w1", "w2"]), "near boolean", verify, ["content", "other"], ["h1", "h2"])
-    return checked.where("near").select("h1", "h2").distinct()
+    found = written(checked.where("near").select("h1", "h2").distinct(), "lines-near")
+    released(best)
+    return found
 
 
 def repeated_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
@@ -178,11 +182,14 @@ def repeated_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     firsts = written(rows.groupBy("h1", "h2").agg(
         F.min(F.struct(_place().alias("first"), "tie")).alias("at"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n")).select(
         "h1", "h2", "at.*", "halves", "n"), "lines-first")
-    near = written(_later(written(_candidates(docs, firsts.where(F.size("halves") > 0), edit_words), "lines-candidates")), "lines-near")
+    candidates = _candidates(docs, firsts.where(F.size("halves") > 0), edit_words)
+    near = _later(candidates)
+    released(candidates)
     # The first place matters for equal lines only; single lines without a neighbour are not shuffled again.
     equal = firsts.where("n > 1").select("h1", "h2", "first", F.lit(False).alias("near"))
     edited = near.select("h1", "h2", F.lit(None).cast(firsts.schema["first"].dataType).alias("first"), F.lit(True).alias("near"))
     marked = written(equal.union(edited).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.bool_or("near").alias("near")), "lines-marked")
+    released(firsts, near)
     met = rows.select("doc_id", "tie", "line", "h1", "h2").join(marked, ["h1", "h2"])
     return met.where(F.col("near") | (_place() > F.col("first"))).select("doc_id", "tie", "line", "h1", "near")
 
