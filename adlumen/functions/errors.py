@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,6 +11,17 @@ from pyspark.sql import Column, functions as F
 from adlumen.functions import fixed_values as fixed
 
 
+def marks_pattern(marks: Sequence[str], *more: str) -> str:
+    return "|".join([*map(re.escape, marks), *more])
+
+
+#: One table of rules for tasks and columns: patterns of lower-case messages, and the seconds before the first retry.
+QUOTA = marks_pattern(fixed.QUOTA_MARKS)
+TRANSIENT = marks_pattern(fixed.TRANSIENT_MARKS, r"\A5")
+REWRITE_QUOTA = marks_pattern(fixed.REWRITE_QUOTA_MARKS)
+FIRST_WAIT = 2
+
+
 def mentions(message: Column, marks: Sequence[str]) -> Column:
     lowered = F.lower(message)
     return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(m)) for m in marks])
@@ -37,13 +49,9 @@ def error_detail(message: Column) -> Column:
 
 
 def is_transient(message: Column) -> Column:
-    return mentions(message, fixed.TRANSIENT_MARKS) | F.startswith(message, F.lit("5"))
-
-
-def is_quota(message: Column) -> Column:
-    return mentions(message, fixed.QUOTA_MARKS)
+    return F.lower(message).rlike(TRANSIENT)
 
 
 def wait_seconds(attempt: Column) -> Column:
     """Back-off after the attempt with this zero-based number: 2, 4, 8, ..."""
-    return (F.lit(2) * F.pow(F.lit(2), attempt)).cast("int")
+    return (F.lit(FIRST_WAIT) * F.pow(F.lit(2), attempt)).cast("int")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from adlumen.functions import fixed_values as fixed
 from adlumen.functions.rounding import round_binary
 from adlumen.operators.catalog import bullets, reference_bullets
-from adlumen.operators.generate import TextProvider, filled, generate_texts, rewrite_models
+from adlumen.operators.calls import TextProvider, rewrite_rule
+from adlumen.operators.generate import filled, generate_texts
 from adlumen.operators.joins import lookup_join
 from adlumen.operators.rank import with_request_median
 from adlumen.operators.rules import violations
@@ -108,7 +109,7 @@ def provider_rewriter(
 
     def answers(pending: DataFrame, attempt: int) -> DataFrame:
         prompts = build_rewrite_prompts(pending, catalog, refs, threshold)
-        made = generate_texts(prompts, provider, cache, models, policy=rewrite_models, concurrency=concurrency)
+        made = generate_texts(prompts, provider, cache, models, rule=rewrite_rule, concurrency=concurrency)
         scored = with_brand(made.withColumnRenamed("generated", "new_text"), "new_text")
         return checkpointed(scored.select(
             "variant_id", "new_text", F.col("brand_score").alias("new_score"), F.col("error").alias("new_error")

@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator, Sequence
-from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adlumen.functions import fixed_values as fixed
 from adlumen.functions.text import clean_string
+from adlumen.operators.calls import Answer, CallWindow, Rule, TextProvider, retry_rule, rewrite_rule
 from adlumen.operators.catalog import bullets, reference_bullets, with_brand
 from adlumen.operators.joins import lookup_join
 from adlumen.sources.cache import GenerationCache
@@ -21,13 +21,6 @@ from adlumen.session import checkpointed
 UNKNOWN_BRAND = "unknown brand"
 
 
-class TextProvider(Protocol):
-    """What a provider offers; it is sent to the tasks, so it must be picklable."""
-
-    def generate(self, prompt: str, model: str) -> str:
-        """The text for a prompt, or an exception whose message says what went wrong."""
-
-
 def expand_styles(requests: DataFrame, styles: Sequence[str] = tuple(fixed.STYLES)) -> DataFrame:
     """One row per request and style, with the style's ordinal."""
     listed = F.array(*[F.struct(F.lit(i).alias("style_ord"), F.lit(s).alias("style")) for i, s in enumerate(styles)])
@@ -75,72 +68,42 @@ def build_prompts(styled: DataFrame, catalog: DataFrame, refs: DataFrame) -> Dat
 def attempt_models(
     provider: TextProvider, prompt: str, models: Sequence[str], attempts: int, wait: Callable[[float], None]
 ) -> tuple[str | None, str | None, int, str | None]:
-    """``(text, model, calls, error)`` after retries and fallbacks.
-
-    Quota errors move on to the next model at once, transient ones wait 2, 4, 8, ... seconds, others
-    are tried again without a wait. The last error is reported when every model failed.
-    """
-    calls, error = 0, "no model"
-    for model in models:
-        for attempt in range(attempts):
-            calls += 1
-            try:
-                return provider.generate(prompt, model).strip(), model, calls, None
-            except Exception as failure:  # whatever a provider raises ends up as a row, not as a lost job
-                error = str(failure)
-                message = error.lower()
-                if any(mark in message for mark in fixed.QUOTA_MARKS):
-                    break
-                if message.startswith("5") or any(mark in message for mark in fixed.TRANSIENT_MARKS):
-                    wait(2.0 * 2**attempt)
-    return None, None, calls, error
+    """``(text, model, calls, error)`` of one prompt after retries and fallbacks by ``retry_rule``."""
+    return _one(provider, prompt, models, attempts, wait, retry_rule)
 
 
 def rewrite_models(
     provider: TextProvider, prompt: str, models: Sequence[str], attempts: int, wait: Callable[[float], None]
 ) -> tuple[str | None, str | None, int, str | None]:
-    """Policy for rewrites: one call per model, and only quota errors move on to the next model."""
-    error = "no model"
-    for calls, model in enumerate(models, start=1):
-        try:
-            return provider.generate(prompt, model).strip(), model, calls, None
-        except Exception as failure:
-            error = str(failure)
-            if not any(mark in error.lower() for mark in fixed.REWRITE_QUOTA_MARKS):
-                return None, None, calls, error
-    return None, None, len(models), error
-
+    """The same by ``rewrite_rule``."""
+    return _one(provider, prompt, models, attempts, wait, rewrite_rule)
 
-class _StoredFirst:
-    """Provider that answers from the stored texts of a prompt where there is one for the model."""
 
-    def __init__(self, provider: TextProvider, stored: dict[str, str]):
-        self.provider, self.stored = provider, stored
-
-    def generate(self, prompt: str, model: str) -> str:
-        return self.stored[model] if model in self.stored else self.provider.generate(prompt, model)
+def _one(provider: TextProvider, prompt: str, models: Sequence[str], attempts: int, wait: Callable[[float], None], rule: Rule) -> Answer:
+    still = CallWindow(provider, list(models), attempts, rule, in_flight=1, clock=lambda: 0.0, sleep=wait)
+    return still.answers([(prompt, {})])[0]
 
 
 ANSWERS = "prompt_key string, prompt string, text string, model string, calls int, error string"
 
 
 def call_provider(
-    prompts: DataFrame, provider: TextProvider, models: Sequence[str], attempts: int = 2,
-    policy: Callable = attempt_models, concurrency: int | None = None, wait: Callable[[float], None] = time.sleep,
+    prompts: DataFrame, provider: TextProvider, models: Sequence[str], attempts: int = 2, rule: Rule = retry_rule,
+    concurrency: int | None = None, wait: Callable[[float], None] = time.sleep, in_flight: int = 4, per_second: float | None = None,
 ) -> DataFrame:
     """Call the provider for every row of ``(prompt_key, prompt, stored)``.
 
-    ``stored`` is a JSON object of texts known per model. The number of partitions bounds the number of
-    concurrent calls, and a task holds one batch of prompts at a time however many it has.
+    ``stored`` is a JSON object of texts known per model. ``concurrency`` partitions call at the same time, each with
+    ``in_flight`` calls at most, ``per_second`` of them started in a second. A task holds one batch of prompts at a time
+    however many it has.
     """
     models = list(models)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        window = CallWindow(provider, models, attempts, rule, in_flight, per_second, sleep=wait)
         for batch in batches:
-            rows = [
-                (key, prompt, *policy(_StoredFirst(provider, json.loads(stored or "{}")), prompt, models, attempts, wait))
-                for key, prompt, stored in zip(batch["prompt_key"], batch["prompt"], batch["stored"])
-            ]
+            asked = [(prompt, json.loads(stored or "{}")) for prompt, stored in zip(batch["prompt"], batch["stored"])]
+            rows = [(key, prompt, *answer) for key, (prompt, _), answer in zip(batch["prompt_key"], asked, window.answers(asked))]
             yield pd.DataFrame(rows, columns=["prompt_key", "prompt", "text", "model", "calls", "error"])
 
     spread = prompts.repartition(concurrency, "prompt_key") if concurrency else prompts
@@ -149,7 +112,8 @@ def call_provider(
 
 def generate_texts(
     prompts: DataFrame, provider: TextProvider, cache: GenerationCache, models: Sequence[str], attempts: int = 2,
-    policy: Callable = attempt_models, concurrency: int | None = None, wait: Callable[[float], None] = time.sleep,
+    rule: Rule = retry_rule, concurrency: int | None = None, wait: Callable[[float], None] = time.sleep, in_flight: int = 4,
+    per_second: float | None = None,
 ) -> DataFrame:
     """Add ``generated``, ``model``, ``calls`` and ``error`` to rows with ``prompt``.
 
@@ -163,7 +127,7 @@ def generate_texts(
     looked_up = cache.texts_of(distinct, models)
     first = F.try_element_at("stored", F.lit(models[0]))
     missing = looked_up.where(first.isNull()).select("prompt_key", "prompt", F.to_json("stored").alias("stored"))
-    answers = checkpointed(call_provider(missing, provider, models, attempts, policy, concurrency, wait))
+    answers = checkpointed(call_provider(missing, provider, models, attempts, rule, concurrency, wait, in_flight, per_second))
     cache.put(answers)
     hits = looked_up.where(first.isNotNull()).select(
         "prompt_key", first.alias("text"), F.lit(models[0]).alias("model"), F.lit(0).alias("calls"),

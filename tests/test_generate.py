@@ -1,8 +1,12 @@
+import threading
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from adlumen.functions import fixed_values as fixed
 from adlumen.operators import correct, generate
+from adlumen.operators.calls import CallWindow
 from adlumen.plans.campaign import generate_variants, run_campaign
 from adlumen.sources.cache import GenerationCache, cache_key, upserted
 
@@ -44,6 +48,73 @@ def test_rewrites_fall_through_on_quota_only():
     assert attempt(Flaky("503"), ("m1", "m2"), policy=generate.rewrite_models)[0] == (None, None, 1, "503")
 
 
+class Slow:
+    """Answers after a while and notes how many calls ran at once; fails first where the prompt says so."""
+
+    def __init__(self, seconds, failures=()):
+        self.seconds, self.failures, self.lock = seconds, dict(failures), threading.Lock()
+        self.running, self.most, self.starts = 0, 0, []
+
+    def generate(self, prompt, model):
+        with self.lock:
+            self.running += 1
+            self.most = max(self.most, self.running)
+            self.starts.append((time.monotonic(), prompt))
+            failing = self.failures.pop(prompt, None)
+        time.sleep(self.seconds)
+        with self.lock:
+            self.running -= 1
+        if failing:
+            raise RuntimeError(failing)
+        return f"{model}:{prompt}"
+
+
+def test_four_calls_in_flight_take_a_quarter():
+    prompts = [(f"p{i}", {}) for i in range(16)]
+    spent = {}
+    for in_flight in (1, 4):
+        provider, start = Slow(0.1), time.monotonic()
+        answers = CallWindow(provider, ["m"], in_flight=in_flight).answers(prompts)
+        spent[in_flight] = time.monotonic() - start
+        assert answers == [(f"m:p{i}", "m", 1, None) for i in range(16)] and provider.most == in_flight
+    assert spent[4] < 0.35 * spent[1]
+
+
+def test_a_waiting_prompt_holds_no_other():
+    provider, start = Slow(0.02, {"p0": "503 Unavailable"}), time.monotonic()
+    answers = CallWindow(provider, ["m"], in_flight=1).answers([(f"p{i}", {}) for i in range(5)])
+    assert answers == [("m:p0", "m", 2, None)] + [(f"m:p{i}", "m", 1, None) for i in range(1, 5)]
+    assert [p for _, p in provider.starts] == ["p0", "p1", "p2", "p3", "p4", "p0"]
+    assert provider.starts[-2][0] - start < 1 and provider.starts[-1][0] - start >= 2
+
+
+def test_calls_are_started_at_the_rate():
+    provider = Slow(0.0)
+    CallWindow(provider, ["m"], in_flight=8, per_second=50).answers([(str(i), {}) for i in range(11)])
+    times = [t for t, _ in provider.starts]
+    assert times[-1] - times[0] >= 0.19
+    assert CallWindow(provider, []).answers([("p", {})]) == [(None, None, 0, "no model")]
+
+
+def test_window_follows_the_rules(spark):
+    class Failing:
+        """Fails once for two prompts."""
+
+        seen = set()
+
+        def generate(self, prompt, model):
+            if prompt in "ab" and prompt not in self.seen:
+                self.seen.add(prompt)
+                raise RuntimeError("429 RESOURCE_EXHAUSTED" if prompt == "a" else "bad input")
+            return f"{model}:{prompt}"
+
+    provider = Slow(0.0, {"a": "429 RESOURCE_EXHAUSTED", "b": "bad input"})
+    rows = spark.createDataFrame([(p, p, None) for p in "abc"] + [("d", "d", '{"m1": "kept"}')], "prompt_key string, prompt string, stored string")
+    got = {r.prompt_key: (r.text, r.model, r.calls) for r in generate.call_provider(rows.coalesce(1), Failing(), ["m1", "m2"]).collect()}
+    assert got == {"a": ("m2:a", "m2", 2), "b": ("m1:b", "m1", 2), "c": ("m1:c", "m1", 1), "d": ("kept", "m1", 1)}
+    assert CallWindow(provider, ["m1", "m2"]).answers([("a", {}), ("b", {})]) == [("m2:a", "m2", 2, None), ("m1:b", "m1", 2, None)]
+
+
 def test_texts_are_generated_once_and_stored(spark, tmp_path):
     class PerModel:
         """Fails for prompts that ask for it; other texts name the model."""
