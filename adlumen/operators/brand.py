@@ -11,7 +11,6 @@ folder must be one that pyarrow opens on the executors: a mounted folder, HDFS,
 from __future__ import annotations
 
 import itertools
-import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from adlumen.functions import fixed_values as fixed
 from adlumen.functions.rounding import round_binary
 from adlumen.functions.scoring import calibrated_brand_score
-from adlumen.session import shared_dir
+from adlumen.session import arrow_folder, shared_dir
 
 BLOCK_VALUES = 4 * 1024 * 1024  # numbers of a block in a task: 32 MB
 TILE_VALUES = 4 * 1024 * 1024  # cosines held at a time
@@ -85,19 +84,12 @@ class ReferenceFiles:
 
 
 def _parquet_batches(folder: str, rows: int) -> Iterator[pa.RecordBatch]:
-    system, path = fs.FileSystem.from_uri(_for_arrow(folder))
+    system, path = arrow_folder(folder)
     for file in sorted(f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")):
         with system.open_input_file(file) as opened:
             yield from pq.ParquetFile(opened).iter_batches(rows, use_threads=False)
 
 
-def _for_arrow(folder: str) -> str:
-    """The folder as a URI that Arrow knows: Spark's ``s3a`` is its ``s3``."""
-    if folder.startswith(("s3a:", "s3n:")):
-        return "s3" + folder[3:]
-    return folder if "://" in folder else folder.replace("file:", "", 1) if folder.startswith("file:") else os.path.abspath(folder)
-
-
 def stored_references(refs: DataFrame | ReferenceFiles, block_values: int = BLOCK_VALUES) -> ReferenceFiles:
     """Write the references with a vector once; stored ones are returned as they are, so that several scores can share them."""
     if isinstance(refs, ReferenceFiles):

@@ -62,17 +62,21 @@ def build_rewrite_prompts(
     return joined.select("variant_id", "brand_id", filled(fixed.REWRITE_TEMPLATE, values).alias("prompt"))
 
 
-def apply_round(state: DataFrame, answers: DataFrame, threshold: float = fixed.ALIGNMENT_THRESHOLD) -> DataFrame:
-    """State after one round with answers ``(variant_id, new_text, new_score, new_error)``.
+def apply_round(
+    state: DataFrame, answers: DataFrame, attempt: int, threshold: float = fixed.ALIGNMENT_THRESHOLD
+) -> DataFrame:
+    """State after one round with answers ``(variant_id, new_score, new_error)``.
 
-    A text is taken iff its score is strictly better. Reaching the threshold or an error stops a variant.
+    An answer is taken iff its score is strictly better. Reaching the threshold or an error stops a variant. Ids,
+    scores and the number of the chosen answer travel, no text.
     """
     pending = ~F.col("stopped")
     failed = F.col("new_error").isNotNull() | F.col("new_score").isNull()
     better = pending & ~failed & F.coalesce(F.col("new_score") > F.col("best_score"), F.lit(False))
-    joined = state.join(answers, "variant_id", "left").withColumns({"_better": better, "_failed": failed, "_pending": pending})
+    scores = answers.select("variant_id", "new_score", "new_error")
+    joined = state.join(scores, "variant_id", "left").withColumns({"_better": better, "_failed": failed, "_pending": pending})
     updated = joined.withColumns({
-        "best_text": F.when(F.col("_better"), F.col("new_text")).otherwise(F.col("best_text")),
+        "best_attempt": F.when(F.col("_better"), F.lit(attempt)).otherwise(F.col("best_attempt")),
         "best_score": F.when(F.col("_better"), F.col("new_score")).otherwise(F.col("best_score")),
         "attempts": F.col("attempts") + F.col("_pending").cast("int"),
     })
@@ -81,6 +85,11 @@ def apply_round(state: DataFrame, answers: DataFrame, threshold: float = fixed.A
     return updated.withColumn("stopped", stopped).select(*state.columns)
 
 
+def with_best_text(state: DataFrame, texts: DataFrame) -> DataFrame:
+    """State with the text of the chosen answer, out of ``texts (variant_id, best_attempt, best_text)``."""
+    return state.join(texts, ["variant_id", "best_attempt"], "left")
+
+
 Rewriter = Callable[[DataFrame, int], DataFrame]
 
 
@@ -122,11 +131,21 @@ def rewrite_rounds(
     candidates: DataFrame, rewriter: Rewriter, threshold: float = fixed.ALIGNMENT_THRESHOLD,
     max_attempts: int = fixed.MAX_REWRITES,
 ) -> DataFrame:
-    """Best text and score per candidate after at most ``max_attempts`` rounds (a fixed, small number)."""
-    state = rewrite_state(candidates)
+    """Best text and score per candidate after at most ``max_attempts`` rounds (a fixed, small number).
+
+    The answers of a round, one per variant, are read for their scores and again for the chosen texts, so a rewriter
+    returns a table or a checkpoint. Texts meet the state once after the last round; a rewriter that reads
+    ``best_text`` of the pending rows has them joined for its prompts.
+    """
+    state = rewrite_state(candidates).drop("best_text").withColumn("best_attempt", F.lit(0))
+    texts = candidates.select("variant_id", F.lit(0).alias("best_attempt"), F.col("text").alias("best_text"))
     for attempt in range(1, max_attempts + 1):
-        state = apply_round(state, rewriter(state.where(~F.col("stopped")), attempt), threshold)
-    return state
+        pending = state.where(~F.col("stopped"))
+        answers = rewriter(with_best_text(pending, texts), attempt)
+        state = apply_round(state, answers, attempt, threshold)
+        made = answers.select("variant_id", F.lit(attempt).alias("best_attempt"), F.col("new_text").alias("best_text"))
+        texts = texts.unionByName(made)
+    return with_best_text(state, texts)
 
 
 def correction_results(

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
 from adlumen.functions.fixed_values import CORRELATION_COLUMNS
-from adlumen.functions.statistics import pearson
+from adlumen.operators.moments import correlations
 from adlumen.operators.quantile import exact_quantile
 
 
@@ -60,20 +59,12 @@ def ols_trend_line(df: DataFrame, x: str, y: str, points: int = 100) -> DataFram
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str] = CORRELATION_COLUMNS) -> DataFrame:
-    """Pearson correlation of every pair, in one pass; a constant column gives null."""
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    pairs = list(combinations(columns, 2))
-    one_row = numbers.agg(
-        *[pearson(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs],
-        *[F.when(F.stddev_pop(c) > 0, F.lit(1.0)).alias(f"{c}|{c}") for c in columns],
-    )
-    known = {(a, b): f"{a}|{b}" for a, b in pairs} | {(c, c): f"{c}|{c}" for c in columns}
-    cells = [
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"`{cell}`").alias("r"))
-        for a in columns for b in columns
-        for cell in [known.get((a, b)) or known[(b, a)]]
-    ]
-    return one_row.select(F.inline(F.array(*cells)))
+    """Pearson correlation of every pair over the rows where both are known; a constant column gives null.
+
+    One buffer of centred moments per task holds all pairs, see :mod:`adlumen.operators.moments`.
+    """
+    listed = list(columns)
+    return correlations(df.select(*[F.col(c).cast("double").alias(c) for c in listed]), listed)
 
 
 def summary_stats(df: DataFrame, target: str = "ctr_proxy") -> DataFrame:

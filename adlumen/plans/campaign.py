@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from adlumen.functions import fixed_values as fixed
 from adlumen.operators import correct, generate
@@ -19,14 +19,44 @@ Scorer = Callable[[DataFrame, str], DataFrame]
 
 @dataclass(frozen=True)
 class CampaignResult:
-    """Ranked variants with their correction info, all correction results, failures per variant and
-    per request, and seconds per stage (scoring is planned first and runs with the gate)."""
+    """Ranked variants with their correction info, all correction results, failures per variant and per request.
+
+    ``timings`` holds the seconds that each stage took to run and their ``total``, ``rows`` the rows that the stages
+    wrote. The gate writes nothing: its seconds are those of the medians, its flags are set as the corrections are written.
+    """
 
     ranked: DataFrame
     corrections: DataFrame
     errors: DataFrame
     outcome: DataFrame
     timings: dict[str, float] = field(default_factory=dict)
+    rows: dict[str, int] = field(default_factory=dict)
+
+
+class StageClock:
+    """Seconds per stage, and rows of the stages that are written."""
+
+    def __init__(self) -> None:
+        self.seconds: dict[str, float] = {}
+        self.rows: dict[str, int] = {}
+        self.start = time.monotonic()
+
+    def planned(self, stage: str, work: Callable[[], DataFrame]) -> DataFrame:
+        """``work`` with the jobs that it starts itself."""
+        begin = time.monotonic()
+        result = work()
+        self.seconds[stage] = time.monotonic() - begin
+        return result
+
+    def written(self, stage: str, work: Callable[[], DataFrame]) -> DataFrame:
+        """The checkpoint of ``work``; the job that writes it counts its rows."""
+        seen = Observation(stage)
+        result = self.planned(stage, lambda: checkpointed(work().observe(seen, F.count(F.lit(1)).alias("rows"))))
+        self.rows[stage] = seen.get["rows"]
+        return result
+
+    def timings(self) -> dict[str, float]:
+        return {**self.seconds, "total": time.monotonic() - self.start}
 
 
 def generate_variants(
@@ -61,27 +91,21 @@ def run_campaign(
     and ``with_brand`` add the score of a text column to any table with it. Requests whose styles all
     failed have no ranked rows; ``outcome`` names them.
     """
-    timings: dict[str, float] = {}
-
-    def timed(stage: str, work: Callable[[], DataFrame]) -> DataFrame:
-        start = time.time()
-        result = work()
-        timings[stage] = time.time() - start
-        return result
-
+    clock = StageClock()
     usable = generate.usable_variants(variants).drop("error")
-    scored = timed("scoring", lambda: score_batch(with_brand(with_ctr(usable, "text"), "text"), ctr_weight))
+    columns = [*usable.columns, "ctr_score", "brand_score"]
     # The scores feed the median, the gate and the rounds. The checkpoint keeps the texts from being
     # scored again, also after a lost executor, and keeps the later plans small.
-    columns = [*usable.columns, "ctr_score", "brand_score"]
-    gated = timed("gate", lambda: correct.with_gate(checkpointed(scored.select(*columns)), threshold))
+    scored = clock.written(
+        "scoring", lambda: score_batch(with_brand(with_ctr(usable, "text"), "text"), ctr_weight).select(*columns))
+    gated = clock.planned("gate", lambda: correct.with_gate(scored, threshold))
 
     def corrections() -> DataFrame:
         state = correct.rewrite_rounds(gated.where("is_candidate"), rewriter, threshold, max_attempts)
-        # The ranking reads the results twice, for the counts and for the rows.
-        return checkpointed(correct.correction_results(gated, state, threshold, with_ctr))
+        return correct.correction_results(gated, state, threshold, with_ctr)
 
-    corrected = timed("correction", corrections)
+    # The ranking reads the results twice, for the counts and for the rows.
+    corrected = clock.written("correction", corrections)
 
     def final_ranking() -> DataFrame:
         # Scores of the final texts are already known per variant, changed or not.
@@ -92,6 +116,6 @@ def run_campaign(
         )
         return ranked(score_batch(final, ctr_weight))
 
-    final = timed("final_scoring", final_ranking)
-    timings["total"] = sum(timings.values())
-    return CampaignResult(final, corrected, generate.generation_errors(variants), generate.request_outcome(variants), timings)
+    final = clock.written("final_scoring", final_ranking)
+    return CampaignResult(
+        final, corrected, generate.generation_errors(variants), generate.request_outcome(variants), clock.timings(), clock.rows)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import tempfile
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,6 +46,13 @@ def set_local_shared_dir(spark: SparkSession) -> None:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="adlumen-"))
 
 
+def arrow_folder(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder for Arrow, whose name for Spark's ``s3a`` is ``s3``."""
+    if folder.startswith(("s3a:", "s3n:")):
+        folder = "s3" + folder[3:]
+    return fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder.removeprefix("file:")))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the shared folder (used where a recomputation could differ)."""
     context = df.sparkSession.sparkContext

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adlumen import schemas
-from adlumen.operators import clean, eda
+from adlumen.operators import clean, eda, moments
 from adlumen.operators.prefix import with_sums_before
 from adlumen.operators.quantile import exact_quantile, ordered_bits, value_counts, with_running_sums
 
@@ -124,3 +124,22 @@ def test_statistics(spark):
     assert matrix[("word_count", "ctr_proxy")] == pytest.approx(np.corrcoef([2, 4, 6], [1, 2, 6])[0, 1])
     summary = eda.summary_stats(df).first()
     assert (summary.n, summary.mean_ctr, summary.median_ctr, summary.mean_words) == (3, 3.0, 2.0, 4.0)
+
+
+def test_correlations_keep_their_digits(spark):
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=4000)
+    rows = [(float(1e9 + x), float(-x + 0.5 * e), None if i % 3 else float(e), 0.1, None) for i, (x, e) in enumerate(zip(a, rng.normal(size=4000)))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, same double, none double").repartition(16)
+    found = {(r.col_a, r.col_b): r.r for r in eda.corr_matrix(df, ["a", "b", "c", "same", "none"]).collect()}
+    columns = [np.array([np.nan if r[i] is None else r[i] for r in rows]) for i in range(3)]
+    for i, x in enumerate("abc"):
+        for j, y in enumerate("abc"):
+            both = ~np.isnan(columns[i]) & ~np.isnan(columns[j])
+            centred = [c[both] - np.float64(np.mean(c[both])) for c in (columns[i], columns[j])]
+            assert found[x, y] == pytest.approx(np.corrcoef(*centred)[0, 1], abs=1e-9)
+    assert all(found[x, y] is None for x in "abc" for y in ("same", "none")) and found["same", "same"] is None
+    plan = moments.moments(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and "corr(" not in plan
+    empty = eda.corr_matrix(df.where("a is null"), ["a", "b"]).collect()
+    assert [(r.col_a, r.col_b, r.r) for r in empty] == [("a", "a", None), ("a", "b", None), ("b", "a", None), ("b", "b", None)]

@@ -8,6 +8,7 @@ from adlumen.functions import fixed_values as fixed
 from adlumen.operators import correct, generate
 from adlumen.operators.calls import CallWindow
 from adlumen.plans.campaign import generate_variants, run_campaign
+from adlumen.session import checkpointed
 from adlumen.sources.cache import GenerationCache, cache_key, upserted
 
 
@@ -152,6 +153,70 @@ def test_newest_entry_counts(spark, tmp_path):
     assert {r.text for r in merged.collect()} == {"fresh", "other"}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def inputs_of_exchanges(spark, df):
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted").splitlines()
+    return [text[i + 1] for i, line in enumerate(text) if line.endswith(") Exchange")]
+
+
+def test_lookup_reads_the_buckets_of_its_keys(spark, tmp_path):
+    store = GenerationCache(spark, str(tmp_path / "cache"))
+    texts = spark.range(400).select(F.lit("m1").alias("model"), F.concat(F.lit("p"), "id").alias("prompt"), F.concat(F.lit("t"), "id").alias("text"))
+    store.put(texts)
+    asked = spark.createDataFrame([("k1", "p7"), ("k2", "p8"), ("k3", "new")], "prompt_key string, prompt string")
+    found = store.texts_of(asked, ["m1"])
+    buckets = {r[0] for r in asked.select(F.substring(cache_key(F.lit("m1"), F.col("prompt")), 1, 2)).collect()}
+    assert {r.prompt_key: r.stored for r in found.collect()} == {"k1": {"m1": "t7"}, "k2": {"m1": "t8"}, "k3": None}
+    scans = [line for line in plan_of(found).splitlines() if "FileScan" in line]
+    assert scans and all("PartitionFilters: [" in line for line in scans)
+    assert all(f"{b}" in line.split("PartitionFilters: [")[1].split("PushedFilters")[0] for b in buckets for line in scans)
+    stored = {f.parent.name for f in (tmp_path / "cache").rglob("*.parquet")}
+    assert len(stored) > 100 and all(name.startswith("bucket=") for name in stored)
+    assert store.entries().count() == 400
+
+
+def test_compaction_keeps_the_newest_entry(spark, tmp_path):
+    store = GenerationCache(spark, str(tmp_path / "cache"))
+    for text in ("old", "new"):
+        store.put(spark.createDataFrame([("m1", "p", text), ("m2", "q", text)], "model string, prompt string, text string"))
+    before = sorted(map(tuple, store.entries().collect()))
+    store.compact()
+    assert sorted(map(tuple, store.entries().collect())) == before and store._written().count() == 2
+    store.put(spark.createDataFrame([("m1", "p", "newest")], "model string, prompt string, text string"))
+    assert {(r.model, r.text) for r in store.entries().collect()} == {("m1", "newest"), ("m2", "new")}
+    store.compact()
+    store.compact()
+    assert {(r.model, r.text) for r in store.entries().collect()} == {("m1", "newest"), ("m2", "new")}
+    assert sorted(f.name for f in (tmp_path / "cache").iterdir()) == ["base-2", "base-3", "log-2", "log-3"]
+
+
+def test_a_compaction_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
+    store = GenerationCache(spark, str(tmp_path / "cache"))
+    row = "model string, prompt string, text string"
+    store.put(spark.createDataFrame([("m1", "p", "a"), ("m1", "q", "b")], row))
+    half = store.entries().limit(1)
+    write = store._write
+
+    def dies(entries, folder, mode):
+        write(half, folder, mode)
+        (tmp_path / "cache" / folder / "_SUCCESS").unlink()
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(store, "_write", dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        store.compact()
+    monkeypatch.undo()
+    texts = lambda: {r.text for r in store.entries().collect()}
+    assert texts() == {"a", "b"}
+    store.put(spark.createDataFrame([("m1", "r", "c")], row))  # goes to the log that the lost run opened
+    assert texts() == {"a", "b", "c"}
+    store.compact()
+    assert texts() == {"a", "b", "c"}
+
+
 def test_cache_key(table):
     import hashlib
 
@@ -222,6 +287,28 @@ def test_rounds(spark):
     assert not alone[5].needs_human_review
 
 
+def test_rounds_shuffle_no_texts(spark):
+    table = gated(spark, *[(1.0, 90.0)] * 6, *[(9.0, 50.0)] * 5)
+    rewrites = spark.createDataFrame([(i, a, f"x{a}", 40.0 + 15 * a, None) for i in range(6, 11) for a in (1, 2)], REWRITES)
+    candidates = checkpointed(table.where("is_candidate"))
+    rewriter = correct.table_rewriter(rewrites)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # so that every join of the rounds is an exchange
+    try:
+        rounds = correct.rewrite_state(candidates).drop("best_text").withColumn("best_attempt", F.lit(0))
+        for attempt in (1, 2):
+            rounds = correct.apply_round(rounds, rewriter(rounds, attempt), attempt, 99.0)
+        shuffled = inputs_of_exchanges(spark, rounds)
+        assert len(shuffled) >= 3 and not any("text" in line for line in shuffled)
+        state = correct.rewrite_rounds(candidates, rewriter, threshold=99.0)
+        with_text = [line for line in inputs_of_exchanges(spark, state) if "text" in line]
+        assert len(with_text) == 1  # the texts to choose from, in the last join
+        assert {r.variant_id: (r.best_text, r.best_score, r.attempts) for r in state.collect()} == {
+            i: ("x2", 70.0, 2) for i in range(6, 11)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_campaign(spark):
     rows = [(i, 1, i, "b", s, f"{s} text", None) for i, s in enumerate(fixed.STYLES)]
     rows += [(4 + i, 2, i, "b", s, None, "503") for i, s in enumerate(fixed.STYLES)]
@@ -242,6 +329,9 @@ def test_campaign(spark):
     outcome = {r.request_id: (r.n_ok, r.n_failed, r.first_error, r.all_failed) for r in result.outcome.collect()}
     assert outcome == {1: (4, 0, None, False), 2: (0, 4, "503", True)}
     assert result.errors.count() == 4 and set(result.timings) == {"scoring", "gate", "correction", "final_scoring", "total"}
+    stages = sum(result.timings[stage] for stage in ("scoring", "gate", "correction", "final_scoring"))
+    assert abs(stages - result.timings["total"]) <= 0.1 * result.timings["total"]
+    assert result.rows == {"scoring": 4, "correction": 4, "final_scoring": 4}
     info = correct.attach_corrections(result.ranked.drop("correction_info"), result.corrections.where("corrected"))
     assert {r.correction_info.corrected for r in info.collect()} == {True, False}
 
