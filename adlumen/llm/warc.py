@@ -111,7 +111,9 @@ def _decided(pages: DataFrame) -> DataFrame:
         F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "warc-firsts")
     return rows.join(firsts, "digest", "left").select(
         F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", F.col("first").cast("string").alias("first"),
-        F.coalesce(F.col("page_id").cast("long"), F.lit(0).cast("long")).alias("second"))
+        F.coalesce(
+            F.col("page_id").try_cast("long"),
+            F.when(F.col("page_id").isNotNull(), F.pmod(F.xxhash64("page_id"), F.lit(1 << 31))), F.lit(0).cast("long")).alias("second"))
 
 
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -266,7 +268,9 @@ def archived(pages: DataFrame, folder: str | None = None, roll_bytes: int = ROLL
     """Write ``pages`` (``page_id``, ``url``, ``html``) to archives, read them back, return the global index.
 
     A null html is an empty payload, a null url the empty key; rows with the id of a payload's first page are all
-    responses; other columns are not read; an empty table writes no archive and gives no rows. Ids keep their type.
+    responses; other columns are not read; an empty table writes no archive and gives no rows. Ids keep their type and
+    order (strings as strings); the capture time is the id as a number, else comes from its hash. A page without id
+    revisits the first page with its payload that has one; if none has, all are responses.
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/archives/{uuid.uuid4().hex}"

@@ -263,6 +263,19 @@ def test_warc(spark, tmp_path):
         list(warc.members(__import__("io").BytesIO(gzip.compress(b"x")[:-3])))
 
 
+def test_warc_ids_of_any_kind(spark, tmp_path):
+    big, lone, long = "b" * 200, "n" * 120, "é" * 2_000_000
+    pages = [("p-2", "u2", big), ("p-1", "u1", big), ("p-10", "u3", big), (None, "u4", big), (None, "u5", lone), (None, "u6", lone),
+             ("p-1", "u7", "short"), ("p-1", "u8", big), ("x", "u9", long), ("y", "v", long)]
+    df = spark.createDataFrame(pages, "page_id string, url string, html string").repartition(4)
+    got = {r.url: (r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.archived(df, str(tmp_path / "ids")).collect()}
+    assert got == {
+        "u1": ("p-1", "response", None, 200), "u8": ("p-1", "response", None, 200), "u2": ("p-2", "revisit", "p-1", 200),
+        "u3": ("p-10", "revisit", "p-1", 200), "u4": (None, "revisit", "p-1", 200), "u5": (None, "response", None, 120),
+        "u6": (None, "response", None, 120), "u7": ("p-1", "response", None, 5), "u9": ("x", "response", None, 4_000_000),
+        "v": ("y", "revisit", "x", 4_000_000)}
+
+
 def test_deep_shallow_order():
     rng = random.Random(3)
     for _ in range(300):
