@@ -24,7 +24,7 @@ def grouped_terms(words: Sequence[str]) -> str:
         groups.setdefault(word[0], []).append(word[1:])
     if not groups:
         return any_term([])
-    return "(?:" + "|".join(first + any_term(rests) for first, rests in groups.items()) + ")"
+    return "(?:" + "|".join(re.escape(first) + any_term(rests) for first, rests in groups.items()) + ")"
 
 
 @dataclass(frozen=True)

@@ -229,6 +229,17 @@ def oracles() -> dict[str, str]:
     o["sentiment_custom"] = duck("""select d.doc_id, round(coalesce(e.compound, 0e0), 6) as english,
         round(coalesce(t.compound, 0e0), 6) as turkish from {documents} d
         left join affect_en e on e.doc_id = d.doc_id left join affect_tr t on t.doc_id = d.doc_id""", *custom)
+    words = "select distinct term from (select unnest(regexp_extract_all(lower(text), '[a-z'']+')) as term from {benchmark}) b"
+    o["lexicon_sentiment"] = duck("""select d.doc_id, round(coalesce(c.compound, 0e0), 6) as compound from {documents} d
+        left join (select doc_id, cast(sum(case when previous = 0 then -mark else mark end) as double) / count(*) as compound
+                   from hits where mark <> 0 group by doc_id) c on c.doc_id = d.doc_id""",
+        ("marks", f"select term, case length(term) % 3 when 2 then 0 when 0 then 1 else -1 end as mark from ({words}) w"),
+        ("tokens", """select doc_id, unnest(toks) as term, unnest(range(1, len(toks) + 1)) as i
+            from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+') as toks from {documents}) s"""),
+        ("hits", """select doc_id, mark, lag(mark) over (partition by doc_id order by i) as previous
+            from tokens join marks using (term)"""))
+    o["lexicon_hits"] = duck(f"""select d.doc_id, cast(count(w.term) as integer) as n_terms from {{documents}} d
+        left join ({words}) w on length(w.term) >= 4 and contains(lower(d.text), w.term) group by d.doc_id""")
     affect = sf.affect_ctes("{posts}", "post_id", "text_content")
     o["sentiment_score"] = duck("select post_id, round(sentiment_score, 6) as sentiment_score from affect", *affect)
     o["toxicity_score"] = duck("select post_id, round(toxicity_score, 6) as toxicity_score from affect", *affect)

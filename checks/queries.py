@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from adlumen.functions import affect, errors, fixed_values as fixed, hashing, scoring, text as tx
 from adlumen.operators import (
-    brand, catalog, clean, correct, eda, embed, evaluate, generate, model, rank, rules,
+    brand, catalog, clean, correct, eda, embed, evaluate, generate, lexicon, model, rank, rules,
 )
 from adlumen.operators.joins import lookup_join
 from adlumen.plans import campaign, reports, training
@@ -103,6 +103,23 @@ def sentiment_custom(i: Inputs) -> DataFrame:
     return both.select("doc_id", r("english"), r("turkish"))
 
 
+def _benchmark_words(i: Inputs, least: int) -> DataFrame:
+    words = i.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), 0)).alias("term")).distinct()
+    return words.where(F.length("term") >= least)
+
+
+def lexicon_sentiment(i: Inputs) -> DataFrame:
+    """The words of the benchmark as a lexicon: their length says what they are."""
+    mark = F.when(F.length("term") % 3 == 2, 0).when(F.length("term") % 3 == 0, 1).otherwise(-1)
+    table = _benchmark_words(i, 1).withColumn("mark", mark)
+    return lexicon.with_lexicon_compound(i.documents.select("doc_id", "text"), table, "text").select("doc_id", r("compound"))
+
+
+def lexicon_hits(i: Inputs) -> DataFrame:
+    texts = i.documents.select("doc_id", "text")
+    return lexicon.with_term_hits(texts, _benchmark_words(i, 4), "text").select("doc_id", "n_terms")
+
+
 def _affect(i: Inputs) -> DataFrame:
     return affect.with_affect(i.posts.select("post_id", "text_content"))
 
@@ -622,7 +639,7 @@ def embed_text(i: Inputs) -> DataFrame:
 
 QUERIES: list[Callable[[Inputs], DataFrame]] = [
     clean_posts, ctr_proxy, winsorize_p99, trim_p99, clean_funnel, log_features,
-    text_features, urgency_custom, normalize_text, is_turkish, sentiment_en, sentiment_tr, sentiment_custom,
+    text_features, urgency_custom, normalize_text, is_turkish, sentiment_en, sentiment_tr, sentiment_custom, lexicon_sentiment, lexicon_hits,
     sentiment_score, toxicity_score,
     ctr_by_feature, ols_trend, ols_trend_line, corr_matrix, summary_stats, union_langs,
     cosine_sim, brand_score, brand_score_default, brand_score_matrix, predict_brand, brand_proof, brand_proof_failures,
