@@ -229,6 +229,14 @@ def oracles() -> dict[str, str]:
     o["sentiment_custom"] = duck("""select d.doc_id, round(coalesce(e.compound, 0e0), 6) as english,
         round(coalesce(t.compound, 0e0), 6) as turkish from {documents} d
         left join affect_en e on e.doc_id = d.doc_id left join affect_tr t on t.doc_id = d.doc_id""", *custom)
+    sums = ", ".join(f"cast(coalesce(sum(case when event_type = '{kind}' then floor(coalesce(value, 0)) end), 0) as bigint) as {name}"
+                     for name, kind in (("likes", "click"), ("shares", "signup"), ("comments", "purchase")))
+    o["engagement_windows"] = duck(
+        """select strftime(start, '%Y-%m-%d %H:%M') as window_start, impressions, likes, shares, comments, n_events,
+        round((likes + shares + comments) * 100e0 / nullif(impressions, 0), 6) as engagement_rate from sums""",
+        ("sums", f"""select time_bucket(interval '10 minutes', ts, timestamp '2000-01-01') as start, {sums}, count(*) as n_events,
+            cast(count(*) filter (where event_type = 'view') * 100 as bigint) as impressions
+            from {{events}} where ts is not null group by 1"""))
     words = "select distinct term from (select unnest(regexp_extract_all(lower(text), '[a-z'']+')) as term from {benchmark}) b"
     o["lexicon_sentiment"] = duck("""select d.doc_id, round(coalesce(c.compound, 0e0), 6) as compound from {documents} d
         left join (select doc_id, cast(sum(case when previous = 0 then -mark else mark end) as double) / count(*) as compound

@@ -15,6 +15,7 @@ from adlumen.operators.joins import lookup_join
 from adlumen.plans import campaign, reports, training
 from adlumen.session import set_local_shared_dir, shared_dir, ship_package
 from adlumen.sources import cache
+from adlumen.streaming import engagement
 from checks.views import Inputs
 
 BRANDS = [f"b{i}" for i in range(10)]
@@ -143,6 +144,12 @@ def ctr_by_feature(i: Inputs) -> DataFrame:
     return eda.ctr_by_feature(featured(i)).withColumn("mean_ctr", r("mean_ctr"))
 
 
+def engagement_windows(i: Inputs) -> DataFrame:
+    windows = engagement.engagement_windows(i.events)
+    start = F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start")
+    return windows.select(start, "impressions", "likes", "shares", "comments", "n_events", r("engagement_rate"))
+
+
 def ols_trend(i: Inputs) -> DataFrame:
     return eda.ols_trend(featured(i), "word_count", "ctr_proxy").select(r("slope"), r("intercept"))
 
@@ -641,7 +648,7 @@ QUERIES: list[Callable[[Inputs], DataFrame]] = [
     clean_posts, ctr_proxy, winsorize_p99, trim_p99, clean_funnel, log_features,
     text_features, urgency_custom, normalize_text, is_turkish, sentiment_en, sentiment_tr, sentiment_custom, lexicon_sentiment, lexicon_hits,
     sentiment_score, toxicity_score,
-    ctr_by_feature, ols_trend, ols_trend_line, corr_matrix, summary_stats, union_langs,
+    ctr_by_feature, engagement_windows, ols_trend, ols_trend_line, corr_matrix, summary_stats, union_langs,
     cosine_sim, brand_score, brand_score_default, brand_score_matrix, predict_brand, brand_proof, brand_proof_failures,
     brand_proof_summary, validate_alignment, offbrand_baseline,
     rule_check, rule_ctr, engagement_split,
