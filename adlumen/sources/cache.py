@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from adlumen import schemas
 from adlumen.session import arrow_folder
+from adlumen.sources.snapshots import complete, numbered, removed
 
 BASE, LOG = "base-", "log-"
 STORED = T.StructType([*schemas.CACHE.fields, T.StructField("bucket", T.StringType())])
@@ -62,19 +62,9 @@ class GenerationCache:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _numbers(self, kind: str) -> list[int]:
-        """Numbers of the folders of a kind; of the bases only those written as a whole."""
-        system, root = arrow_folder(self.path)
-        found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        numbers = sorted(int(f.base_name.removeprefix(kind)) for f in found if f.base_name.startswith(kind))
-        if kind == LOG:
-            return numbers
-        marks = system.get_file_info([f"{root}/{BASE}{n}/_SUCCESS" for n in numbers])
-        return [n for n, mark in zip(numbers, marks) if mark.type == fs.FileType.File]
-
     def _generation(self) -> int:
         """Number of the base in force; 0 before the first one."""
-        return max(self._numbers(BASE), default=0)
+        return max(complete(self.path, BASE), default=0)
 
     def _read(self, folders: Sequence[str]) -> DataFrame:
         # Each folder is a table of its own to the partition discovery; there are two or three.
@@ -84,7 +74,7 @@ class GenerationCache:
     def _written(self) -> DataFrame:
         """Everything in force, replaced entries included; empty when nothing was stored yet."""
         now = self._generation()
-        return self._read([f"{BASE}{n}" for n in [now] if n] + [f"{LOG}{n}" for n in self._numbers(LOG) if n >= now])
+        return self._read([f"{BASE}{n}" for n in [now] if n] + [f"{LOG}{n}" for n in numbered(self.path, LOG) if n >= now])
 
     def _write(self, entries: DataFrame, folder: str, mode: str) -> None:
         """One file per model and bucket if they are small; large ones are cut by the adaptive plan."""
@@ -120,7 +110,7 @@ class GenerationCache:
             cache_key(F.col("model"), F.col("prompt")).alias("cache_key"), "model", "prompt", "text",
             F.current_timestamp().alias("created_at"),
         )
-        log = max([self._generation(), *self._numbers(LOG)])
+        log = max([self._generation(), *numbered(self.path, LOG)])
         self._write(rows, f"{LOG}{log}", "append")
 
     def compact(self) -> None:
@@ -138,9 +128,9 @@ class GenerationCache:
         system.create_dir(f"{root}/{LOG}{now + 1}", recursive=True)
         self._write(entries, f"{BASE}{now + 1}", "overwrite")
         for kind in (BASE, LOG):
-            for old in self._numbers(kind):
+            for old in numbered(self.path, kind):
                 if old < now:
-                    system.delete_dir(f"{root}/{kind}{old}")
+                    removed(self.path, f"{kind}{old}")
 
     def clear(self) -> int:
         """Forget everything; returns the number of entries there were."""
