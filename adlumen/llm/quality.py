@@ -1,11 +1,15 @@
 """Quality rules with robust multivariate outliers.
 
 Each text gives a vector of transformed statistics. Per language and source the centre and scatter of the clean bulk
-are estimated by minimum covariance determinant: starting from medians and absolute deviations, concentration steps
-keep the share ``COVERED`` of rows nearest to the current estimate and estimate anew. A step is one mergeable
-aggregate over all rows: the moments of the rows are summed per group and per bin of the distance, and the bins
-nearest to the centre are added up until they hold the share. Nothing but these sums (a bounded number of rows per
-group) reaches the task that inverts a scatter matrix. Texts too far off by Mahalanobis distance are rejected.
+are estimated by minimum covariance determinant, from four deterministic starts: medians with absolute deviations,
+correlations of hyperbolic tangents, of spatial signs, and the moments of all rows. From each of them concentration
+steps keep the share ``COVERED`` of rows nearest to the current estimate and estimate anew, until the determinant of the
+scatter no longer falls; the estimate with the least determinant is the group's.
+
+A step is one mergeable aggregate over all rows and starts: the moments of the rows are summed per group, start and bin
+of the distance, and the bins nearest to the centre are added up until they hold the share, the last one in part.
+Nothing but these sums (a bounded number of rows per group) reaches the task that inverts a scatter matrix. The floors of
+the scatter are part of it in every step and in the determinant. Texts too far off by Mahalanobis distance are rejected.
 
 Groups with fewer than ``min_group`` rows are pooled per language, and what is still too small over all languages;
 a pool that stays too small rejects nothing.
@@ -14,7 +18,7 @@ a pool that stays too small rejects nothing.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,7 +30,8 @@ MIN_WORDS = 20
 WINDOW = 8
 REPEAT_PERCENT = 30
 COVERED = 0.75
-STEPS = 3
+STEPS = 50  # a bound only; a start ends when the logarithm of its determinant falls by less than ``FALL``
+FALL = 1e-3
 MIN_GROUP = 200
 CUTOFF = 22.46  # squared distance; 0.999 of the chi-squared distribution with six degrees
 #: Transformed statistics and the least standard deviation taken for each, as a scatter of bulk texts can be zero.
@@ -122,29 +127,77 @@ def distance(stats: Column, centre: Column, precision: Column, n: int) -> Column
     return total
 
 
-def _concentrated(covered: float, floors: Sequence[float]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Centre and precision from the binned moments of one group: at most ``BINS`` rows."""
+ESTIMATE = "_group string, start int, centre array<double>, precision array<double>, group_size long, log_det double, active boolean"
+
+
+def _moments(vector: Column, p: int) -> dict[str, Column]:
+    """Count, sums and sums of products of the parts of ``vector``; native and mergeable."""
+    part = [F.get(vector, F.lit(i)) for i in range(p)]
+    sums = {"n": F.count(F.lit(1))} | {f"s{i}": F.sum(part[i]) for i in range(p)}
+    return sums | {f"c{i}_{j}": F.sum(part[i] * part[j]) for i in range(p) for j in range(i, p)}
+
+
+def _mean_and_scatter(sums: pd.DataFrame, weights: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    total = {name: float(weights @ sums[name].to_numpy(dtype=float)) for name in sums.columns if name[0] in "sc" and name[1].isdigit()}
+    n = float(weights @ sums["n"].to_numpy(dtype=float))
+    mean = np.array([total[f"s{i}"] for i in range(p)]) / n
+    scatter = np.empty((p, p))
+    for i in range(p):
+        for j in range(i, p):
+            scatter[i, j] = scatter[j, i] = total[f"c{i}_{j}"] / n - mean[i] * mean[j]
+    return mean, scatter
 
-    def run(bins: pd.DataFrame) -> pd.DataFrame:
+
+def _estimate(key: tuple, centre: np.ndarray, scatter: np.ndarray, size: int, log_det: float, active: bool) -> pd.DataFrame:
+    return pd.DataFrame({
+        "_group": [key[0]], "start": [int(key[1])], "centre": [list(centre)], "precision": [list(np.linalg.inv(scatter).ravel())],
+        "group_size": [size], "log_det": [log_det], "active": [active]})
+
+
+def _begun(floors: Sequence[float]) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Start estimate from the moments of one transform of the scaled vectors: one row."""
+
+    def run(key: tuple, sums: pd.DataFrame) -> pd.DataFrame:
         p = len(floors)
+        middle, spread = (np.array(sums[c].iloc[0], dtype=float) for c in ("middle", "spread"))
+        mean, shape = _mean_and_scatter(sums, np.ones(1), p)
+        if key[1] == ALL_ROWS:
+            middle = middle + mean * spread
+        else:
+            width = np.sqrt(np.maximum(np.diag(shape), 1e-12))
+            shape = shape / np.outer(width, width)
+            np.fill_diagonal(shape, 1.0)
+        if key[1] == MEDIANS:
+            shape = np.eye(p)
+        scatter = shape * np.outer(spread, spread) + np.diag(np.square(floors))
+        return _estimate(key, middle, scatter, int(sums["n"].iloc[0]), float("inf"), True)
+
+    return run
+
+
+def _concentrated(covered: float, floors: Sequence[float], fall: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """One concentration step from the binned moments of one group and start: at most ``BINS`` rows.
+
+    The share is held exactly: the last bin counts in part. A determinant that has not fallen leaves the estimate before.
+    """
+    p = len(floors)
+    scale = _consistency(covered, p)
+
+    def run(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
         bins = bins.sort_values("_bin")
-        counts = bins["n"].to_numpy()
-        total = int(counts.sum())
-        last = int(np.searchsorted(np.cumsum(counts), covered * total))
-        inside = bins.iloc[:last + 1]
-        n = float(inside["n"].sum())
-        mean = np.array([inside[f"s{i}"].sum() for i in range(p)]) / n
-        scatter = np.empty((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                scatter[i, j] = scatter[j, i] = inside[f"c{i}_{j}"].sum() / n - mean[i] * mean[j]
+        counts = bins["n"].to_numpy(dtype=float)
+        size = int(counts.sum())
+        reached = np.cumsum(counts) - counts
+        weights = np.clip((covered * size - reached) / counts, 0.0, 1.0)
+        mean, scatter = _mean_and_scatter(bins, weights, p)
         # The nearest share of a normal cloud has too small a spread: scale so that its farthest distance fits.
-        scatter *= _consistency(min(n / total, 0.999), p)
-        scatter += np.diag(np.square(floors))
-        origin = np.array(bins["origin"].iloc[0], dtype=float)
-        return pd.DataFrame({
-            "_group": [bins["_group"].iloc[0]], "centre": [list(mean + origin)],
-            "precision": [list(np.linalg.inv(scatter).ravel())], "group_size": [total]})
+        scatter = scatter * scale + np.diag(np.square(floors))
+        log_det, before = float(np.linalg.slogdet(scatter)[1]), float(bins["log_det"].iloc[0])
+        origin = np.array(bins["centre"].iloc[0], dtype=float)
+        if log_det < before:
+            return _estimate(key, origin + mean, scatter, size, log_det, before - log_det >= fall)
+        earlier = np.linalg.inv(np.array(bins["precision"].iloc[0], dtype=float).reshape(p, p))
+        return _estimate(key, origin, earlier, size, before, False)
 
     return run
 
@@ -162,57 +215,58 @@ def _consistency(share: float, p: int) -> float:
     return float(share / cumulated(p + 2)[np.searchsorted(x, quantile)])
 
 
-def _sums(p: int) -> list[str]:
-    return [*[f"s{i}" for i in range(p)], *[f"c{i}_{j}" for i in range(p) for j in range(i, p)]]
-
+MEDIANS, TANGENTS, SIGNS, ALL_ROWS = range(4)
 
-def _binned(p: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Moments about the current centre per group and bin of the distance, summed per batch."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            off = np.array(batch["stats"].tolist()) - np.array(batch["centre"].tolist())
-            precision = np.array(batch["precision"].tolist()).reshape(-1, p, p)
-            squared = np.einsum("ni,nij,nj->n", off, precision, off)
-            columns = {"_group": batch["_group"].to_numpy(), "_bin": np.clip(np.floor(np.log2(squared + 1e-9) * 16) + 64, 0, BINS - 1).astype(np.int32), "n": 1}
-            columns |= {f"s{i}": off[:, i] for i in range(p)}
-            columns |= {f"c{i}_{j}": off[:, i] * off[:, j] for i in range(p) for j in range(i, p)}
-            yield pd.DataFrame(columns).groupby(["_group", "_bin"], as_index=False).sum()
-
-    return run
+def _starts(grouped: DataFrame, floors: Sequence[float]) -> DataFrame:
+    """Four estimates per group, from the moments of transforms of the vectors scaled by medians and absolute deviations."""
+    p = len(floors)
+    part = lambda i: F.get("stats", F.lit(i))
+    middle = written(grouped.groupBy("_group").agg(
+        F.array(*[F.percentile_approx(part(i), 0.5, 1000) for i in range(p)]).alias("middle")), "quality-middle")
+    off = [part(i) - F.get("middle", F.lit(i)) for i in range(p)]
+    spread = written(grouped.join(middle, "_group").groupBy("_group").agg(
+        F.first("middle").alias("middle"),
+        F.array(*[F.sqrt(F.pow(F.percentile_approx(F.abs(off[i]), 0.5, 1000) * 1.4826, 2) + floors[i] ** 2) for i in range(p)]).alias("spread")),
+        "quality-spread")
+    scaled = grouped.join(spread, "_group").select("_group", F.array(*[off[i] / F.get("spread", F.lit(i)) for i in range(p)]).alias("z"))
+    z = [F.get("z", F.lit(i)) for i in range(p)]
+    length = F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0]))
+    transforms = {
+        MEDIANS: F.col("z"), TANGENTS: F.array(*[F.tanh(x) for x in z]),
+        SIGNS: F.array(*[F.when(length > 0, x / length).otherwise(0.0) for x in z]), ALL_ROWS: F.col("z")}
+    each = scaled.select("_group", F.explode(F.array(*[F.struct(F.lit(k).alias("start"), v.alias("v")) for k, v in transforms.items()])).alias("t"))
+    sums = each.groupBy("_group", F.col("t.start").alias("start")).agg(*[c.alias(name) for name, c in _moments(F.col("t.v"), p).items()])
+    return sums.join(spread, "_group").groupBy("_group", "start").applyInPandas(_begun(floors), ESTIMATE)
 
 
 def estimates(
     rows: DataFrame, floors: dict[str, float] = FLOORS, min_group: int = MIN_GROUP, covered: float = COVERED, steps: int = STEPS,
+    fall: float = FALL,
 ) -> DataFrame:
-    """Per (lang, source): ``centre``, ``precision`` and ``group_size`` of its estimation group.
+    """Per (lang, source): ``centre``, ``precision``, ``group_size`` and ``log_det`` of its estimation group.
 
-    ``rows`` (``lang``, ``source``, ``stats``) should be a written table, as it is read once per step.
+    ``rows`` (``lang``, ``source``, ``stats``) should be a written table, as it is read once per step. Rows without
+    statistics take no part; an empty table gives no estimates.
     """
     p, least = len(floors), list(floors.values())
     rows = rows.where("stats is not null")
     groups = written(_pooled(rows, min_group), "quality-groups")
     grouped = written(_joined(rows, groups).select("_group", "stats"), "quality-grouped")
-    part = lambda i: F.element_at("stats", i + 1)
-    middle = written(grouped.groupBy("_group").agg(*[F.percentile_approx(part(i), 0.5, 1000).alias(f"m{i}") for i in range(p)]), "quality-middle")
-    off = grouped.join(middle, "_group").groupBy("_group").agg(
-        *[F.percentile_approx(F.abs(part(i) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i in range(p)],
-        *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], F.count(F.lit(1)).alias("group_size"))
-    spread = [F.pow(F.col(f"d{i}") * 1.4826, 2) + least[i] ** 2 for i in range(p)]
-    start = off.select(
-        "_group", F.array(*[F.col(f"m{i}") for i in range(p)]).alias("centre"),
-        F.array(*[(1 / spread[i] if i == j else F.lit(0.0)) for i in range(p) for j in range(p)]).alias("precision"), "group_size")
-    current = written(start, "quality-start")
-    moments = "_group string, _bin int, n long, " + ", ".join(f"{name} double" for name in _sums(p))
-    schema = "_group string, centre array<double>, precision array<double>, group_size long"
+    current = written(_starts(grouped, least), "quality-start")
     for step in range(steps):
-        near = grouped.join(current.drop("group_size"), "_group").mapInPandas(_binned(p), moments)
-        binned = near.groupBy("_group", "_bin").agg(F.sum("n").alias("n"), *[F.sum(name).alias(name) for name in _sums(p)])
-        about = binned.join(current.select("_group", F.col("centre").alias("origin")), "_group")
-        current = written(about.groupBy("_group").applyInPandas(_concentrated(covered, least), schema), f"quality-step{step}")
-    return groups.join(current, "_group").select("lang", "source", "centre", "precision", "group_size")
+        active = current.where("active").select("_group", "start", "centre", "precision", "log_det")
+        if active.isEmpty():
+            break
+        squared = distance(F.col("stats"), F.col("centre"), F.col("precision"), p)
+        bin_of = F.least(F.greatest(F.floor(F.log2(F.greatest(squared, F.lit(0.0)) + 1e-9) * 16) + 64, F.lit(0)), F.lit(BINS - 1)).cast("int")
+        off = F.array(*[F.get("stats", F.lit(i)) - F.get("centre", F.lit(i)) for i in range(p)])
+        near = grouped.join(active, "_group").select("_group", "start", bin_of.alias("_bin"), off.alias("off"))
+        binned = near.groupBy("_group", "start", "_bin").agg(*[c.alias(name) for name, c in _moments(F.col("off"), p).items()])
+        stepped = binned.join(active, ["_group", "start"]).groupBy("_group", "start").applyInPandas(_concentrated(covered, least, fall), ESTIMATE)
+        current = written(current.where("not active").unionByName(stepped), f"quality-step{step}")
+    best = current.groupBy("_group").agg(F.min(F.struct("log_det", "start", "centre", "precision", "group_size")).alias("best"))
+    return groups.join(best.select("_group", "best.*"), "_group").select("lang", "source", "centre", "precision", "group_size", "log_det")
 
 
 def _verdict(rows: DataFrame, fitted: DataFrame, min_group: int, cutoff: float) -> DataFrame:
