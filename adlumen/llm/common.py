@@ -6,10 +6,12 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from adlumen.session import set_local_shared_dir, shared_dir, ship_package
+from adlumen.session import arrow_folder, set_local_shared_dir, shared_dir, ship_package
 
 #: White space of the word rules: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -37,6 +39,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def parquet_batches(folder: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a table in the shared folder, read inside a task; a folder that no row was written to has none."""
+    system, path = arrow_folder(folder)
+    for file in sorted(f.path for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")):
+        with system.open_input_file(file) as opened:
+            yield from pq.ParquetFile(opened).iter_batches(use_threads=False)
+
+
 def released(*tables: DataFrame) -> None:
     """Empty tables that ``written`` made and that nothing reads any more: what was made of them has been written itself."""
     for table in tables:

@@ -5,22 +5,24 @@ far the search may jump; where it may not, the hash of the window's last block p
 word at the front rules most of them out, and a direct comparison confirms the rest. Items of fewer words are one
 pattern each, searched with a table of their own length.
 
-The benchmark goes to the tasks compressed, in blocks of bounded size. A task makes the tables of one block at a time
-and runs them over the texts it holds, so memory is one block's tables however many there are: no document is shuffled,
-no join is made.
+Spark writes the benchmark into the shared folder in blocks of bounded size; the driver sees their number only. A task
+reads one block at a time, makes its tables and runs them over the texts it holds, so memory is one block and its tables
+however many there are: no document is shuffled, no join is made, nothing is broadcast. The folder has to be one that
+pyarrow opens on the executors (mounted, HDFS, S3, GCS).
 """
 
 from __future__ import annotations
 
-import json
-import zlib
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from adlumen.llm.common import ROW, SLICE, beside_row, utf8
+from adlumen.llm.common import ROW, SLICE, beside_row, parquet_batches, utf8
+from adlumen.session import shared_dir
 
 WIDTH = 13
 BLOCK_BYTES = 2 * 1024 * 1024  # its tables take about 200 MB
@@ -103,26 +105,38 @@ def _merged(spans: list[int], new: list[tuple[int, int]]) -> list[int]:
     return out
 
 
+@dataclass(frozen=True)
+class BenchmarkFiles:
+    """Stored benchmark: the items (id, text) of block ``i`` are in the folder ``block=i``."""
+
+    folder: str
+    n_blocks: int
+
+    def items(self, block: int) -> list[tuple[str, str]]:
+        rows = [row for batch in parquet_batches(f"{self.folder}/block={block}") for row in batch.to_pylist()]
+        return sorted((row["item_id"], row["text"]) for row in rows)
+
+
 class Tables:
     """Searchers of one block at a time."""
 
-    def __init__(self, blocks: list[bytes], width: int):
-        self.blocks, self.width = blocks, width
+    def __init__(self, files: BenchmarkFiles, width: int):
+        self.files, self.width = files, width
         self.at, self.made = None, []
 
     def of(self, block: int) -> list[Searcher]:
         if block != self.at:
             self.made = []  # freed before the next are made
-            self.made, self.at = searchers(json.loads(zlib.decompress(self.blocks[block])), self.width), block
+            self.made, self.at = searchers(self.files.items(block), self.width), block
         return self.made
 
 
-def _search(blocks, width: int, n_kept: int, out: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _search(files: BenchmarkFiles, width: int, n_kept: int, out: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The text is the column after the kept ones."""
     types = [to_arrow_type(f.dataType) for f in out.fields[n_kept:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, order = Tables(blocks.value, width), list(range(len(blocks.value)))
+        tables, order = Tables(files, width), list(range(files.n_blocks))
         for batch in batches:
             n, texts = batch.num_rows, batch.column(n_kept)
             n_words = [0] * n
@@ -154,29 +168,32 @@ def _search(blocks, width: int, n_kept: int, out: T.StructType) -> Callable[[Ite
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[bytes]:
-    """The items (id, text), compressed, block by block; the driver sees one block at a time in full.
+def stored_benchmark(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> BenchmarkFiles:
+    """Write the items with an id and a text once, in blocks of ``block_bytes`` expected bytes.
 
-    A block takes the items whose id hashes to it, so that its expected size is ``block_bytes`` at most.
+    A block takes the different (id, text) that hash to it, so neither a repeated row nor a frequent id makes one larger;
+    an item of more bytes is in a block whole. A benchmark without such items has no block.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = -(-total // block_bytes)
-    parts = (items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block) for block in range(n_blocks))
-    return [zlib.compress(json.dumps([(r.item_id, r.text) for r in part.collect()]).encode()) for part in parts]
+    files = BenchmarkFiles(f"{shared_dir(benchmark.sparkSession)}/corpus/benchmark-{uuid.uuid4().hex}", -(-total // block_bytes))
+    if files.n_blocks:
+        numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(files.n_blocks)))
+        numbered.repartition("block").write.partitionBy("block").parquet(files.folder)
+    return files
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, text: str, keep: list[str], width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``keep`` columns, ``n_words``, ``n_hit``, ``spans`` (disjoint [start, end) of hit words, flat) and sorted ``items`` of each row."""
-    blocks = docs.sparkSession.sparkContext.broadcast(benchmark_blocks(benchmark, block_bytes))
+    files = stored_benchmark(benchmark, block_bytes)
     out = T.StructType([*[docs.schema[c] for c in keep], *T.StructType.fromDDL(FOUND).fields])
-    return docs.select(*keep, F.col(text).alias("_searched")).mapInArrow(_search(blocks, width, len(keep), out), out)
+    return docs.select(*keep, F.col(text).alias("_searched")).mapInArrow(_search(files, width, len(keep), out), out)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = HIT_SHARE) -> DataFrame:
     """Contamination of each row of ``docs`` (``doc_id``, ``text``) by ``benchmark`` (``item_id``, ``text``).
 
-    A null text has no words; an item without id or words has no window; equal items are each counted; rows with
+    A null text has no words; an item without id, text or words has no window; texts that share an id are one item; rows with
     equal or null ids are each judged; other columns are not read; empty tables give no rows or no hits.
     """
     found = occurrences(docs, benchmark, "text", ["doc_id"], width)
@@ -192,6 +209,10 @@ def is_contaminated(n_hit, n_words, share: int = HIT_SHARE):
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = HIT_SHARE) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, unchanged. Other columns may have any name."""
+    """The rows of ``docs`` that are not contaminated, unchanged. Other columns may have any name.
+
+    Null and empty texts have no words and stay; rows with equal or null ids and repeated rows are each judged; an
+    empty benchmark keeps all rows, an empty table gives no rows.
+    """
     kept = occurrences(beside_row(docs, _text="text"), benchmark, "_text", [ROW], width)
     return kept.where(~is_contaminated(F.col("n_hit"), F.col("n_words"), share)).select(f"{ROW}.*")
