@@ -14,7 +14,8 @@ for all of them: no pairs are made however many lines share a template. A line o
 Found edits are verified on the words.
 
 Only lines that can have a neighbour emit their variants: one edit leaves the first or the last half untouched, so lines
-are counted by hashes of both halves first, and a line that shares neither has no neighbour.
+are counted by hashes of both halves first, and a line that shares neither has no neighbour. Of their variants only one
+hash each is counted then; variants that no other line has, nearly all, go no further.
 """
 
 from __future__ import annotations
@@ -140,13 +141,42 @@ def _candidates(docs: DataFrame, firsts: DataFrame, edit_words: int) -> DataFram
     return found
 
 
+def _meeting(lines: DataFrame) -> DataFrame:
+    """Lines of which a variant, or the line itself (place -1), occurs again: ``h1``, ``h2``, ``first``, ``content``, ``places``; a written table.
+
+    Variants are compared by the first half of their key here, whatever their place, so that all that meet are kept.
+    """
+
+    def make() -> Callable[..., Iterator[tuple]]:
+        def run(content: str, shared: list[int]) -> Iterator[tuple]:
+            words = utf8(content).split()
+            yield line_key(words)[0], -1
+            for v1, _, place in variants(words, shared):
+                yield v1, place
+
+        return run
+
+    keyed = map_rows(lines, "v1 long, place int", make, ["content", "shared"], ["h1", "h2"])
+    common = written(keyed.groupBy("v1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v1"), "lines-common")
+    places = keyed.join(common, "v1").groupBy("h1", "h2").agg(F.collect_list("place").alias("places"))  # a line's words at most
+    met = written(lines.select("h1", "h2", "first", "content").join(places, ["h1", "h2"]), "lines-meeting")
+    released(common)
+    return met
+
+
 def _later(lines: DataFrame) -> DataFrame:
     """Keys (``h1``, ``h2``) of the lines of ``lines`` that have a verified neighbour with an earlier first place; a written table."""
 
     def make() -> Callable[..., Iterator[tuple]]:
-        return lambda content, shared: variants(utf8(content).split(), shared)
+        def run(content: str, places: list[int]) -> Iterator[tuple]:
+            words = utf8(content).split()
+            for place in places:
+                if place >= 0:
+                    yield *line_key(words[:place] + words[place + 1:]), place
+
+        return run
 
-    made = map_rows(lines, "v1 long, v2 long, place int", make, ["content", "shared"], ["h1", "h2", "first"])
+    made = map_rows(lines, "v1 long, v2 long, place int", make, ["content", "places"], ["h1", "h2", "first"])
     own = F.struct("first", "h1", "h2")
     # Lines of equal length: the earliest line of each variant and place.
     best = written(made.groupBy("v1", "v2", "place").agg(F.min(own).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "lines-variants")
@@ -183,8 +213,10 @@ def repeated_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
         F.min(F.struct(_place().alias("first"), "tie")).alias("at"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n")).select(
         "h1", "h2", "at.*", "halves", "n"), "lines-first")
     candidates = _candidates(docs, firsts.where(F.size("halves") > 0), edit_words)
-    near = _later(candidates)
+    meeting = _meeting(candidates)
     released(candidates)
+    near = _later(meeting)
+    released(meeting)
     # The first place matters for equal lines only; single lines without a neighbour are not shuffled again.
     equal = firsts.where("n > 1").select("h1", "h2", "first", F.lit(False).alias("near"))
     edited = near.select("h1", "h2", F.lit(None).cast(firsts.schema["first"].dataType).alias("first"), F.lit(True).alias("near"))
