@@ -234,6 +234,25 @@ def test_licenses(spark, empty):
     assert licenses.licenses(empty, licenses.known_digests(spark)).count() == 0
 
 
+def test_known_licenses_in_other_spellings(spark):
+    from adlumen.llm import license_texts as known
+
+    upper = "Copyright (c) 1999, Somebody\nAll rights are kept.\n"
+    rows = [
+        (1, "Copyright 2011 A. Nybody\n\n" + known.BSD_3.replace("\n", "  \r\n"), "en", "s"), (2, "(c) 1\n" + known.BSD_2.lower(), "en", "s"),
+        (3, "© 1\n" + known.BSD_2.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR").replace("HOLDERS AND", "OWNERS AND"), "en", "s"),
+        (4, known.UNLICENSE.replace("non-commercial", "non commercial") + "\n" + known.UNLICENSE_LINK.replace("https", "http"), "en", "s"),
+        (5, "// SPDX-License-Identifier: MPL-2.0\n# spdx-licence-identifier: bsd-3-clause\nx", "en", "s"),
+        (6, "Licensed under the BSD 3-Clause License.\n" * 3 + "word " * 100_000, "en", "s"), (6, "This file is licenced under the GNU LGPL v3", "en", "s"),
+        (7, upper + known.MIT_0, "en", "s"), (8, known.BOOST + " and more", "en", "s"), (9, "SPDX-License-Identifier: Unknown-1.0", "en", "s")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"license": F.lit(1), "digest": F.lit("clash"), "n": F.lit(None).cast("int")})
+    got = {r.doc_id: (r.text_license, r.notices, r.n_notices) for r in licenses.licenses(docs, licenses.known_digests(spark)).collect()}
+    assert got == {
+        1: ("BSD-3-Clause", "", 0), 2: ("BSD-2-Clause", "", 0), 3: ("BSD-2-Clause", "", 0), 4: ("Unlicense", "", 0), 5: (None, "BSD-3-Clause,MPL-2.0", 2),
+        6: ("LGPL-3.0", "BSD-3-Clause,LGPL-3.0", 4), 7: (None, "", 0), 8: (None, "", 0), 9: (None, "", 0)}
+    assert len(known.KNOWN) > 500 and all(licence and text for licence, text in known.KNOWN)
+
+
 def test_warc(spark, tmp_path):
     pages = [(i, f"http://h{i % 3}.Example.com:80/{i}#x", "p" * 150 if i % 4 == 0 else sentence(40)) for i in range(50)]
     pages += [(60, None, None), (61, "a\r\nb%41", ""), (62, "https://x.org/é", "short"), (63, "https://x.org", "short"), (0, pages[0][1], pages[0][2])]
