@@ -2,8 +2,8 @@
 
 Texts are brought to a canonical form (A-Z in lower case, copyright lines out, punctuation to blanks, equivalent
 spellings to one), digested with SHA-256 and joined to the digests of known licences in the same form. Whole texts are
-looked up, and every whole line, as notices are mostly single lines. Everything is a native expression; every line's
-digest meets the known ones, and one sum per document, merged before the shuffle, is what crosses it.
+looked up, and every whole line, as notices are mostly single lines. Everything is a native expression. The digest of
+every line may cross a shuffle (182 MB for 0.5 GB of texts), no text does.
 
 Known are whole texts of the short permissive licences, the headers of two long ones, and for every licence in
 ``license_texts.NAMES`` its identifier lines and notices made by rule. A licence inside a longer text is found by its
