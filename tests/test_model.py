@@ -98,3 +98,19 @@ def test_stream_equals_batch(spark, posts, tmp_path):
         lambda batch, number: seen.extend(batch.collect()), str(tmp_path / "state"))
     ranking.awaitTermination(120)
     assert {r.variant_ord: r["rank"] for r in seen} == {4: 1, 3: 2, 2: 3, 1: 4, 0: 5}
+
+
+def test_kept_rows_are_cut_off_from_the_plan_that_made_them(spark):
+    made = spark.range(1600).withColumn("text_content", F.lit("x")).repartition(40).select("id", F.length("text_content").alias("n"))
+    kept = model.kept_rows(made, task_rows=100)
+    assert kept.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, 16)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "text_content" not in plan and "Exchange" not in plan
+    assert sorted(kept.collect()) == sorted(made.collect())
+
+
+def test_the_report_trains_on_kept_rows(spark, posts, monkeypatch):
+    kept = []
+    monkeypatch.setattr(model, "kept_rows", lambda rows, keep=model.kept_rows: kept.append(1) or keep(rows))
+    training.train(posts, SMALL, cross_validate=False)
+    assert kept
