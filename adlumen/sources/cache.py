@@ -31,10 +31,12 @@ def _bucket(key: Column) -> Column:
 
 
 def newest(entries: DataFrame) -> DataFrame:
-    """Latest entry per key."""
-    columns = [c for c in schemas.CACHE.names if c != "cache_key"]
-    last = F.max_by(F.struct(*columns), F.struct("created_at", "text")).alias("_entry")
-    return entries.groupBy("cache_key").agg(last).select("cache_key", "_entry.*")
+    """Latest entry per key. Prompts are an aggregate of their own, so that they are not shuffled where nothing reads them."""
+    order = F.struct("created_at", "text")
+    others = [c for c in schemas.CACHE.names if c not in ("cache_key", "created_at", "text")]
+    last = entries.groupBy("cache_key").agg(
+        F.max(order).alias("_last"), *[F.max_by(c, order).alias(c) for c in others])
+    return last.select("cache_key", *others, "_last.*").select(schemas.CACHE.names)
 
 
 def upserted(cache: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -363,3 +363,18 @@ def test_campaign_with_a_provider(spark, brands, tmp_path):
     assert [r.needs_human_review for r in ranked] == [False, False, False]
     errors = sorted((r.request_id, r.error) for r in result.errors.select("request_id", "error").collect())
     assert errors == [(1, "quota exceeded")] + [(2, "unknown brand")] * 4
+
+
+def test_prompts_are_not_shuffled_where_nothing_reads_them(spark):
+    from datetime import datetime
+
+    from adlumen.sources.cache import newest
+
+    day = [datetime(2024, 1, d) for d in (1, 2)]
+    rows = [("k", "m1", "p1", "new", day[1]), ("k", "m2", "p2", "old", day[0]), (None, None, "p3", "b", None), (None, "m3", None, "a", None),
+            ("n", "m4", "p4", None, None)]
+    entries = spark.createDataFrame(rows, "cache_key string, model string, prompt string, text string, created_at timestamp")
+    assert sorted(map(str, newest(entries).collect())) == sorted(str(r) for r in entries.collect() if (r.model, r.text) in (("m1", "new"), (None, "b"), ("m4", None)))
+    assert newest(entries).columns == entries.columns
+    plan = newest(entries).select("cache_key", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan
