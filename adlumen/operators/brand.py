@@ -69,21 +69,21 @@ class ReferenceFiles:
     block_values: int = BLOCK_VALUES
 
     def brands(self) -> list[str]:
-        found = [row for table in _parquet_batches(f"{self.folder}/brands", 1 << 16) for row in table.to_pylist()]
+        found = [row for table in parquet_batches(f"{self.folder}/brands", 1 << 16) for row in table.to_pylist()]
         return [row["brand_id"] for row in sorted(found, key=lambda row: row["brand_ord"])]
 
     def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Brand numbers and unit vectors, at most ``block_values`` numbers at a time."""
-        for batch in _parquet_batches(f"{self.folder}/vectors", self._rows()):
+        for batch in parquet_batches(f"{self.folder}/vectors", self._rows()):
             yield batch.column("brand_ord").to_numpy(), batch_matrix(batch.column("ref_vec"))[0]
 
     def _rows(self) -> int:
-        for batch in _parquet_batches(f"{self.folder}/vectors", 1):
+        for batch in parquet_batches(f"{self.folder}/vectors", 1):
             return max(1, self.block_values // max(1, len(batch.column("ref_vec")[0])))
         return 1
 
 
-def _parquet_batches(folder: str, rows: int) -> Iterator[pa.RecordBatch]:
+def parquet_batches(folder: str, rows: int) -> Iterator[pa.RecordBatch]:
     system, path = arrow_folder(folder)
     for file in sorted(f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")):
         with system.open_input_file(file) as opened:

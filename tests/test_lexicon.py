@@ -47,3 +47,11 @@ def test_terms_anywhere(spark):
         assert {r.i: r.n_terms for r in lexicon.with_term_hits(df, table, gram=gram).collect()} == expected
     assert {r.n_terms for r in lexicon.with_term_hits(df, table.limit(0)).collect()} == {0}
     assert lexicon.with_term_hits(df.limit(0), table).count() == 0
+
+
+def test_terms_are_read_in_blocks_and_no_row_is_shuffled(spark):
+    terms = spark.createDataFrame([(f"term{i}",) for i in range(40)], "term string").repartition(3)
+    df = spark.createDataFrame([(i, " ".join(f"TERM{j}" for j in range(i))) for i in range(41)], "i int, text_content string")
+    got = lexicon.with_term_hits(df, terms, block_terms=4)
+    assert {r.i: r.n_terms for r in got.collect()} == {i: i for i in range(41)}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
