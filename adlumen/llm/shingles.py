@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adlumen.llm.common import released, slices, utf8, with_mapped, written
 from adlumen.llm.components import components
-from adlumen.llm.simhash import identified, least_rows
+from adlumen.llm.simhash import CELL as FINGERPRINTS, REACH, fingerprint, identified, least_rows, members_of
 
 SHINGLE = 5
 #: Least similarity as a fraction.
@@ -96,16 +96,16 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
 
 
 def with_sketch(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep``, ``fp`` (the node), and the ``size`` and ``sketch`` of its set."""
+    """``keep``, ``fp`` (the node), the ``size`` and ``sketch`` of its set, and the ``mark`` of the text: its SimHash fingerprint."""
 
     def make() -> Callable[..., tuple]:
         def run(value: str | None) -> tuple:
             hashes = shingles(value)
-            return node_of(hashes), len(hashes), sketch_of(hashes).tobytes()
+            return node_of(hashes), len(hashes), sketch_of(hashes).tobytes(), fingerprint(value)
 
         return run
 
-    return with_mapped(df, "fp binary, size int, sketch binary", make, [text], keep)
+    return with_mapped(df, "fp binary, size int, sketch binary, mark long", make, [text], keep)
 
 
 def _new_sets(batches: Iterator[pa.RecordBatch], wanted: Callable[[bytes], bool] = lambda node: True) -> Iterator[list[tuple[bytes, np.ndarray]]]:
@@ -373,15 +373,31 @@ def components_of(texts: DataFrame, sketches: DataFrame, cell: int = CELL) -> Da
     return components(sorted_by(dealt).mapInArrow(_linked, "a binary, b binary"), "shingles-links")
 
 
+def with_marks(members: DataFrame, rows: DataFrame, reach: int = REACH) -> DataFrame:
+    """``members`` (``fp``, ``root``) with the components that texts of near fingerprints share made one.
+
+    ``rows`` (``fp``, ``mark``) has the fingerprint of every text; those at most ``reach`` bits apart link.
+    """
+    alike = members_of(rows.select(F.col("mark").alias("fp")), reach, FINGERPRINTS)
+    names = alike.select(F.col("fp").alias("mark"), F.col("root").alias("alike"))
+    roots = written(rows.select("fp", "mark").distinct().join(members, "fp").join(names, "mark").select("alike", "root").distinct(), "shingles-alike")
+    least = roots.groupBy("alike").agg(F.min("root").alias("b"))
+    links = roots.join(least, "alike").where("root <> b").select(F.col("root").alias("a"), "b")
+    tops = components(links, "shingles-tops").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return members.join(tops, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The row of each component with the smallest id, unchanged; ids are compared as they are, null last.
 
-    Null and empty texts have the empty set and are one node. Of equal ids in a component, and of rows without id, the one
-    with the smallest hash of the row's plain columns stays. An empty table gives no rows.
+    Texts are linked by their fingerprints, as ``simhash.near_duplicates`` links them, and by the similarity of their sets,
+    which also finds the near texts whose fingerprints differ in more bits. Null and empty texts have the empty set and are
+    one node. Of equal ids in a component, and of rows without id, the one with the smallest hash of the row's plain columns
+    stays. An empty table gives no rows.
     """
     beside = identified(docs)
     sketched = written(with_sketch(beside.select("_id", "_tie", "_text"), "_text", ["_id", "_tie"]), "shingles-rows")
     found = written(components_of(docs, sketched).withColumnRenamed("node", "fp"), "shingles-found")
     rows = sketched.select("_id", "_tie", "fp")
-    members = rows.select("fp").distinct().join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return least_rows(beside, rows, written(members, "shingles-roots"))
+    members = written(rows.select("fp").distinct().join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "shingles-members-of")
+    return least_rows(beside, rows, written(with_marks(members, sketched), "shingles-roots"))

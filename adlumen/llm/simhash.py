@@ -231,7 +231,7 @@ def links(fingerprints: DataFrame, reach: int = REACH, cell: int = CELL) -> Data
 # --- documents ----------------------------------------------------------------------------------
 
 
-def _members(fingerprints: DataFrame, reach: int, cell: int) -> DataFrame:
+def members_of(fingerprints: DataFrame, reach: int, cell: int) -> DataFrame:
     """(``fp``, ``root``) of every distinct fingerprint."""
     distinct = written(fingerprints.select("fp").distinct(), "simhash-distinct")
     found = components(links(distinct, reach, cell), "simhash-links")
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, reach: int = REACH, cell: int = CELL) -> Da
     returned; other columns are not read; an empty table gives no rows.
     """
     rows = written(with_fingerprint(docs, "text", ["doc_id"]), "simhash-rows")
-    members = written(_members(rows, reach, cell), "simhash-members")
+    members = written(members_of(rows, reach, cell), "simhash-members")
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = members.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = written(members.join(named, "root").select("fp", "component_id"), "simhash-names")
@@ -261,7 +261,7 @@ def one_of_each(docs: DataFrame, reach: int = REACH, cell: int = CELL) -> DataFr
     """
     beside = identified(docs)
     rows = written(with_fingerprint(beside.select("_id", "_tie", "_text"), "_text", ["_id", "_tie"]), "simhash-rows")
-    return least_rows(beside, rows, written(_members(rows, reach, cell), "simhash-members"))
+    return least_rows(beside, rows, written(members_of(rows, reach, cell), "simhash-members"))
 
 
 def identified(docs: DataFrame) -> DataFrame:

@@ -37,8 +37,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more of their five-word shingles.
+    """One document of each group linked by op9's fingerprints or by a similarity of 0.8 or more of their five-word shingles.
 
+    Fingerprints link at 4 or fewer differing bits, found by generalised pigeonhole as in op9; the exact similarity adds the
+    near texts whose fingerprints are further apart.
     Null and empty texts are one group; a text of fewer than five words is one shingle; the least id of a group stays, an id before none.
     """
     ready(spark)

@@ -148,3 +148,19 @@ def test_spans_of_rows_without_id_meet_their_own_row_only(spark):
     got = suffixes.without_repeats(docs)
     assert "_tie" in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.n_removed >= len(shared) for r in got.collect()) == [False] * 2 + [True] * 14
+
+
+def test_near_dedup_links_by_fingerprints_too(spark):
+    from adlumen.llm import simhash
+
+    rng = random.Random(8)
+    # A text that repeats itself, and one with an end of its own: near fingerprints, but sets of shingles that are not near.
+    often = [f"{prose(12, rng)} " * 40 for _ in range(20)]
+    apart = lambda a, b: ((simhash.fingerprint(a) ^ simhash.fingerprint(b)) & (1 << 64) - 1).bit_count()
+    far = next((a, a + "one two three four") for a in often if apart(a, a + "one two three four") <= simhash.REACH)
+    rows = [(3, prose(40, rng)), (4, None), (5, ""), (10, far[0]), (11, far[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not shingles.near(*map(shingles.shingles, far))
+    names = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert names == {3: 3, 4: 4, 5: 4, 10: 10, 11: 10}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {3, 4, 10}
