@@ -72,6 +72,28 @@ def test_embeddings(spark):
     assert counted.where("id = 1").first().v == [8.0, 1.0]
 
 
+@pytest.mark.parametrize(("dimensions", "n"), [(64, 3), (37, 1), (100, 4)])
+def test_embeddings_equal_those_of_spark_ml(spark, dimensions, n):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    texts = [None, "", "  ", "ab", "abc", "Red  SHOE\x1cred\tshoe", "\u0130\u015f \U0001f525\U0001f525 x", "a\U0001f525", "\u65e5\u672c\u8a9e " * 40, "long text " * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    characters = df.withColumn("_chars", F.array_remove(F.split(embed._letters(F.col("t")), ""), ""))
+    stages = [NGram(n=n, inputCol="_chars", outputCol="_grams"), HashingTF(numFeatures=dimensions, inputCol="_grams", outputCol="_counts"),
+              IDF(inputCol="_counts", outputCol="_weighted"), Normalizer(p=2.0, inputCol="_weighted", outputCol="_unit")]
+    wanted = Pipeline(stages=stages).fit(characters).transform(characters).select("id", vector_to_array("_unit", "float32").alias("v"))
+    got = embed.embed_text(df, embed.fit_embedder(df, "t", dimensions, n), "t", "v")
+    assert sorted(got.select("id", "v").collect()) == sorted(wanted.collect())
+
+
+def test_embeddings_make_no_array_of_characters(spark):
+    df = spark.createDataFrame([(1, "red shoe")], "id int, t string")
+    plan = embed.embed_text(df, embed.fit_embedder(df, "t"), "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "array<string>" not in plan
+
+
 def test_sample_and_buckets(spark):
     df = spark.range(1000)
     first = [r.id for r in evaluate.hash_sample(df, "id", 4).collect()]
