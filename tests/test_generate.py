@@ -365,6 +365,18 @@ def test_campaign_with_a_provider(spark, brands, tmp_path):
     assert errors == [(1, "quota exceeded")] + [(2, "unknown brand")] * 4
 
 
+def test_ngram_brand_scores_make_no_array_of_characters(spark):
+    from adlumen.operators import brand, embed
+
+    refs = spark.createDataFrame([("b", "red running shoe"), ("c", "blue sky at night")], "brand_id string, ref_text string")
+    texts = spark.createDataFrame([(1, "b", "red running shoe"), (2, "c", "Blue  sky"), (3, "zz", "blue sky"), (4, "b", None)], "id int, brand_id string, text string")
+    encoder = embed.fit_embedder(refs, "ref_text")
+    scored = brand.with_brand_score(embed.embed_text(texts, encoder, "text"), embed.embed_text(refs, encoder, "ref_text", "ref_vec"), baseline=0.0)
+    assert "split(" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    scores = {r.id: r.brand_score for r in scored.collect()}
+    assert scores[1] == pytest.approx(100.0, abs=1e-4) and 20 < scores[2] < 100 and scores[3] is None and scores[4] < scores[2]
+
+
 def test_prompts_are_not_shuffled_where_nothing_reads_them(spark):
     from datetime import datetime
 
