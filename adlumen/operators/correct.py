@@ -11,7 +11,7 @@ from adlumen.functions.rounding import round_binary
 from adlumen.operators.catalog import bullets, reference_bullets
 from adlumen.operators.calls import TextProvider, rewrite_rule
 from adlumen.operators.generate import filled, generate_texts
-from adlumen.operators.joins import lookup_join
+from adlumen.operators.joins import Lookup, asked_join, lookup_join
 from adlumen.operators.rank import with_request_median
 from adlumen.operators.rules import violations
 from adlumen.session import checkpointed
@@ -37,7 +37,8 @@ def rewrite_state(candidates: DataFrame) -> DataFrame:
 
 
 def build_rewrite_prompts(
-    state: DataFrame, catalog: DataFrame, refs: DataFrame, threshold: float = fixed.ALIGNMENT_THRESHOLD
+    state: DataFrame, catalog: DataFrame, refs: DataFrame, threshold: float = fixed.ALIGNMENT_THRESHOLD,
+    lookup: Lookup = lookup_join,
 ) -> DataFrame:
     """Prompts for the best texts so far: ``(variant_id, brand_id, prompt)``."""
     facts = catalog.select(
@@ -45,7 +46,7 @@ def build_rewrite_prompts(
         "forbidden_vocabulary", bullets(F.col("style_rules")).alias("_rules"),
     ).join(reference_bullets(refs, fixed.REFERENCES_IN_REWRITE, "_references"), "brand_id", "left")
     found = violations(F.col("best_text"), F.col("preferred_vocabulary"), F.col("forbidden_vocabulary"))
-    joined = lookup_join(state, facts, "brand_id", "inner").withColumns(
+    joined = lookup(state, facts, "brand_id", "inner").withColumns(
         {"_violations": found, "_rounded": round_binary(F.col("best_score"), 1)}
     )
     note = F.when(
@@ -112,12 +113,13 @@ def provider_rewriter(
 ) -> Rewriter:
     """Answers of a text provider; ``with_brand(df, text_column)`` scores them as ``brand_score``.
 
-    The scored answers are checkpointed as well: each round joins them to a state they came from, and
-    without the cut the plan would double with every round.
+    The pending rows are checkpointed, because the catalog, the calls and the answers each read them. The scored answers
+    are as well: each round joins them to a state they came from, and without the cut the plan would double with every
+    round.
     """
 
     def answers(pending: DataFrame, attempt: int) -> DataFrame:
-        prompts = build_rewrite_prompts(pending, catalog, refs, threshold)
+        prompts = build_rewrite_prompts(checkpointed(pending), catalog, refs, threshold, asked_join)
         made = generate_texts(prompts, provider, cache, models, rule=rewrite_rule, concurrency=concurrency)
         scored = with_brand(made.withColumnRenamed("generated", "new_text"), "new_text")
         return checkpointed(scored.select(

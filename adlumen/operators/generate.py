@@ -13,7 +13,7 @@ from adlumen.functions import fixed_values as fixed
 from adlumen.functions.text import clean_string
 from adlumen.operators.calls import Answer, CallWindow, Rule, TextProvider, retry_rule, rewrite_rule
 from adlumen.operators.catalog import bullets, reference_bullets, with_brand
-from adlumen.operators.joins import lookup_join
+from adlumen.operators.joins import Lookup, lookup_join
 from adlumen.sources.cache import GenerationCache
 from adlumen.session import checkpointed
 
@@ -42,12 +42,12 @@ def _choice(style: Column, texts: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in texts.items() for x in pair]), style)
 
 
-def build_prompts(styled: DataFrame, catalog: DataFrame, refs: DataFrame) -> DataFrame:
+def build_prompts(styled: DataFrame, catalog: DataFrame, refs: DataFrame, lookup: Lookup = lookup_join) -> DataFrame:
     """Add ``prompt`` to rows with brand_id, style, product and audience; null where the catalog lacks the brand."""
     facts = catalog.select(
         "brand_id", "brand_name", "tone_category", "brand_voice_summary", bullets(F.col("style_rules")).alias("_rules")
     ).join(reference_bullets(refs, fixed.REFERENCES_IN_PROMPT, "_references"), "brand_id", "left")
-    joined = lookup_join(styled, facts.withColumn("_known", F.lit(True)), "brand_id")
+    joined = lookup(styled, facts.withColumn("_known", F.lit(True)), "brand_id", "left")
     values = {
         "system": F.lit(fixed.GENERATION_SYSTEM),
         "brand_name": F.col("brand_name"), "tone_category": F.col("tone_category"),
@@ -123,7 +123,8 @@ def generate_texts(
     """
     prompts, unknown = prompts.where("prompt is not null"), prompts.where("prompt is null")
     key = F.sha2("prompt", 256).alias("prompt_key")
-    distinct = prompts.select(key, "prompt").dropDuplicates(["prompt_key"])
+    # The lookup, the calls and the hits read the distinct prompts, which are made once for all of them.
+    distinct = checkpointed(prompts.select(key, "prompt").distinct())
     looked_up = cache.texts_of(distinct, models)
     first = F.try_element_at("stored", F.lit(models[0]))
     missing = looked_up.where(first.isNull()).select("prompt_key", "prompt", F.to_json("stored").alias("stored"))

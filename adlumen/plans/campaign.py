@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, functions as F
 
 from adlumen.functions import fixed_values as fixed
 from adlumen.operators import correct, generate
+from adlumen.operators.joins import asked_join
 from adlumen.operators.rank import ranked, score_batch
 from adlumen.session import checkpointed
 from adlumen.sources.cache import GenerationCache
@@ -22,7 +23,7 @@ class CampaignResult:
     """Ranked variants with their correction info, all correction results, failures per variant and per request.
 
     ``timings`` holds the seconds that each stage took to run and their ``total``, ``rows`` the rows that the stages
-    wrote. The gate writes nothing: its seconds are those of the medians, its flags are set as the corrections are written.
+    wrote. The gate drops no row and is not counted.
     """
 
     ranked: DataFrame
@@ -68,7 +69,9 @@ def generate_variants(
 
     ``requests`` holds request_id, brand_id, product, audience; the variants of a request of an unknown brand have an error.
     """
-    prompts = generate.build_prompts(generate.expand_styles(requests, styles), catalog, refs)
+    # Read for the brands asked for, for the prompts and for the answers.
+    requests = checkpointed(requests)
+    prompts = generate.build_prompts(generate.expand_styles(requests, styles), catalog, refs, asked_join)
     made = generate.generate_texts(prompts, provider, cache, models, concurrency=concurrency)
     return made.select(
         (F.col("request_id") * len(styles) + F.col("style_ord")).alias("variant_id"), "request_id",
@@ -98,7 +101,8 @@ def run_campaign(
     # scored again, also after a lost executor, and keeps the later plans small.
     scored = clock.written(
         "scoring", lambda: score_batch(with_brand(with_ctr(usable, "text"), "text"), ctr_weight).select(*columns))
-    gated = clock.planned("gate", lambda: correct.with_gate(scored, threshold))
+    # Every round reads the candidates and the results all rows: the medians are found once.
+    gated = clock.planned("gate", lambda: checkpointed(correct.with_gate(scored, threshold)))
 
     def corrections() -> DataFrame:
         state = correct.rewrite_rounds(gated.where("is_candidate"), rewriter, threshold, max_attempts)

@@ -14,7 +14,7 @@ from adlumen.operators import (
 )
 from adlumen.operators.joins import lookup_join
 from adlumen.plans import campaign, reports, training
-from adlumen.session import set_local_shared_dir, shared_dir, ship_package
+from adlumen.session import checkpointed, set_local_shared_dir, shared_dir, ship_package
 from adlumen.sources import cache
 from adlumen.streaming import engagement
 from checks.views import Inputs
@@ -545,9 +545,10 @@ def campaign_provider(i: Inputs) -> DataFrame:
     """From requests to ranked variants with texts and rewrites of a provider and n-gram vectors."""
     spark = i.requests.sparkSession
     store = cache.GenerationCache(spark, f"{shared_dir(spark)}/campaign/{spark.sparkContext.applicationId}")
-    brands, models = accepted_catalog(i), fixed.FALLBACK_MODELS
+    # Both are read for the texts and for each round of rewrites.
+    brands, models = checkpointed(accepted_catalog(i)), fixed.FALLBACK_MODELS
     encoder = embed.fit_embedder(i.ref_texts, "ref_text")
-    refs = embed.embed_text(i.ref_texts, encoder, "ref_text", "ref_vec")
+    refs = brand.stored_references(embed.embed_text(i.ref_texts, encoder, "ref_text", "ref_vec"))
 
     def with_brand(df: DataFrame, text: str) -> DataFrame:
         vectors = embed.embed_text(df, encoder, text)

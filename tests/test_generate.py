@@ -390,3 +390,56 @@ def test_prompts_are_not_shuffled_where_nothing_reads_them(spark):
     assert newest(entries).columns == entries.columns
     plan = newest(entries).select("cache_key", "text")._jdf.queryExecution().optimizedPlan().toString()
     assert "max_by" not in plan
+
+
+def test_a_campaign_computes_requests_once_and_the_catalog_once_per_round(spark, brands, tmp_path):
+    class Echo:
+        def generate(self, prompt, model):
+            return prompt.split("Original ad copy:\n")[1].split("\n")[0] + " more" if "Original ad copy" in prompt else prompt[-40:]
+
+    def counted(df, seen):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(run, df.schema)
+
+    def with_ctr(df, text):
+        return df.withColumn("ctr_score", F.when(F.col("style") == fixed.STYLES[0], 9.0).otherwise(1.0) if "style" in df.columns else F.lit(9.0))
+
+    def with_brand(df, text):
+        return df.withColumn("brand_score", F.length(text) * 0.1)
+
+    asked, known = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    requests = counted(spark.createDataFrame([(i, "b", f"Shoe {i}", "all") for i in range(6)], "request_id long, brand_id string, product string, audience string"), asked)
+    catalog = counted(brands[0], known)
+    store = GenerationCache(spark, str(tmp_path / "texts"))
+    variants = generate_variants(requests, catalog, brands[1], Echo(), store, ["m1"])
+    rewriter = correct.provider_rewriter(catalog, brands[1], Echo(), store, ["m1"], with_brand)
+    result = run_campaign(variants, with_ctr, with_brand, rewriter)
+    attempts = {(r.style, r.correction_info.attempts) for r in result.ranked.collect()}
+    assert attempts == {(s, 2 if s == fixed.STYLES[0] else 0) for s in fixed.STYLES}
+    assert asked.value == 6 and known.value == 3  # for the texts and for two rounds
+
+
+def test_asked_join_moves_no_rows_to_a_few_keys(spark, monkeypatch):
+    from adlumen.operators import joins
+
+    rows = spark.createDataFrame([(i, None if i == 0 else "zz" if i == 1 else f"b{i % 2}") for i in range(50)], "id int, brand_id string")
+    table = spark.range(5000).select(F.concat(F.lit("b"), F.col("id")).alias("brand_id"), F.repeat(F.lit("x"), 300).alias("facts"))
+    table = table.unionByName(spark.createDataFrame([("b1", "second"), (None, "none")], "brand_id string, facts string"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for a table that is too large as a whole
+    try:
+        for how in ("left", "inner"):
+            wanted = sorted(joins.lookup_join(rows, table, "brand_id", how).collect(), key=str)
+            small = joins.asked_join(rows, table, "brand_id", how)
+            assert "Exchange hashpartitioning" not in plan_of(small) and sorted(small.collect(), key=str) == wanted
+            with monkeypatch.context() as patched:
+                patched.setattr(joins, "ASKED_BYTES", 0)
+                large = joins.asked_join(rows, table, "brand_id", how)
+                assert "BroadcastExchange" not in plan_of(large) and sorted(large.collect(), key=str) == wanted
+        assert joins.asked_join(rows.where("false"), table, "brand_id", "left").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
