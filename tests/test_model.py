@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from adlumen.functions.text import with_text_features
 from adlumen.operators import embed, evaluate, model
 from adlumen.plans import training
 from adlumen.streaming import scoring as streams
+from checks import queries
 
 SMALL = model.ModelSizes(boosting_rounds=15, step=0.3, depth=4, forest_trees=5, folds=5)
 PARTS = ["Buy now!", "Limited deal today", "#sale #new", "Is it you?", "🔥🔥", "GREAT NEWS", "bad and slow", "only 99 left", "@shop", "stupid scam"]
@@ -25,6 +28,12 @@ def posts(spark):
         "sentiment_score", "toxicity_score", F.lit(None).cast("double").alias("buzz_change_rate")).cache()
 
 
+@pytest.fixture(scope="module")
+def few_rows(posts):
+    """Model columns of the posts in one partition."""
+    return model.training_rows(training.featured_posts(posts)).coalesce(1).cache()
+
+
 def test_training_learns_the_rule_and_stores_models(spark, posts, tmp_path):
     trained = training.train(posts, SMALL, root=str(tmp_path), prefix="demo_", cross_validate=False)
     r2 = {(r.subset, r.model): r.value for r in trained.metrics.where("metric = 'r2'").collect()}
@@ -136,3 +145,67 @@ def test_the_report_trains_on_kept_rows(spark, posts, monkeypatch):
     monkeypatch.setattr(model, "kept_rows", lambda rows, keep=model.kept_rows: kept.append(1) or keep(rows))
     training.train(posts, SMALL, cross_validate=False)
     assert kept
+
+
+def test_a_small_table_of_a_long_fit_lies_in_few_partitions(spark):
+    rows = spark.range(1600).repartition(40)
+    assert [model.kept_rows(rows, least_rows=least).rdd.getNumPartitions() for least in (5000, 800)] == [1, 2]
+    assert model.kept_rows(rows, task_rows=100, least_rows=10).rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, 16)
+    assert model.kept_rows(rows, least_rows=5000).count() == 1600
+    assert model.kept_rows(rows.where("id < 0"), least_rows=5000).count() == 0
+
+
+@pytest.mark.parametrize("name", ["ablation"])
+def test_queries_train_learners_of_the_published_sizes(posts, few_rows, monkeypatch, name):
+    asked = []
+    monkeypatch.setattr(training, "featured_posts", lambda posts, *other, **named: posts)
+    monkeypatch.setattr(model, "training_rows", lambda posts: few_rows)
+
+    def tiny(make):
+        def learner(sizes):
+            asked.append((make.__name__, sizes))
+            return make(model.ModelSizes(boosting_rounds=1, depth=1, forest_trees=1))
+        return learner
+
+    for label, make in list(model.LEARNERS.items()):
+        learner = tiny(make)
+        monkeypatch.setitem(model.LEARNERS, label, learner)
+        monkeypatch.setattr(model, make.__name__, learner)
+    assert getattr(queries, name)(SimpleNamespace(posts=posts, documents=posts)).count() > 0
+    assert "boosted_trees" in {made for made, _ in asked} and {sizes for _, sizes in asked} == {model.ModelSizes()}
+
+
+def test_cross_validation_equals_that_of_spark_ml(few_rows):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import CrossValidator
+
+    sizes = model.ModelSizes(boosting_rounds=2, depth=2, forest_trees=2, step=0.3)
+    specs = {("full", label): model.assembled(fixed.FULL_COLUMNS, model.LEARNERS[label](sizes)) for label in ("Linear", "BoostedTrees")}
+    evaluator, plain = RegressionEvaluator(labelCol=model.LABEL, metricName="r2"), Pipeline(stages=[])
+    wanted = CrossValidator(
+        estimator=plain, estimatorParamMaps=[{plain.stages: s.getStages()} for s in specs.values()], evaluator=evaluator,
+        numFolds=5, foldCol="fold").fit(few_rows)
+    got = model.cross_validated(few_rows, specs, evaluator, sizes).orderBy("spec_ord").collect()
+    assert [(r.subset, r.model) for r in got] == list(specs)
+    assert [r.cv_r2_mean for r in got] == pytest.approx(wanted.avgMetrics)
+    assert [r.cv_r2_std for r in got] == pytest.approx(wanted.stdMetrics)
+
+
+def test_folds_without_rows_are_an_error(spark):
+    rows = spark.range(20).withColumn("fold", (F.col("id") % 4).cast("int"))
+    with pytest.raises(ValueError, match="validation rows of fold 4"):
+        model.fold_rows(rows, 5)
+    with pytest.raises(ValueError, match="0 .. 2"):
+        model.fold_rows(rows, 3)
+    with pytest.raises(ValueError, match="training rows of fold 0"):
+        model.fold_rows(rows.withColumn("fold", F.lit(0)), 1)
+    assert [(a.count(), b.count()) for a, b in model.fold_rows(rows, 4)] == [(15, 5)] * 4
+
+
+def test_tasks_run_side_by_side_in_order(spark):
+    from threading import Barrier
+
+    meet = Barrier(2, timeout=60)
+    tasks = [lambda i=i: (meet.wait(), spark.range(i).count())[1] for i in range(4)]
+    assert model.side_by_side(spark, tasks, 2) == [0, 1, 2, 3]
