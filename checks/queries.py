@@ -586,8 +586,8 @@ def train_content_gbt(i: Inputs) -> DataFrame:
 
 
 def cv_gbt(i: Inputs) -> DataFrame:
-    train_rows, _ = model.split_rows(training_table(i))
-    return model.cv_boosted(train_rows, fixed.CONTENT_COLUMNS, "content", SMALL)
+    train_rows, _ = model.split_rows(training_table(i, model.LEAST_ROWS))
+    return model.cv_boosted(train_rows, fixed.CONTENT_COLUMNS, "content", PUBLISHED)
 
 
 def _importances(i: Inputs) -> DataFrame:
