@@ -591,8 +591,8 @@ def cv_gbt(i: Inputs) -> DataFrame:
 
 
 def _importances(i: Inputs) -> DataFrame:
-    train_rows, _ = model.split_rows(training_table(i))
-    fitted = model.assembled(fixed.FULL_COLUMNS, model.boosted_trees(SMALL)).fit(train_rows)
+    train_rows, _ = model.split_rows(training_table(i, model.LEAST_ROWS))
+    fitted = model.assembled(fixed.FULL_COLUMNS, model.boosted_trees(PUBLISHED)).fit(train_rows)
     return model.feature_importances(train_rows.sparkSession, fitted)
 
 
