@@ -569,7 +569,7 @@ def training_table(i: Inputs, least_rows: int = 0) -> DataFrame:
 
 
 def _fit_metrics(i: Inputs, columns: list[str], learner) -> DataFrame:
-    train_rows, test_rows = model.split_rows(training_table(i))
+    train_rows, test_rows = model.split_rows(training_table(i, model.LEAST_ROWS))
     return model.test_metrics(model.assembled(columns, learner).fit(train_rows), test_rows)
 
 
@@ -582,7 +582,7 @@ def train_linear(i: Inputs) -> DataFrame:
 
 
 def train_content_gbt(i: Inputs) -> DataFrame:
-    return _fit_metrics(i, fixed.CONTENT_COLUMNS, model.boosted_trees(SMALL))
+    return _fit_metrics(i, fixed.CONTENT_COLUMNS, model.boosted_trees(PUBLISHED))
 
 
 def cv_gbt(i: Inputs) -> DataFrame:

@@ -155,7 +155,9 @@ def test_a_small_table_of_a_long_fit_lies_in_few_partitions(spark):
     assert model.kept_rows(rows.where("id < 0"), least_rows=5000).count() == 0
 
 
-@pytest.mark.parametrize("name", ["ablation", "cv_gbt", "feature_importances", "importances_positive", "importances_top8"])
+@pytest.mark.parametrize("name", [
+    "ablation", "cv_gbt", "feature_importances", "importances_positive", "importances_top8", "train_content_gbt",
+])
 def test_queries_train_learners_of_the_published_sizes(posts, few_rows, monkeypatch, name):
     asked = []
     monkeypatch.setattr(training, "featured_posts", lambda posts, *other, **named: posts)
