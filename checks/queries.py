@@ -574,7 +574,7 @@ def _fit_metrics(i: Inputs, columns: list[str], learner) -> DataFrame:
 
 
 def train_full_gbt(i: Inputs) -> DataFrame:
-    return _fit_metrics(i, fixed.FULL_COLUMNS, model.boosted_trees(SMALL))
+    return _fit_metrics(i, fixed.FULL_COLUMNS, model.boosted_trees(PUBLISHED))
 
 
 def train_linear(i: Inputs) -> DataFrame:
