@@ -156,7 +156,7 @@ def test_a_small_table_of_a_long_fit_lies_in_few_partitions(spark):
 
 
 @pytest.mark.parametrize("name", [
-    "ablation", "cv_gbt", "feature_importances", "importances_positive", "importances_top8", "train_content_gbt", "train_full_gbt",
+    "ablation", "cv_gbt", "feature_importances", "importances_positive", "importances_top8", "train_content_gbt", "train_full_gbt", "train_report",
 ])
 def test_queries_train_learners_of_the_published_sizes(posts, few_rows, monkeypatch, name):
     asked = []
